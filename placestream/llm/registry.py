@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import mixing, quality, secrets, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_source_mix": mixing.op8_source_mix,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES = {
     "op7_secret_scan": secrets.OP7_SQL,

@@ -18,7 +18,9 @@ POSITIVE_ROWS, UNLABELLED_ROWS = 6_000, 18_000
 #: Hash buckets of the features; bytes of the word prefixes that are features beside whole words.
 BUCKETS, PREFIXES = 1 << 18, (4, 5, 6)
 FOLDS, HELD_OUT = 5, 0
-EPOCHS, RATE, DECAY = 60, 0.05, 1e-4
+EPOCHS, RATE, MOMENTUM, DECAY = 400, 20.0, 0.9, 2e-4
+#: Features that the classifier may use: seen in so many positive rows, so far above the unlabelled share.
+LEAST_ROWS, LEAST_Z = 3, 5.0
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -47,35 +49,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def telling(row: np.ndarray, bucket: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """Which buckets stand out in the positive rows: ``LEAST_ROWS`` of them and ``LEAST_Z`` deviations above the rest."""
+    n_p, n_u = positive.sum(), (~positive).sum()
+    in_p = np.bincount(bucket[positive[row]], minlength=BUCKETS)
+    share = (np.bincount(bucket[~positive[row]], minlength=BUCKETS) + 1) / (n_u + 2)
+    z = (in_p / n_p - share) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+    return (in_p >= LEAST_ROWS) & (z >= LEAST_Z)
+
+
 def nnpu(row: np.ndarray, bucket: np.ndarray, positive: np.ndarray, prior: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier under the non-negative PU risk (logistic loss).
+    """Weights and bias of a linear classifier under the non-negative PU risk (logistic loss l).
 
     risk = prior E_p[l(g)] + max(0, E_u[l(-g)] - prior E_p[l(-g)]). Where the estimated negative
     part falls below zero its gradient is followed the other way, as the method prescribes. Full
-    batches and Adam, so the result is the same on every run.
+    batches with momentum; the mean of the second half of the steps is kept, so that the turns of
+    the correction even out and the result is the same on every run.
     """
-    n = len(positive)
-    weight, bias = np.zeros(BUCKETS), -1.0
+    chosen = telling(row, bucket, positive)
+    here = chosen[bucket]
+    row, bucket = row[here], bucket[here]
     used = np.unique(bucket)
-    m, v, t = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0
     at = np.searchsorted(used, bucket)
-    n_p, n_u = max(1, positive.sum()), max(1, n - positive.sum())
-    w = np.zeros(len(used) + 1)
-    w[-1] = bias
-    for _ in range(epochs):
+    n, n_p, n_u = len(positive), positive.sum(), (~positive).sum()
+    w, v, mean = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    for epoch in range(epochs):
         z = w[-1] + np.bincount(row, w[at], minlength=n)
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         negative = np.logaddexp(0, z)  # l(-g)
         part = negative[~positive].sum() / n_u - prior * negative[positive].sum() / n_p
-        slope_p, slope_n = prior / n_p * (s - 1), np.where(positive, -prior / n_p, 1 / n_u) * s
-        by_row = np.where(positive, slope_p, 0.0) + slope_n if part >= 0 else -slope_n
-        grad = np.append(np.bincount(at, by_row[row], minlength=len(used)), by_row.sum())
-        grad[:-1] += DECAY * w[:-1]
-        t += 1
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    weight[used], bias = w[:-1], float(w[-1])
-    return weight, bias
+        slope_n = np.where(positive, -prior / n_p, 1 / n_u) * s
+        by_row = np.where(positive, prior / n_p * (s - 1), 0.0) + slope_n if part >= 0 else -slope_n
+        grad = np.append(np.bincount(at, by_row[row], minlength=len(used)) + DECAY * w[:-1], by_row.sum())
+        v = MOMENTUM * v - RATE * grad
+        w = w + v
+        if epoch >= epochs // 2:
+            mean += w / (epochs - epochs // 2)
+    weight = np.zeros(BUCKETS)
+    weight[used] = mean[:-1]
+    return weight, float(mean[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
