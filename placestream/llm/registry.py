@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, toxicity
+from . import language, licenses, mixing, quality, secrets, toxicity
 
 QUERIES = {
+    "op2_license_scan": licenses.op2_license_scan,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_source_mix": mixing.op8_source_mix,
+    "op9_language": language.op9_language,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES = {
+    "op2_license_scan": licenses.OP2_SQL,
     "op7_secret_scan": secrets.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,
 }
