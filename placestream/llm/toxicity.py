@@ -14,7 +14,7 @@ from .shared import fold, table
 from .words import PLAIN, Words, buffers, slices, span_hashes, words
 
 #: Confirmed toxic rows and unlabelled texts that the classifier is fitted on.
-POSITIVE_ROWS, UNLABELLED_ROWS = 6_000, 18_000
+POSITIVE_ROWS, UNLABELLED_ROWS = 3_000, 9_000
 #: Hash buckets of the features; bytes of the word prefixes that are features beside whole words.
 BUCKETS, PREFIXES = 1 << 18, (4, 5, 6)
 FOLDS, HELD_OUT = 5, 0
@@ -116,14 +116,15 @@ def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS,
             yield pa.record_batch([pa.array(packed, pa.binary()), batch.column(1)], names=["f", "p"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "p").mapInArrow(gather, "f binary, p boolean").collect()
-    rows.sort(key=lambda r: (r.p, bytes(r.f)))  # the same order on every run
-    lists = [np.frombuffer(r.f, np.int32) for r in rows]
+    rows.sort(key=lambda r: (r.p, r.f))  # the same order on every run
     positive_flags = np.array([r.p for r in rows], bool)
     if not positive_flags.any() or positive_flags.all():
         return Model(np.zeros(BUCKETS), -3.0, prior)
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.f) // 4 for r in rows])
+    bucket = np.frombuffer(b"".join(r.f for r in rows), np.int32)
+    del rows
     prior = min(max(prior, 0.01), 0.9)
-    weight, bias = nnpu(row, np.concatenate(lists).astype(np.int64), positive_flags, prior)
+    weight, bias = nnpu(row, bucket, positive_flags, prior)
     return Model(weight, bias, prior)
 
 
