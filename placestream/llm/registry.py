@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, licenses, mixing, quality, secrets, toxicity
+from . import decontamination, language, licenses, mixing, quality, secrets, token_store, toxicity
 
 QUERIES = {
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_token_store": token_store.op3_token_store,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_source_mix": mixing.op8_source_mix,
