@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, mixing, quality, secrets, token_store, toxicity
+from . import decontamination, jaccard, language, licenses, mixing, quality, secrets, token_store, toxicity
 
 QUERIES = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_token_store": token_store.op3_token_store,
     "op4_decontamination": decontamination.op4_decontamination,
