@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, language, licenses, mixing, quality, secrets, token_store, toxicity
+from . import decontamination, jaccard, language, licenses, mixing, quality, secrets, token_store, toxicity, transcripts
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_token_store": token_store.op3_token_store,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_chat_turns": transcripts.op5_chat_turns,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_source_mix": mixing.op8_source_mix,
