@@ -1,0 +1 @@
+"""Place and clickstream analytics as Spark DataFrame operators."""
