@@ -37,15 +37,21 @@ def latest_log(log: DataFrame, n: int = C.LOG_SIZE) -> DataFrame:
 def canton_milestones(log: DataFrame, n: int = C.LOG_SIZE) -> DataFrame:
     """Hits whose canton is not among the ``n`` entries before, with the cantons collected after it.
 
-    A canton is new when its last hit lies more than ``n`` entries back. The number collected is the
-    count of cantons in the ``n`` entries before, plus one; ``all_after`` is the log size then.
+    A canton comes in when its last hit lies more than ``n`` entries back, and drops out ``n`` + 1
+    entries after a hit that no other follows in time. The number collected is the running sum of
+    those few events, so no row looks over a window of ``n``. ``log_size`` counts the throw itself.
     """
-    rows = numbered(log).withColumn("seen", F.when(F.col("is_hit"), F.nullif(F.col("canton").cast("string"), F.lit(""))))
-    gap = Window.partitionBy("user_key", "epoch", "seen").orderBy("rn")
-    before = Window.partitionBy("user_key", "epoch").orderBy("rn").rowsBetween(-n, -1)
-    rows = rows.withColumns({"gap": F.col("rn") - F.lag("rn").over(gap), "collected": F.size(F.collect_set("seen").over(before)) + 1})
-    fresh = F.col("seen").isNotNull() & (F.col("gap").isNull() | (F.col("gap") > n))
-    return rows.filter(fresh).select("user_key", "event_id", "ts", F.col("seen").alias("canton"), "collected", F.least(F.col("rn"), F.lit(n + 1)).alias("log_size"))
+    seen = F.when(F.col("is_hit"), F.nullif(F.col("canton").cast("string"), F.lit("")))
+    rows = numbered(log).withColumn("seen", seen).filter("seen is not null")
+    same = Window.partitionBy("user_key", "epoch", "seen").orderBy("rn")
+    rows = rows.withColumns({"since": F.col("rn") - F.lag("rn").over(same), "until": F.lead("rn").over(same) - F.col("rn")})
+    far = lambda c: F.col(c).isNull() | (F.col(c) > n)
+    comes = F.when(far("since"), F.struct(F.col("rn").alias("at"), F.lit(1).alias("change")))
+    goes = F.when(far("until"), F.struct((F.col("rn") + n + 1).alias("at"), F.lit(-1).alias("change")))
+    events = rows.select("user_key", "epoch", "event_id", "ts", "seen", "rn", F.explode(F.array_compact(F.array(comes, goes))).alias("e"))
+    running = Window.partitionBy("user_key", "epoch").orderBy("e.at", "e.change", "rn").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("collected", F.sum("e.change").over(running)).filter("e.change = 1")
+    return events.select("user_key", "event_id", "ts", F.col("seen").alias("canton"), "collected", F.least(F.col("rn"), F.lit(n + 1)).alias("log_size"))
 
 
 def all_cantons_milestones(log: DataFrame, total: int = len(C.CANTONS), n: int = C.LOG_SIZE) -> DataFrame:

@@ -13,6 +13,8 @@ from placestream.functions.geo import haversine_km
 _KM_A_DEGREE = math.radians(1) * C.EARTH_RADIUS_KM
 #: Points beyond this latitude have no cells (a degree of longitude shrinks to nothing).
 MOST_LATITUDE = 85.0
+#: Catalog size up to which it is broadcast.
+BROADCAST_PLACES = 100_000
 
 
 def _height(radius_km: float) -> float:
@@ -30,22 +32,25 @@ def _width(row, height: float):
     return F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(math.radians(height))) / F.cos(F.radians(edge)))))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, radius_km: float = C.NEAR_KM, bull_km: float = C.BULLSEYE_KM, key: str = "point_id") -> DataFrame:
-    """``points`` (key, lat, lon, ...) with place_id, place_name, place_km and bullseye.
+def nearest_place(points: DataFrame, places: DataFrame, radius_km: float = C.NEAR_KM, bull_km: float = C.BULLSEYE_KM, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
+    """``points`` (lat, lon, ...) with place_id, place_name, place_km and bullseye.
 
     Of the places (place_id, name, lat, lon) within ``radius_km`` (inclusive) the nearest wins, on
-    equal distance the least place_id. Points without a place, or with a null or extreme coordinate,
-    keep null columns. ``key`` must be unique. The catalog is the small side: each place is put into
-    the cells around it, points look into their own cell, so only neighbours are ever compared.
+    equal distance the least place_id. Points without a place, or with a null coordinate or one
+    beyond MOST_LATITUDE, keep null columns. Each place is put into the cells around it and a cell's
+    places into one list, so a point meets one row: its own cell's. With a catalog of at most
+    ``broadcast_places`` (counted first) the points are not shuffled; a larger one is joined by cell.
     """
     height = _height(radius_km)
     around = ring_around(places.filter(F.abs("lat") <= MOST_LATITUDE + 1).select("place_id", "name", "lat", "lon"), height)
-    cells = around.select("place_id", F.col("name").alias("place_name"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "c_row", "c_col")
-    located = own_cell(points.filter(F.abs("lat") <= MOST_LATITUDE).select(key, "lat", "lon"), height)
-    pairs = located.join(cells, ["c_row", "c_col"]).withColumn("km", haversine_km("lat", "lon", "p_lat", "p_lon")).filter(F.col("km") <= radius_km)
-    best = pairs.groupBy(key).agg(F.min(F.struct("km", "place_id", "place_name")).alias("best"))
-    found = best.select(key, F.col("best.place_id").alias("place_id"), F.col("best.place_name").alias("place_name"), F.col("best.km").alias("place_km"), (F.col("best.km") <= bull_km).alias("bullseye"))
-    return points.join(found, key, "left")
+    lists = around.groupBy("c_row", "c_col").agg(F.collect_list(F.struct("place_id", "name", "lat", "lon")).alias("_near"))
+    if places.limit(broadcast_places + 1).count() <= broadcast_places:
+        lists = F.broadcast(lists)
+    located = own_cell(points, height)
+    measured = F.transform("_near", lambda p: F.struct(haversine_km("lat", "lon", p["lat"], p["lon"]).alias("km"), p["place_id"].alias("place_id"), p["name"].alias("name")))
+    best = F.array_min(F.filter(measured, lambda p: p["km"] <= radius_km))
+    found = located.join(lists, ["c_row", "c_col"], "left").withColumn("_best", best)
+    return found.select(*[F.col(f"`{c}`") for c in points.columns], F.col("_best.place_id").alias("place_id"), F.col("_best.name").alias("place_name"), F.col("_best.km").alias("place_km"), (F.col("_best.km") <= bull_km).alias("bullseye"))
 
 
 def place_isolation(places: DataFrame, radius_km: float = 100.0) -> DataFrame:
@@ -60,9 +65,9 @@ def place_isolation(places: DataFrame, radius_km: float = 100.0) -> DataFrame:
 
 
 def own_cell(rows: DataFrame, height: float) -> DataFrame:
-    """Rows (lat, lon) with their own grid cell (c_row, c_col)."""
+    """Rows (lat, lon) with their own grid cell (c_row, c_col); null beyond MOST_LATITUDE."""
     n = F.floor(360 / _width(F.col("c_row"), height))
-    return rows.withColumn("c_row", _row(F.col("lat"), height)).withColumn("c_col", F.pmod(F.floor((F.col("lon") + 180) / (360 / n)), n))
+    return rows.withColumn("c_row", F.when(F.abs("lat") <= MOST_LATITUDE, _row(F.col("lat"), height))).withColumn("c_col", F.pmod(F.floor((F.col("lon") + 180) / (360 / n)), n))
 
 
 def ring_around(places: DataFrame, height: float) -> DataFrame:

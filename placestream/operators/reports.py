@@ -47,9 +47,10 @@ def throw_funnel(hits: DataFrame) -> DataFrame:
 
 def share_report(hits: DataFrame) -> DataFrame:
     """Per share method and outcome: results, and each outcome's share of all attempts."""
-    totals = hits.filter("name = 'share_attempt'").agg(F.count("*").alias("attempts"))
-    results = hits.filter("name = 'share_result'").groupBy("share_method", "outcome").agg(F.count("*").alias("n"))
-    return results.crossJoin(F.broadcast(totals)).withColumn("share", F.col("n") / F.nullif(F.col("attempts"), F.lit(0)))
+    counts = hits.filter("name in ('share_attempt', 'share_result')").groupBy("name", "share_method", "outcome").agg(F.count("*").alias("n"))
+    attempts = F.sum(F.when(F.col("name") == "share_attempt", F.col("n"))).over(Window.partitionBy())  # over a few counts
+    share = F.col("n") / F.nullif(F.col("attempts"), F.lit(0))
+    return counts.withColumn("attempts", attempts).filter("name = 'share_result'").select("share_method", "outcome", "n", "attempts", share.alias("share"))
 
 
 def upstream_report(lookups: DataFrame, exact: bool = True) -> DataFrame:

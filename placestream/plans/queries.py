@@ -639,12 +639,16 @@ def daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("date").cast("string").alias("date"), "keys", "left_clicks", "right_clicks", "other_clicks", *[F.round(c, 4).alias(c) for c in ("scroll_x", "scroll_y", "distance")], telemetry.micros("first_ts").alias("first_us"), telemetry.micros("last_ts").alias("last_us"), "active_minutes")
 
 
-@query(f"with {_DAYS} select sum(keys)::bigint as keys, sum(left_clicks + right_clicks + other_clicks)::bigint as clicks, round(sum(distance), 3) as distance, count(*) as days, count(*) filter (where active_minutes > 200) as busy_days, round(avg((active_minutes > 200)::int), 6) as busy_share from days", "f_moves")
-def totals_and_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals over all days and the share of days above a limit."""
-    d = _days(spark, sf_dir)
-    out = telemetry.outlier_days(d, "active_minutes", 200.0).select(F.col("days").alias("busy_days"), r6("share", "busy_share"))
-    return telemetry.all_time_totals(d).withColumn("distance", F.round("distance", 3)).crossJoin(out)  # one row each
+@query(f"with {_DAYS} select sum(keys)::bigint as keys, sum(left_clicks + right_clicks + other_clicks)::bigint as clicks, round(sum(distance), 3) as distance, count(*) as days from days", "f_moves")
+def all_time_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over all days."""
+    return telemetry.all_time_totals(_days(spark, sf_dir)).withColumn("distance", F.round("distance", 3))
+
+
+@query(f"with {_DAYS} select count(*) filter (where active_minutes > 200) as days, round(avg((active_minutes > 200)::int), 6) as share from days", "f_moves")
+def outlier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days, and their share, above a limit."""
+    return telemetry.outlier_days(_days(spark, sf_dir), "active_minutes", 200.0).select("days", r6("share", "share"))
 
 
 @query("select cast(cast(ts as date) as varchar) as date, cast(extract(hour from ts) as int) as hour, count(*) filter (where kind = 'key') as keys, count(*) filter (where kind like '%click') as clicks from f_moves group by 1, 2", "f_moves")

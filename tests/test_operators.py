@@ -28,10 +28,11 @@ def test_nearest_equals_brute_force(spark, around):
     pts, plc = [spot() for _ in range(150)], [spot() for _ in range(60)]
     p = spark.createDataFrame([(i, *x) for i, x in enumerate(pts)], "point_id long, lat double, lon double")
     c = spark.createDataFrame([(i, f"p{i}", *x) for i, x in enumerate(plc)], "place_id long, name string, lat double, lon double")
-    got = {r.point_id: r.place_id for r in nearest.nearest_place(p, c).collect()}
-    for i, x in enumerate(pts):
-        best = min((km(x, y), j) for j, y in enumerate(plc))
-        assert got[i] == (best[1] if best[0] <= 8 else None)
+    for most in (100, 10):  # broadcast, and joined by cell
+        got = {r.point_id: r.place_id for r in nearest.nearest_place(p, c, broadcast_places=most).collect()}
+        for i, x in enumerate(pts):
+            best = min((km(x, y), j) for j, y in enumerate(plc))
+            assert got[i] == (best[1] if best[0] <= 8 else None)
 
 
 def test_nearest_ties_take_the_earlier_place_and_nulls_stay(spark):
