@@ -19,8 +19,8 @@ _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028
 # Suffixes that the pattern cuts off after an apostrophe.
 _SUFFIXES = ("s", "t", "m", "d", "re", "ve", "ll")
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
-#: Distinct pieces a worker remembers before it starts anew.
-CACHE_PIECES = 3_000_000
+#: Distinct pieces a worker remembers: those of the present generation, and of the one before.
+CACHE_PIECES = 300_000
 _classes: np.ndarray | None = None
 
 
@@ -97,16 +97,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[int, bytes] = {}
+        self.before: dict[int, bytes] = {}
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows on end, number of ids of each row)."""
         start, end = pieces(raw, offs)
         h = span_hashes(raw, start, end)
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-        keys, known = distinct.tolist(), self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        fresh = [i for i, k in enumerate(keys) if k not in known]
+        if len(self.known) > CACHE_PIECES:  # pieces still in use move on, others are forgotten
+            self.known, self.before = {}, self.known
+        keys, known, before = distinct.tolist(), self.known, self.before
+        fresh = []
+        for i, k in enumerate(keys):
+            if k not in known:
+                if k in before:
+                    known[k] = before[k]
+                else:
+                    fresh.append(i)
         if fresh:
             data = raw.tobytes()
             texts = [data[start[first[i]] : end[first[i]]].decode() for i in fresh]
