@@ -17,7 +17,7 @@ SQL = {
     "f_cells": """select distinct floor(lat * 10000 + 0.5) / 10000 as lat, floor(lon * 10000 + 0.5) / 10000 as lon, event_id % 4000 as k from f_points""",
     "f_candidates": """select c.lat, c.lon, p.pos, case when (k + p.pos) % 5 = 0 then null when (k + p.pos) % 7 = 0 then 'place_' || cast((k + p.pos) % 40 as varchar(20)) || 'see' else 'place_' || cast((k + p.pos) % 40 as varchar(20)) end as name,
  case when k % 3 = 0 then 'ZH' when k % 3 = 1 then 'K' || cast(k % 26 as varchar(20)) else 'BE' end as canton, (k + p.pos) % 3 = 0 as is_current
- from f_cells c join (select 0 as pos union all select 1 union all select 2) p on p.pos < k % 4""",
+ from f_cells c join (select 0 as pos, 1 as quarter union all select 0, 2 union all select 1, 2 union all select 0, 3 union all select 1, 3 union all select 2, 3) p on p.quarter = k % 4""",
     "f_elevations": """select lat, lon, cast((k * 37) % 4000 as int) as metres from f_cells where k % 9 <> 0""",
     "f_log": """select event_id, user_id % 10 as user_key, ts, event_id % 997 = 0 as is_clear, event_id % 6 <> 0 as is_hit,
  case when event_id % 6 = 0 then null when event_id % 401 = 0 then 25 else (event_id * 31) % 25 end as canton_id from events""",

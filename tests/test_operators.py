@@ -153,3 +153,30 @@ def test_rate_stream_counts_windows(spark):
     rows = spark.createDataFrame([(1, i) for i in range(0, 120, 5)], "k int, s long").select("k", F.timestamp_seconds("s").alias("ts"))
     out = streams.run_available(rows, lambda s: streams.rate_stream(s, "k", watermark="0 seconds"))
     assert out.agg(F.max("per_minute")).first()[0] == 12.0
+
+
+def test_hits_are_read_alike_from_files_and_streams(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"hit_id":1,"user_id":2,"ts_ms":1704067200000,"name":"page_view","params":"{\\"a\\":1}"}\n{broken\n')
+    batch = tables.read_hits(spark, str(tmp_path / "in"))
+    assert batch.schema == tables.read_hits(spark, str(tmp_path / "in"), stream=True).schema
+    rows = sorted(batch.select("hit_id", F.col("ts").cast("string").alias("ts"), F.try_variant_get("params", "$.a", "int").alias("a"), "_corrupt_record").collect(), key=lambda r: r.hit_id or 0)
+    assert (rows[0].hit_id, rows[0]["_corrupt_record"]) == (None, "{broken")
+    assert (rows[1].ts, rows[1].a) == ("2024-01-01 00:00:00", 1)
+
+
+def test_cells_are_looked_up_again_after_their_time(spark):
+    rows = spark.createDataFrame([(47.00001, 8.0), (47.0, 8.00004), (46.5, 8.0), (40.0, 8.0)], "lat double, lon double")
+    known = spark.createDataFrame([(46.5, 8.0, 10), (47.0, 8.0, 40)], "s_lat double, s_lon double, age int").withColumn("fetched_at", F.expr("timestamp'2024-03-01' - make_interval(0, 0, 0, age)"))
+    got = points.distinct_cells(rows, known, F.lit("2024-03-01").cast("timestamp")).collect()
+    assert [(r.s_lat, r.s_lon) for r in got] == [(47.0, 8.0)]
+
+
+def test_failed_lookups_are_errors(spark):
+    ok, failed = points.lookup_errors(spark.createDataFrame([(1, "ok"), (2, "503"), (3, None)], "id int, status string"))
+    assert [r.id for r in ok.collect()] == [1]
+    assert sorted(r.id for r in failed.collect()) == [2, 3]
+
+
+def test_snapshot_texts(spark):
+    assert sorted(tuple(r) for r in tables.read_snapshot(spark.createDataFrame([('{"Thun": 560, "Bern": 540}',)], "json string")).collect()) == [("Bern", 540), ("Thun", 560)]

@@ -19,3 +19,18 @@ def test_query_matches_sql(spark, data_dir, name):
 def test_entry_has_rows_and_every_oracle_has_a_query(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_plans_have_no_products_and_no_python(spark, data_dir):
+    for name, query in places.QUERIES.items():
+        if name.startswith("stream_"):
+            continue
+        plan = query(spark, data_dir)._jdf.queryExecution().executedPlan().toString()
+        for node in ("CartesianProduct", "NestedLoop", "Python", "Pandas", "Arrow"):
+            assert node not in plan, f"{name}: {node}"
+
+
+def test_filters_reach_the_scan(spark, data_dir):
+    plan = places.QUERIES["upstream_latency"](spark, data_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,view))]" in plan
+    assert "ReadSchema: struct<event_type:string,value:double>" in plan
