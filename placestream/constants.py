@@ -34,6 +34,11 @@ CANTONS = {
     "VD": "Waadt", "VS": "Wallis", "ZG": "Zug", "ZH": "Züri",
 }
 DEFAULT_SETTINGS = {"view": "charte", "throw_style": "zieh", "sound": "false", "dart_skin": "pfyl"}
+#: Keys of the settings in stored JSON.
+STORED_SETTINGS = {"view": "aasicht", "throw_style": "wurfart", "sound": "ton", "dart_skin": "pfylsorte"}
+#: Catalog kinds that should not lie in water, in English or as stored; drag style that aims backwards.
+SETTLEMENTS = ("town", "village", "stadt", "dörfli")
+BACKWARD_STYLES = ("back", "zrugg")
 
 MAX_EVENT_NAME, MAX_EVENT_PARAMS = 40, 25
 CONSENT_COOKIE = "ow_consent"

@@ -93,7 +93,7 @@ def wgs84_to_lv95(lat, lon) -> Column:
 class View:
     """A Web-Mercator view of ``width`` x ``height`` pixels that the box fills, less a padding."""
 
-    def __init__(self, width: float = 1280, height: float = 800, padding: float = 40, box: C.Box = C.BOX):
+    def __init__(self, width: float = 1280, height: float = 800, padding: float = 24, box: C.Box = C.BOX):
         x = lambda lon: (lon + 180) / 360
         y = lambda lat: 0.5 - math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)) / (2 * math.pi)
         self.width, self.height = float(width), float(height)

@@ -58,7 +58,7 @@ def log_label(is_hit, place, municipality, canton) -> Column:
 def drag_features(x, y, dx, dy, style) -> Column:
     """struct<target_x, target_y, force, enough>: a drag pulled back aims the other way, a fling along it."""
     length = F.hypot(_c(dx), _c(dy))
-    way = F.when(_c(style) == "back", -C.DRAG_FACTOR).otherwise(C.DRAG_FACTOR)
+    way = F.when(_c(style).isin(*C.BACKWARD_STYLES), -C.DRAG_FACTOR).otherwise(C.DRAG_FACTOR)
     return F.struct(
         (_c(x) + _c(dx) * way).alias("target_x"), (_c(y) + _c(dy) * way).alias("target_y"),
         F.least(length / C.MAX_DRAG_PX, F.lit(1.0)).alias("force"), (length >= C.MIN_DRAG_PX).alias("enough"),

@@ -87,6 +87,11 @@ def all_hits(client: DataFrame, server: DataFrame) -> DataFrame:
     return client.withColumn("layer", F.lit("client")).unionByName(server.withColumn("layer", F.lit("server")), allowMissingColumns=True)
 
 
+def unknown_events(hits: DataFrame) -> DataFrame:
+    """Hits whose name is in neither layer's contract."""
+    return hits.filter(~F.coalesce(F.col("name").isin(*CLIENT_EVENTS, *SERVER_EVENTS, "set_user_properties"), F.lit(False)))
+
+
 def vocabulary_overlap(hits: DataFrame) -> DataFrame:
     """Names that occur in both layers (there should be none), or whose suffix contradicts the layer."""
     by_name = hits.groupBy("name").agg(F.count_distinct("layer").alias("layers"), F.min("layer").alias("layer"))

@@ -26,7 +26,7 @@ def verify_catalog(catalog: DataFrame, resolved: DataFrame, snapshot: DataFrame,
         .when(F.abs(F.col("elevation") - F.col("metres")) > tolerance_m, "drift").otherwise("ok")
     )
     canton = F.when(~F.contains(F.coalesce("r_canton", F.lit("")), F.col("canton")), "canton")
-    water = F.when(F.col("kind").isin("town", "village") & F.col("water"), "in_water")
+    water = F.when(F.col("kind").isin(*C.SETTLEMENTS) & F.col("water"), "in_water")
     return rows.withColumn("status", status).select("name", "status", F.when(F.col("status") == "ok", F.nullif(F.concat_ws(",", canton, water), F.lit(""))).alias("note"))
 
 

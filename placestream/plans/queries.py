@@ -281,7 +281,7 @@ def settings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.settings_as_of(changes).drop("ts")
 
 
-_STATE = """case event_id % 5 when 0 then null when 1 then '{{"view": 1' when 2 then '{{"view": "globus"}}' when 3 then '[{{"id": "a", "zyt": 1704067200000, "isPreich": true, "wurf": {{"art": "preich", "kanton": "BE", "gmeind": "Thun"}}}}, {{"id": "b", "zyt": 1704067201000, "wurf": {{"art": "dernaebe", "grund": "usland"}}}}]' else '{{"sound": "true", "x": [1]}}' end""".replace("{{", "{").replace("}}", "}")
+_STATE = """case event_id % 5 when 0 then null when 1 then '{{"aasicht": 1' when 2 then '{{"aasicht": "globus"}}' when 3 then '[{{"id": "a", "zyt": 1704067200000, "isPreich": true, "wurf": {{"art": "preich", "kanton": "BE", "gmeind": "Thun"}}}}, {{"id": "b", "zyt": 1704067201000, "wurf": {{"art": "dernaebe", "grund": "usland"}}}}]' else '{{"ton": true, "x": [1]}}' end""".replace("{{", "{").replace("}}", "}")
 
 
 @query("select event_id, case when event_id % 5 = 2 then 'globus' else 'charte' end as view, 'zieh' as throw_style, case when event_id % 5 = 4 then 'true' else 'false' end as sound, 'pfyl' as dart_skin from events")

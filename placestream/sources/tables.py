@@ -39,7 +39,7 @@ def read_throw_log(states: DataFrame, json: str = "json", user: str = "user_key"
 def read_settings(states: DataFrame, json: str = "json", defaults: dict[str, str] = C.DEFAULT_SETTINGS) -> DataFrame:
     """Stored settings over the defaults, a column per setting; malformed JSON gives the defaults."""
     v = F.try_parse_json(json)
-    return states.withColumns({k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.lit(d)) for k, d in defaults.items()})
+    return states.withColumns({k: F.coalesce(F.try_variant_get(v, f"$.{C.STORED_SETTINGS.get(k, k)}", "string"), F.lit(d)) for k, d in defaults.items()})
 
 
 def load_catalog(spark: SparkSession, path: str) -> DataFrame:

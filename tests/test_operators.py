@@ -97,6 +97,7 @@ def test_event_limits(spark):
 def test_vocabularies_stay_apart(spark):
     ours = spark.createDataFrame([("page_view",), ("x_server",)], "name string")
     theirs = spark.createDataFrame([("og_unfurl_server",)], "name string")
+    assert [r.name for r in hits.unknown_events(ours).collect()] == ["x_server"]
     assert [r.name for r in hits.vocabulary_overlap(hits.all_hits(ours, theirs)).collect()] == ["x_server"]
 
 
