@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, table
+from .shared import cut, fold, table
 from .words import PLAIN, Words, buffers, slices, span_hashes, words
 
 #: Confirmed toxic rows and unlabelled texts that the classifier is fitted on.
@@ -49,11 +49,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def telling(row: np.ndarray, bucket: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """Which buckets stand out in the positive rows: ``LEAST_ROWS`` of them and ``LEAST_Z`` deviations above the rest."""
-    n_p, n_u = positive.sum(), (~positive).sum()
-    in_p = np.bincount(bucket[positive[row]], minlength=BUCKETS)
-    share = (np.bincount(bucket[~positive[row]], minlength=BUCKETS) + 1) / (n_u + 2)
+def telling(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Buckets that stand out in the positive rows: in ``LEAST_ROWS`` of them, ``LEAST_Z`` deviations above the unlabelled share."""
+    share = (in_u + 1) / (n_u + 2)
     z = (in_p / n_p - share) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
     return (in_p >= LEAST_ROWS) & (z >= LEAST_Z)
 
@@ -61,14 +59,13 @@ def telling(row: np.ndarray, bucket: np.ndarray, positive: np.ndarray) -> np.nda
 def nnpu(row: np.ndarray, bucket: np.ndarray, positive: np.ndarray, prior: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under the non-negative PU risk (logistic loss l).
 
+    ``row`` and ``bucket`` are the features of the rows, ``positive`` flags the rows.
+
     risk = prior E_p[l(g)] + max(0, E_u[l(-g)] - prior E_p[l(-g)]). Where the estimated negative
     part falls below zero its gradient is followed the other way, as the method prescribes. Full
     batches with momentum; the mean of the second half of the steps is kept, so that the turns of
     the correction even out and the result is the same on every run.
     """
-    chosen = telling(row, bucket, positive)
-    here = chosen[bucket]
-    row, bucket = row[here], bucket[here]
     used = np.unique(bucket)
     at = np.searchsorted(used, bucket)
     n, n_p, n_u = len(positive), positive.sum(), (~positive).sum()
@@ -95,8 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS,
     """Fit on at most ``positive_rows`` toxic rows and ``unlabelled_rows`` texts outside the held-out fold.
 
     Both samples are taken in the order of a hash of the id. The class prior is the toxic share of
-    all labelled rows outside that fold. Only ids, hashed features and a flag reach the driver, and
-    their number is bounded by the two limits. Without a toxic row every text scores the same, low.
+    all labelled rows outside that fold. A first pass counts in how many sampled rows each bucket
+    occurs, a second gathers the telling buckets of each sampled row; nothing else reaches the
+    driver. Without a toxic row, or an unlabelled one, every text scores the same, low.
     """
     learn = fold(F.col("doc_id"), FOLDS) != HELD_OUT
     marked = labels.filter(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -104,27 +102,47 @@ def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS,
     by_hash = lambda df, n: df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     positive = by_hash(marked.filter("toxic = 1"), positive_rows).select("doc_id", F.lit(True).alias("p"))
     unlabelled = by_hash(docs.filter(learn & F.col("doc_id").isNotNull()), unlabelled_rows).select("doc_id", F.lit(False).alias("p"))
-    sample = positive.union(unlabelled).distinct()
+    sample = cut(positive.union(unlabelled).distinct())
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "p")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            kind = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            total += np.bincount(kind, minlength=2)
+            for i, raw, offs in slices(*buffers(batch.column(0))):
+                row, bucket = features(words(raw, offs, PLAIN))
+                for k in (0, 1):
+                    seen[k] += np.bincount(bucket[kind[i + row] == k], minlength=BUCKETS)
+        used = np.flatnonzero(seen.any(0))
+        yield pa.record_batch([pa.array(np.append(used, -1)), pa.array(np.append(seen[0, used], total[0])), pa.array(np.append(seen[1, used], total[1]))], names=["bucket", "n_u", "n_p"])
+
+    counted = rows.mapInArrow(count, "bucket long, n_u long, n_p long").groupBy("bucket").agg(F.sum("n_u").alias("n_u"), F.sum("n_p").alias("n_p"))
+    counts = counted.filter(f"bucket < 0 or n_p >= {LEAST_ROWS}").toPandas()  # at most BUCKETS + 1 rows
+    all_ = counts[counts.bucket < 0]
+    n_p, n_u = (int(all_[c].sum()) for c in ("n_p", "n_u"))
+    none = Model(np.zeros(BUCKETS), -3.0, prior)
+    if not n_p or not n_u:
+        return none
+    counts = counts[counts.bucket >= 0]
+    chosen = np.zeros(BUCKETS, bool)
+    chosen[counts.bucket[telling(counts.n_p.to_numpy(), counts.n_u.to_numpy(), n_p, n_u)]] = True
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = []
             for _, raw, offs in slices(*buffers(batch.column(0))):
                 row, bucket = features(words(raw, offs, PLAIN))
+                row, bucket = row[chosen[bucket]], bucket[chosen[bucket]]
                 ends = np.cumsum(np.bincount(row, minlength=len(offs) - 1))[:-1]
                 packed += [x.astype(np.int32).tobytes() for x in np.split(bucket, ends)]
             yield pa.record_batch([pa.array(packed, pa.binary()), batch.column(1)], names=["f", "p"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "p").mapInArrow(gather, "f binary, p boolean").collect()
-    rows.sort(key=lambda r: (r.p, r.f))  # the same order on every run
-    positive_flags = np.array([r.p for r in rows], bool)
-    if not positive_flags.any() or positive_flags.all():
-        return Model(np.zeros(BUCKETS), -3.0, prior)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.f) // 4 for r in rows])
-    bucket = np.frombuffer(b"".join(r.f for r in rows), np.int32)
-    del rows
+    found = sorted(rows.mapInArrow(gather, "f binary, p boolean").collect(), key=lambda r: (r.p, r.f))  # the same order on every run
+    row = np.repeat(np.arange(len(found)), [len(r.f) // 4 for r in found])
+    bucket = np.frombuffer(b"".join(r.f for r in found), np.int32).astype(np.int64)
     prior = min(max(prior, 0.01), 0.9)
-    weight, bias = nnpu(row, bucket, positive_flags, prior)
+    weight, bias = nnpu(row, bucket, np.array([r.p for r in found], bool), prior)
     return Model(weight, bias, prior)
 
 
