@@ -19,6 +19,10 @@ _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028
 # Suffixes that the pattern cuts off after an apostrophe.
 _SUFFIXES = ("s", "t", "m", "d", "re", "ve", "ll")
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
+#: How byte-level vocabularies write a space.
+_SPACE_SIGN = "Ġ"
+#: Words that are encoded in one string.
+WORDS_A_STRING = 2_000
 #: Distinct pieces a worker remembers: those of the present generation, and of the one before.
 CACHE_PIECES = 300_000
 _classes: np.ndarray | None = None
@@ -96,6 +100,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(_SPACE_SIGN)]] = True
         self.known: dict[int, bytes] = {}
         self.before: dict[int, bytes] = {}
 
@@ -117,8 +123,8 @@ class Encoder:
         if fresh:
             data = raw.tobytes()
             texts = [data[start[first[i]] : end[first[i]]].decode() for i in fresh]
-            for i, e in zip(fresh, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                known[keys[i]] = np.array(e.ids, np.uint32).tobytes()
+            for i, ids in zip(fresh, self.encode_pieces(texts), strict=True):
+                known[keys[i]] = ids
         each = [known[k] for k in keys]
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         table, base = np.frombuffer(b"".join(each), np.uint32), np.cumsum(size) - size
@@ -127,3 +133,24 @@ class Encoder:
         row_first = np.searchsorted(start, offs)  # a piece never spans two rows
         total = np.concatenate([[0], np.cumsum(n)])
         return ids, np.diff(total[row_first])
+
+    def encode_pieces(self, texts: list[str]) -> list[bytes]:
+        """The ids of each piece, packed.
+
+        Words of a space and letters stay pieces of their own when they are put on end, and only
+        their first id can hold the space; so many are encoded in one string, the others one by one.
+        """
+        out: list[bytes] = [b""] * len(texts)
+        spaced = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
+        lines = ["".join(texts[i] for i in spaced[k : k + WORDS_A_STRING]) for k in range(0, len(spaced), WORDS_A_STRING)]
+        if lines:
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            packed = ids.tobytes()
+            edges = [*(np.flatnonzero(self.opens[ids]) * 4).tolist(), len(packed)]
+            for i, a, b in zip(spaced, edges[:-1], edges[1:], strict=True):
+                out[i] = packed[a:b]
+        known = set(spaced)
+        rest = [i for i in range(len(texts)) if i not in known]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32).tobytes()
+        return out
