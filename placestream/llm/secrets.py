@@ -41,12 +41,12 @@ def spans(text: str, pattern: str, keep: str = "true") -> str:
     gaps = f"split({text}, {_quoted(pattern)}, -1)"
     none = "cast(array() as array<struct<s: int, e: int, m: string>>)"
     walk = (
-        f"aggregate(arrays_zip({gaps} as g, {found} as m), named_struct('at', 0, 'out', {none}),"
-        " (a, x) -> named_struct('at', a.at + length(x.g) + coalesce(length(x.m), 0), 'out',"
-        " if(x.m is null, a.out, concat(a.out, array(named_struct('s', a.at + length(x.g), 'e', a.at + length(x.g) + length(x.m), 'm', x.m))))),"
+        f"aggregate(arrays_zip({gaps}, {found}), named_struct('at', 0, 'out', {none}),"
+        " (a, x) -> named_struct('at', a.at + length(x.`0`) + coalesce(length(x.`1`), 0), 'out',"
+        " if(x.`1` is null, a.out, concat(a.out, array(named_struct('s', a.at + length(x.`0`), 'e', a.at + length(x.`0`) + length(x.`1`), 'm', x.`1`))))),"
         " a -> a.out)"
     )
-    return f"if({text} rlike {_quoted(pattern)}, filter({walk.replace('arrays_zip(' + gaps + ' as g, ' + found + ' as m)', 'transform(' + gaps + ', (g, i) -> named_struct(' + chr(39) + 'g' + chr(39) + ', g, ' + chr(39) + 'm' + chr(39) + ', get(' + found + ', i)))')}, x -> {keep}), {none})"
+    return f"if({text} rlike {_quoted(pattern)}, filter({walk}, x -> {keep}), {none})"
 
 
 def peak_entropy(candidate: str, window: int = WINDOW) -> str:
