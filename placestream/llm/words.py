@@ -40,7 +40,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
     global _powers
     if len(_powers[0]) < n:
-        n = max(n, 4 << 20)
+        n = max(n, 3 * len(_powers[0]) // 2, 1 << 14)
         up, down = np.full(n, _BASE), np.full(n, _UNBASE)
         up[0] = down[0] = 1
         _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
