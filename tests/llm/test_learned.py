@@ -11,9 +11,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from placestream.llm import language, quality, toxicity, transcripts
-from placestream.llm.shared import table
+from placestream.llm.shared import fold, table
 from placestream.llm.words import buffers
 
 from ..compare import duck
@@ -62,6 +63,16 @@ def test_nnpu_finds_the_telling_word():
     assert weight[1] + bias > 0 > bias
 
 
+def test_toxicity_learns_from_the_later_positive_rows(spark):
+    learn = spark.range(25_000).filter(fold(F.col("id"), toxicity.FOLDS) != toxicity.HELD_OUT)
+    ids = [r.id for r in learn.orderBy(F.xxhash64("id"), "id").collect()]
+    rare, toxic = set(ids[5_900:6_000]), set(ids[:6_000])
+    docs = spark.createDataFrame([(i, "common zork" if i in rare else "common") for i in ids[:18_000]], "doc_id long, text string")
+    model = toxicity.fit(docs, labels_of(spark, [(i, 1, int(i in toxic)) for i in ids]))
+    with_, without = model.scores(*buffers(pa.array(["zork", "common"])))
+    assert with_ > without
+
+
 def test_language_on_held_out_rows(spark):
     docs = table(spark, MEDIUM, "documents")
     got = language.language(docs, language.fit(docs, rows=3_000)).toPandas()
