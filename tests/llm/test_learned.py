@@ -158,6 +158,20 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     assert not got.kept[got.base_failed].any()
 
 
+def test_quality_target_counts_every_good_document(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (2, "epsilon zeta"), (3, "eta theta"), (None, "iota kappa")], "doc_id long, text string")
+    labels = labels_of(spark, [(1, 1, 0), (1, 1, 0), (2, 1, 0), (3, 0, 0), (None, 1, 0)])
+    got = quality.fit(docs, labels, trusted_rows=1)
+
+    def smoothed(texts):
+        key, _ = quality.buckets(*buffers(pa.array(texts)))
+        return (np.bincount(key, minlength=quality.BUCKETS) + 1) / (len(key) + quality.BUCKETS)
+
+    good = ["alpha beta", "gamma delta", "epsilon zeta"]
+    want = np.log(smoothed(good)) - np.log(smoothed([*good, "eta theta", "iota kappa"]))
+    assert np.allclose(got.ratio, want, atol=1e-6)
+
+
 def test_quality_takes_awkward_rows(spark):
     docs = awkward(spark)
     for labels in (labels_of(spark, []), labels_of(spark, [(4, 1, 0), (4, 0, 0), (None, 1, 1), (8, None, 0)])):
