@@ -5,7 +5,8 @@ consecutive words of a document. A CGK walk reads a text word by word and moves
 random bit of the word and the step, so that few edits change few symbols of the walk. Each
 repetition draws its own walk and a few of its steps; where the symbols of a document's walk agree
 there with a walk begun in an item, the item-sized window around it is a candidate, and an exact
-alignment decides.
+alignment decides. Short items leave walks too few words between edits; they are also cut into one
+part more than they may have edits, of which a match holds at least one word for word.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .words import PLAIN, Words, buffers, hash_text, mix, slices, words
+from .words import PLAIN, Words, buffers, hash_text, mix, shingles, slices, words
 
 #: Largest edit distance of a match, as a share of the item's words.
 MOST_EDITS = 0.2
 #: Repetitions and sampled steps of each. Walks begin at every word of a document and at every
-#: ANCHOR_HOP-th word of an item. Simulated recall at MOST_EDITS: 0.99.
+#: ANCHOR_HOP-th word of an item. Simulated recall of the walks at MOST_EDITS: 0.99 from SHORT_WORDS on.
 REPETITIONS, SAMPLES, ANCHOR_HOP = 6, 6, 1
 #: Steps of a walk; shorter items have shorter walks.
 STEPS = 12
+#: Items below so many words are sought by their parts too, so that none is missed.
+SHORT_WORDS = 30
 #: Items that one pass over the documents looks for; larger benchmarks take several passes.
 ITEMS_A_PASS = 20_000
 _NO_WORD = np.uint64(0x5DEECE66D1234567)
@@ -45,9 +48,31 @@ class Walk:
     offset: np.ndarray  # words of the item before the walk's start
 
 
+@dataclass
+class Parts:
+    """Parts of one length of the short items."""
+
+    size: int
+    seen: np.ndarray  # by the top 16 bits of a key: does a part have it?
+    full: np.ndarray  # sorted keys of the parts
+    item: np.ndarray
+    offset: np.ndarray  # words of the item before the part
+
+
 _TOP = np.uint64(48)
 
 
+def most_edits(n_words: int) -> int:
+    """Edits that a match of an item of so many words may have."""
+    return int(MOST_EDITS * n_words + 1e-9)
+
+
+def _seen(key: np.ndarray) -> np.ndarray:
+    table_ = np.zeros(1 << 16, bool)
+    table_[(key >> _TOP).astype(np.uint16)] = True
+    return table_
+
+
 def embed(coin: np.ndarray, start: np.ndarray, steps: np.ndarray, seen: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """(start, keys of the first 1, 2, ... sampled symbols) of the CGK walks from every ``start``.
 
@@ -95,7 +120,8 @@ class Index:
             mine = np.flatnonzero(walk_steps == steps)
             text = np.concatenate([np.append(self.words[i], np.full(STEPS, _NO_WORD)) for i in mine])
             first = np.cumsum([0, *(size[mine] + STEPS)])[:-1]
-            offsets = [np.arange(0, n - steps + 1, ANCHOR_HOP) for n in size[mine]]
+            # a walk reads about half as many words as it has steps
+            offsets = [np.arange(0, max(1, n - steps // 2), ANCHOR_HOP) for n in size[mine]]
             offset, owner = np.concatenate(offsets), np.repeat(mine, [len(o) for o in offsets])
             begin = np.repeat(first, [len(o) for o in offsets]) + offset
             k = min(samples, steps)
@@ -104,13 +130,20 @@ class Index:
                 quarter = steps // k  # one sampled step in each equal part of the walk
                 chosen = np.arange(k) * quarter + rng.integers(0, quarter, k)
                 _, keys = embed(mix(text ^ seed), begin, chosen)
-                seen = []
-                for key in keys:
-                    table_ = np.zeros(1 << 16, bool)
-                    table_[(key >> _TOP).astype(np.uint16)] = True
-                    seen.append(table_)
+                seen = [_seen(key) for key in keys]
                 order = np.argsort(keys[-1], kind="stable")
                 self.walks.append(Walk(seed, chosen, seen, keys[-1][order], owner[order], offset[order]))
+        by_size: dict[int, list[tuple[np.uint64, int, int]]] = {}
+        for i, item in enumerate(self.words):
+            if len(item) < SHORT_WORDS and most_edits(len(item)):  # walks find items without edits
+                edges = np.linspace(0, len(item), most_edits(len(item)) + 2).astype(np.int64)
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    (key,), _ = shingles(item[a:b], np.zeros(b - a, np.int64), int(b - a))
+                    by_size.setdefault(int(b - a), []).append((key, i, int(a)))
+        self.parts: list[Parts] = []
+        for n, found in sorted(by_size.items()):
+            key, item, offset = (np.array(c) for c in zip(*sorted(found), strict=True))
+            self.parts.append(Parts(n, _seen(key), key, item, offset))
 
     def candidates(self, w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (word where an item may begin, (item, row)) of a slice; the word may lie before its row."""
@@ -122,15 +155,23 @@ class Index:
         back[place] = np.arange(len(w.row))
         place = place.astype(np.int32)
         found = [np.zeros((0, 3), np.int64)]
+
+        def note(key: np.ndarray, word: np.ndarray, of: Walk | Parts) -> None:
+            lo, hi = np.searchsorted(of.full, key), np.searchsorted(of.full, key, "right")
+            n = hi - lo
+            entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            word = np.repeat(word, n)
+            found.append(np.stack([word - of.offset[entry], of.item[entry], w.row[word]], 1))
+
         for walk in self.walks:
             start, (key,) = embed(mix(h ^ walk.seed), place, walk.steps, walk.seen)
             if not len(start):
                 continue
-            lo, hi = np.searchsorted(walk.full, key), np.searchsorted(walk.full, key, "right")
-            n = hi - lo
-            entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            word = np.repeat(back[start], n)
-            found.append(np.stack([word - walk.offset[entry], walk.item[entry], w.row[word]], 1))
+            note(key, back[start], walk)
+        for part in self.parts:
+            key, word = shingles(hashes, w.row, part.size)
+            keep = np.flatnonzero(part.seen[(key >> _TOP).astype(np.uint16)])
+            note(key[keep], word[keep], part)
         every = np.unique(np.concatenate(found), axis=0)
         return every[:, 0], every[:, 1:]
 
@@ -167,7 +208,7 @@ def _matches(index: Index, w: Words, batch: int = 512) -> Iterator[tuple[int, in
         return
     h = w.hashes()
     begin, item_row = index.candidates(w, h)
-    slack = np.array([int(MOST_EDITS * len(x) + 1e-9) for x in index.words], np.int64)[item_row[:, 0]]
+    slack = np.array([most_edits(len(x)) for x in index.words], np.int64)[item_row[:, 0]]
     # one window stands for the places within an item's edits of it
     every = np.unique(np.stack([begin // (slack + 1) * (slack + 1), *item_row.T], 1), axis=0)
     begin, item_row = every[:, 0], every[:, 1:]
@@ -176,7 +217,7 @@ def _matches(index: Index, w: Words, batch: int = 512) -> Iterator[tuple[int, in
         items, texts, low = [], [], []
         for b, (item, row) in zip(begin[i : i + batch], item_row[i : i + batch], strict=True):
             word = index.words[item]
-            slack = int(MOST_EDITS * len(word) + 1e-9)
+            slack = most_edits(len(word))
             first, last = w.first[row], w.first[row] + w.count[row]
             lo, hi = max(first, b - 2 * slack), min(last, b + len(word) + 2 * slack)
             items.append(word)
@@ -184,7 +225,7 @@ def _matches(index: Index, w: Words, batch: int = 512) -> Iterator[tuple[int, in
             low.append(lo - first)
         edits, ends = distances(items, texts)
         for (item, row), e, end, lo in zip(item_row[i : i + batch], edits, ends, low, strict=True):
-            if e <= int(MOST_EDITS * len(index.words[item]) + 1e-9):
+            if e <= most_edits(len(index.words[item])):
                 key, value = (int(row), int(item)), (int(e), int(lo + end))
                 best[key] = min(best.get(key, value), value)
     for (row, item), (e, end) in sorted(best.items()):

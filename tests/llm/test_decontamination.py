@@ -2,7 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+import pytest
+
 from placestream.llm import decontamination as d
+from placestream.llm.words import PLAIN, buffers, words
 
 from .cases import awkward, nothing
 from .test_words import plain
@@ -41,6 +45,34 @@ def test_matches_equal_brute_force(spark):
     assert {k for k, e in want.items() if e == 0} <= set(got)
 
 
+def recall(n, trials=200):
+    """Share of items of n words that are found in a text with as many edits of any kind as a match may have."""
+    rng = random.Random(n)
+    new = lambda: f"e{rng.randrange(10**9)}"
+    items, texts = [], []
+    for _ in range(trials):
+        items.append([f"w{rng.randrange(5000)}" for _ in range(n)])
+        edited = list(items[-1])
+        for _ in range(n // 5):
+            at = rng.randrange(len(edited))
+            gone, come = rng.choice([(1, 1), (0, 1), (1, 0)])
+            edited[at : at + gone] = [new()] * come
+        texts.append(" ".join([*[new() for _ in range(9)], *edited, *[new() for _ in range(9)]]))
+    index = d.Index(list(range(trials)), [" ".join(x) for x in items])
+    found = {(row, item) for row, item, *_ in d._matches(index, words(*buffers(pa.array(texts)), PLAIN))}
+    return sum((i, i) in found for i in range(trials)) / trials
+
+
+@pytest.mark.parametrize("n", range(1, 30))
+def test_no_short_item_is_missed(n):
+    assert recall(n) == 1
+
+
+@pytest.mark.parametrize("n", [30, 34, 35, 39, 45, 60])
+def test_recall_of_long_items(n):
+    assert recall(n) >= 0.99
+
+
 def test_blocks_of_items_find_the_same(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m"), (2, "nothing of the kind"), (3, "m l k j i h g f e d c b a")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "m l k j i h g f e d"), (3, None), (4, "")], "item_id long, text string")
