@@ -62,7 +62,7 @@ def identities(w: Words, hashes: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, bands) of every document; key and bands are null where the text has no word."""
+    """(doc_id, text, key, bands) of every document; key and bands are null where the text has no word."""
     rng = np.random.default_rng(1)
     factors = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -84,9 +84,9 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 key = pa.array(identities(w, h).view(np.int64), mask=~some)
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out.ravel().view(np.int64)))
-                yield pa.record_batch([batch.column(0).slice(i, len(some)), key, lists], names=["doc_id", "key", "bands"])
+                yield pa.record_batch([batch.column(0).slice(i, len(some)), batch.column(1).slice(i, len(some)), key, lists], names=["doc_id", "text", "key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, key long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, text string, key long, bands array<long>")
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, rest: list[str], salts: int = SALTS) -> DataFrame:
@@ -136,8 +136,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def gram_sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, text, key, *rest) to (key, *rest, grams): the sorted n-gram hashes of texts with that key."""
-    rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+    """(text, key, *rest) to (key, *rest, grams): the sorted n-gram hashes of texts with that key."""
+    rest = [c for c in rows.columns if c != "text"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,16 +217,16 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     spark = docs.sparkSession
     bands, rows = choose_bands(THRESHOLD, recall)
     path = shared_dir(spark, "jaccard")
-    signed(docs, bands, rows).write.parquet(path)
+    # a number for each row, fixed as it is written: ids may be absent or repeated
+    signed(docs, bands, rows).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     rows_ = spark.read.parquet(path)
     texts = rows_.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("bands").alias("bands"))
     clusters = cut(components(star_edges(texts.select("key", "bands"))).withColumnRenamed("root", "cluster"))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     placed = join_hot(clusters, sizes, "cluster", ["key"])
-    info = rows_.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"))
-    members = placed.join(info, "key").select("key", "cluster", "n_blocks", "rep", "n_docs")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("rep")
-    sets = gram_sets(found)
+    info = rows_.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("n_docs"))
+    members = placed.join(info, "key").select("key", "cluster", "n_blocks", "row", "n_docs")
+    sets = gram_sets(rows_.select("row", "text").join(members, "row").drop("row"))  # one text a key
     b = F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     blocks = sets.withColumn("b", b).withColumn("o", other).select("cluster", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "key", "n_docs", "grams")

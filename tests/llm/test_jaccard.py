@@ -72,6 +72,29 @@ def test_awkward_rows(spark):
     assert jaccard.one_of_each(nothing(spark)).count() == 0
 
 
+def near(rng, n):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    return [" ".join([*base, f"end{i}"]) for i in range(n)]
+
+
+def test_repeated_rows_with_a_near_copy(spark):
+    a, b = near(random.Random(1), 2)
+    docs = [(1, a), (1, a), (2, b)]
+    got = sorted(map(tuple, jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert got == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+
+
+def test_rows_without_an_id_meet_once_a_text(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = [(None, t) for _ in range(20) for t in near(rng, 2)] + [(7, t) for t in near(rng, 2)]
+    met = []
+    make = jaccard.gram_sets
+    monkeypatch.setattr(jaccard, "gram_sets", lambda rows: (met.append(rows.count()), make(rows))[1])
+    got = [tuple(r) for r in jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == [(7, 7, 1)] * 2 + [(None, None, 1)] * 40
+    assert met == [42]
+
+
 def test_components_of_long_chains(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.range(1000, 1005).select("id", F.lit(1000).cast("long")))
     got = {r.key: r.root for r in jaccard.components(edges).collect()}
