@@ -2,11 +2,13 @@
 
 The tokenizers library encodes the pieces that its byte-level pre-tokenizer cuts a text into; a
 piece's ids do not depend on its neighbours. So texts are cut here, by the same published pattern,
-with numpy over many texts at a time, and only pieces not met before go through the library.
+with numpy over many texts at a time, and only pieces not met before go through the library. Where a
+text holds the string of an added token, the library cuts there first; that string is one piece here.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 
@@ -99,15 +101,40 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        contents = sorted({t.content for t in added if t.content}, key=lambda c: -len(c.encode()))
+        self.added = re.compile(b"|".join(re.escape(c.encode()) for c in contents)) if contents else None
+        #: Added tokens that look at their neighbours; a text that holds one is a single piece.
+        self.wary = re.compile(b"|".join(re.escape(t.content.encode()) for t in wary)) if (wary := [t for t in added if t.content and (t.lstrip or t.rstrip or t.single_word)]) else None
+        #: Words put on end can never make up an added token.
+        self.joinable = all(any(c != " " and not c.isalpha() for c in content) for content in contents)
         self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(_SPACE_SIGN)]] = True
         self.known: dict[int, bytes] = {}
         self.before: dict[int, bytes] = {}
 
+    def cut(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(byte starts, byte ends) of the pieces of all rows; the string of an added token is one piece."""
+        data = raw.tobytes()
+        if self.added is None or not self.added.search(data):
+            return pieces(raw, offs)
+        whole = []  # spans that the library takes as they are, in order
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            row = data[a:b]
+            if self.wary is not None and self.wary.search(row):
+                whole.append((a, b))
+            else:
+                whole += [(a + m.start(), a + m.end()) for m in self.added.finditer(row)]
+        spans = np.array(whole, np.int64).reshape(-1, 2)
+        start, _ = pieces(raw, np.unique(np.concatenate([offs, spans.ravel()])))
+        span = np.searchsorted(spans[:, 0], start, "left") - 1  # the last span that begins before the piece
+        inside = (span >= 0) & (start < np.append(spans[:, 1], 0)[span])
+        start = start[~inside]
+        return start, np.append(start[1:], len(raw))
+
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows on end, number of ids of each row)."""
-        start, end = pieces(raw, offs)
+        start, end = self.cut(raw, offs)
         h = span_hashes(raw, start, end)
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_PIECES:  # pieces still in use move on, others are forgotten
@@ -141,7 +168,7 @@ class Encoder:
         their first id can hold the space; so many are encoded in one string, the others one by one.
         """
         out: list[bytes] = [b""] * len(texts)
-        spaced = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
+        spaced = [i for i, t in enumerate(texts) if self.joinable and t[0] == " " and t[1:].isalpha()]
         lines = ["".join(texts[i] for i in spaced[k : k + WORDS_A_STRING]) for k in range(0, len(spaced), WORDS_A_STRING)]
         if lines:
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import AddedToken, Tokenizer
 
 from placestream.llm import bpe, token_store
 from placestream.llm.words import buffers
@@ -28,6 +29,27 @@ def test_ids_equal_the_library_s(texts):
     assert ids.tolist() == [i for x in want for i in x]
 
 
+TOKENS = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>it's", "x<|endo", "ftext|> y", "", "  <|endoftext|>  \n", "<|endoftext<|endoftext|>|>", "é<|endoftext|>中", "no token"]
+
+
+def test_strings_of_added_tokens_are_their_ids():
+    ids, n = bpe.Encoder(JSON).encode(*buffers(pa.array(TOKENS)))
+    want = [e.ids for e in Tokenizer.from_file(TOKENIZER).encode_batch(TOKENS, add_special_tokens=False)]
+    assert n.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
+    assert want[0] == [64, 220, 50256, 275]
+
+
+def test_added_tokens_that_look_at_their_neighbours():
+    library = Tokenizer.from_file(TOKENIZER)
+    library.add_tokens([AddedToken("<sep>", lstrip=True, rstrip=True), AddedToken("solo", single_word=True), AddedToken(" of the"), AddedToken("ab"), AddedToken("abc")])
+    texts = ["one  <sep>  two", "solo solos 1solo (solo)", "out of the  blue", "of", " of", " the", " of a the", "xabcab ab", " ab", "", "x"]
+    ids, n = bpe.Encoder(library.to_str()).encode(*buffers(pa.array(texts)))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
+
+
 def test_pieces_are_forgotten_without_harm(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
     encoder = bpe.Encoder(JSON)
