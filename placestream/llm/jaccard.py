@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, shared_dir, table
+from .shared import SALTS, cut, join_hot, shared_dir, table
 from .words import PLAIN, Words, buffers, mix, powers, shingles, slices, words
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -25,8 +25,6 @@ NGRAM, THRESHOLD = 5, 0.8
 RECALL, MOST_HASHES = 0.999, 144
 #: Texts of a cluster compared with one another in one task, at most twice as many.
 BLOCK = 512
-#: Parts that a hot group is split into before it is joined or its least member is sought.
-SALTS = 256
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -89,18 +87,6 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, text string, key long, bands array<long>")
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, rest: list[str], salts: int = SALTS) -> DataFrame:
-    """Inner join of ``left`` (key, *rest) with ``right``, unique by key, where a key may be hot.
-
-    The rows of a key are first gathered into at most ``salts`` lists in as many tasks, so that at
-    most so many rows of a key meet in the join; then they are spread out again.
-    """
-    salt = F.pmod(F.xxhash64(*rest), F.lit(salts)).alias("_salt")
-    lists = left.select(key, *rest, salt).groupBy(key, "_salt").agg(F.collect_list(F.struct(*rest)).alias("_rows"))
-    joined = lists.join(right, key).withColumn("_row", F.explode("_rows"))
-    return joined.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest], *[c for c in right.columns if c != key])
-
-
 def star_edges(texts: DataFrame) -> DataFrame:
     """(a, b): texts that share a band, each tied to one least member through at most two edges."""
     member = texts.select(F.explode("bands").alias("band"), "key")

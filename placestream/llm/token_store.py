@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .shared import shared_dir, table
+from .shared import join_hot, shared_dir, table
 from .words import buffers, mix, slices
 
 #: Chunk sizes in ids, and the ids that the rolling hash sees (fewer than the least size).
@@ -148,12 +148,14 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
     vocabulary = Encoder(json).tokenizer.get_vocab_size(with_added_tokens=True)
     dtype = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     staged_path = f"{path}/staged"
-    _encoded(docs, json, dtype, end_id).write.option("compression", "zstd").parquet(staged_path)
+    _encoded(docs, json, dtype, end_id).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(staged_path)
     staged = spark.read.parquet(staged_path)
     each = staged.select(F.explode(F.arrays_zip("keys", "sizes", "chunks")).alias("c"))
     chunks = each.select(F.col("c.keys").alias("key"), F.col("c.sizes").alias("n"), F.col("c.chunks").alias("ids")).dropDuplicates(["key"])
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
-    ordered = staged.select("doc_id", "n_tokens", "root", "keys").repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
+    # the row parts documents that share an id and a text, so that no key of the ranges is hot
+    order = F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("row")
+    ordered = staged.select("doc_id", "n_tokens", "root", "keys", "row").repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
     ordered.select(F.monotonically_increasing_id().alias("rid"), "*").write.option("compression", "zstd").parquet(f"{path}/recipes")
     manifest_of(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     folder = spark._jvm.org.apache.hadoop.fs.Path(staged_path)
@@ -228,9 +230,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """
     recipes = spark.read.parquet(f"{path}/recipes")
     refs = recipes.select("rid", F.posexplode("keys").alias("seq", "key"))
-    joined = refs.join(checked_chunks(spark, path), "key", "left")
+    joined = join_hot(refs.select("key", "rid", "seq"), checked_chunks(spark, path), "key", ["rid", "seq"])
     listed = joined.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "crc", "ok", "key"))).alias("chunks"))
-    whole = recipes.select("rid", "doc_id", "n_tokens", "root").join(listed, "rid").join(starts(recipes), "rid")
+    whole = recipes.select("rid", "doc_id", "n_tokens", "root").join(listed, "rid", "left").join(starts(recipes), "rid")
+    whole = whole.withColumn("chunks", F.coalesce("chunks", F.expr("cast(array() as array<struct<seq: int, n: int, crc: bigint, ok: boolean, key: binary>>)")))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +257,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): the documents themselves, rebuilt from recipes and chunks."""
     recipes = spark.read.parquet(f"{path}/recipes")
     refs = recipes.select("rid", F.posexplode("keys").alias("seq", "key"))
-    listed = refs.join(spark.read.parquet(f"{path}/chunks"), "key").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "ids"))).alias("chunks"))
+    listed = join_hot(refs.select("key", "rid", "seq"), spark.read.parquet(f"{path}/chunks"), "key", ["rid", "seq"]).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "ids"))).alias("chunks"))
     whole = recipes.select("rid", "doc_id").join(listed, "rid").join(starts(recipes), "rid")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -37,14 +37,20 @@ _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
+    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each.
+
+    Those that a slice needs are kept; the many of a longer text are made for it alone.
+    """
     global _powers
-    if len(_powers[0]) < n:
-        n = max(n, 3 * len(_powers[0]) // 2, 1 << 14)
-        up, down = np.full(n, _BASE), np.full(n, _UNBASE)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    n = max(n, min(3 * len(_powers[0]) // 2, SLICE_BYTES), 1 << 14)
+    up, down = np.full(n, _BASE), np.full(n, _UNBASE)
+    up[0] = down[0] = 1
+    made = np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
+    if n <= 2 * SLICE_BYTES:
+        _powers = made
+    return made
 
 
 def mix(h: np.ndarray) -> np.ndarray:

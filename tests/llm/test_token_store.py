@@ -18,13 +18,46 @@ from .cases import awkward, nothing
 TOKENIZER = token_store.default_tokenizer()
 JSON = open(TOKENIZER, encoding="utf-8").read()
 ENCODER = bpe.Encoder(JSON)
+LIBRARY = Tokenizer.from_file(TOKENIZER)
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("abstmdrevl'' \n\t1٣é中!?\xa0\x1c😀İ²​\x85ⅷ<|>"), max_size=16), min_size=1, max_size=5))
 def test_ids_equal_the_library_s(texts):
     ids, n = ENCODER.encode(*buffers(pa.array(texts)))
-    want = [e.ids for e in ENCODER.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab 1'<|endoftext|>\n"), max_size=60), min_size=1, max_size=4), st.sampled_from([[], [AddedToken("<sep>", lstrip=True)], [AddedToken("a\nb")], [AddedToken("b a"), AddedToken("1", single_word=True)]]))
+def test_ids_with_other_added_tokens_equal_the_library_s(texts, tokens):
+    library = Tokenizer.from_file(TOKENIZER)
+    library.add_tokens(tokens)
+    texts = [*texts, "xx <sep> y", "a\nb", "a\n\nb", "b ab 1 11"]
+    ids, n = bpe.Encoder(library.to_str()).encode(*buffers(pa.array(texts)))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_tokenizers_that_cut_otherwise_encode_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, texts = bpe.Encoder(open(path, encoding="utf-8").read()), ["Some WORDS, and 12 more.", "", "é <|endoftext|> x"]
+    assert not encoder.by_piece
+    ids, n = encoder.encode(*buffers(pa.array(texts)))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_pieces_of_equal_beginning_are_told_apart():
+    texts = [" " + "a" * k + t for k in range(12, 18) for t in ("", "b", "c", "\0", "\0\0")] + ["\0" * k for k in range(20)] + ["x" * 40, "x" * 41]
+    ids, n = bpe.Encoder(JSON).encode(*buffers(pa.array(texts)))
+    want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
     assert n.tolist() == [len(x) for x in want]
     assert ids.tolist() == [i for x in want for i in x]
 
@@ -54,7 +87,7 @@ def test_pieces_are_forgotten_without_harm(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
     encoder = bpe.Encoder(JSON)
     for text in ("a b c d e f g h", "a b x y z", "a b c d e f g h"):
-        assert encoder.encode(*buffers(pa.array([text])))[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(*buffers(pa.array([text])))[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def test_checksums_join():
@@ -77,7 +110,7 @@ def test_cuts_depend_on_the_document_alone():
 def expected(rows):
     pos, out = 0, []
     for i, t in rows:
-        ids = [*ENCODER.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        ids = [*LIBRARY.encode(t or "", add_special_tokens=False).ids, 0]
         out.append((i, pos, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         pos += len(ids)
     return out
@@ -92,7 +125,7 @@ def test_store_gives_back_what_went_in(spark, tmp_path):
     got = sorted(tuple(r)[:4] for r in token_store.read_digests(spark, path).collect())
     assert got == expected(rows)
     ids = {r.doc_id: r.ids for r in token_store.read_ids(spark, path).collect()}
-    assert all(ids[i] == [*ENCODER.tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in rows)
+    assert all(ids[i] == [*LIBRARY.encode(t, add_special_tokens=False).ids, 0] for i, t in rows)
     chunks = spark.read.parquet(f"{path}/chunks")
     assert chunks.count() == chunks.select("key").distinct().count() < sum(len(r["keys"]) for r in spark.read.parquet(f"{path}/recipes").collect())
 
