@@ -5,8 +5,10 @@ consecutive words of a document. A CGK walk reads a text word by word and moves
 random bit of the word and the step, so that few edits change few symbols of the walk. Each
 repetition draws its own walk and a few of its steps; where the symbols of a document's walk agree
 there with a walk begun in an item, the item-sized window around it is a candidate, and an exact
-alignment decides. Short items leave walks too few words between edits; they are also cut into one
-part more than they may have edits, of which a match holds at least one word for word.
+alignment decides. Walks are short and begin at every word of an item: walks over the whole of an
+item drift apart at this share of edits (README). Short items leave walks too few words between
+edits; they are also cut into one part more than they may have edits, of which a match holds at
+least one word for word.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ REPETITIONS, SAMPLES, ANCHOR_HOP = 6, 6, 1
 STEPS = 12
 #: Items below so many words are sought by their parts too, so that none is missed.
 SHORT_WORDS = 30
-#: Items that one pass over the documents looks for; larger benchmarks take several passes.
+#: Items that one pass over the documents looks for; larger benchmarks take several passes, by a hash of the item.
 ITEMS_A_PASS = 20_000
+#: Bytes of their texts, whose index takes some ten times as many on the driver and in every task.
+BYTES_A_PASS = 8 << 20
 _NO_WORD = np.uint64(0x5DEECE66D1234567)
 
 
@@ -112,7 +116,8 @@ class Index:
                 self.ids.append(i)
                 self.words.append(h)
         rng = np.random.default_rng(4)
-        size = np.array([len(w) for w in self.words], np.int64)
+        self.size = size = np.array([len(w) for w in self.words], np.int64)
+        self.slack = np.array([most_edits(n) for n in size.tolist()], np.int64)
         walk_steps = np.minimum(size, STEPS)
         walk_steps = np.where(walk_steps >= STEPS, STEPS, 1 << np.log2(np.maximum(walk_steps, 1)).astype(np.int64))
         self.walks: list[Walk] = []
@@ -132,7 +137,7 @@ class Index:
                 _, keys = embed(mix(text ^ seed), begin, chosen)
                 seen = [_seen(key) for key in keys]
                 order = np.argsort(keys[-1], kind="stable")
-                self.walks.append(Walk(seed, chosen, seen, keys[-1][order], owner[order], offset[order]))
+                self.walks.append(Walk(seed, chosen, seen, keys[-1][order], owner[order].astype(np.int32), offset[order].astype(np.int32)))
         by_size: dict[int, list[tuple[np.uint64, int, int]]] = {}
         for i, item in enumerate(self.words):
             if len(item) < SHORT_WORDS and most_edits(len(item)):  # walks find items without edits
@@ -176,66 +181,70 @@ class Index:
         return every[:, 0], every[:, 1:]
 
 
-def distances(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Least edit distance of each item to any run of words of its text, and where that run ends.
+def masks(item: np.ndarray) -> dict[int, int]:
+    """For each word of an item, the places where it stands, as bits of an integer."""
+    out: dict[int, int] = {}
+    for i, word in enumerate(item.tolist()):
+        out[word] = out.get(word, 0) | 1 << i
+    return out
+
+
+def distance(places: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
+    """Least edit distance of an item of ``n`` words to any run of words of a text, and the first end with it.
 
-    One column of every pair at a time; of equal distances the first end counts.
+    The column of the alignment is two integers of n bits, the rises and falls from cell to cell
+    (Myers 1999), so that memory follows the item, and long items cost a few operations a word.
     """
-    n, rows = max(map(len, texts)), max(map(len, items))
-    text = np.zeros((len(texts), n), np.uint64)
-    inside = np.zeros((len(texts), n), bool)
-    for i, t in enumerate(texts):
-        text[i, : len(t)], inside[i, : len(t)] = t, True
-    slope = np.arange(n + 1)
-    d = np.zeros((len(items), n + 1), np.int64)
-    out = d.copy()
-    sizes = np.array([len(x) for x in items])
-    for r in range(rows):
-        word = np.array([x[r] if r < len(x) else 0 for x in items], np.uint64)
-        new = np.empty_like(d)
-        new[:, 0] = r + 1
-        new[:, 1:] = np.minimum(d[:, :-1] + np.where((text == word[:, None]) & inside, 0, 1), d[:, 1:] + 1)
-        d = np.minimum.accumulate(new - slope, 1) + slope
-        out[sizes == r + 1] = d[sizes == r + 1]
-    out[:, 1:][~inside] = 1 << 30
-    end = out.argmin(1)
-    return out[np.arange(len(items)), end], end
-
-
-def _matches(index: Index, w: Words, batch: int = 512) -> Iterator[tuple[int, int, int, int, int]]:
+    full, top = (1 << n) - 1, 1 << n - 1
+    rises, falls, score = full, 0, n
+    best, end = n, 0
+    for at, word in enumerate(text, 1):
+        equal = places.get(word, 0)
+        across = ((equal & rises) + rises ^ rises | equal) & full
+        up, down = falls | full & ~(across | rises), rises & across
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+            if score < best:
+                best, end = score, at
+        up, down = up << 1 & full, down << 1 & full
+        vertical = equal | falls
+        rises, falls = down | full & ~(vertical | up), up & vertical
+    return best, end
+
+
+def _matches(index: Index, w: Words) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, first word, end word, edits) of the verified candidates, best place of each item in a row."""
     if not len(w.row):
         return
     h = w.hashes()
     begin, item_row = index.candidates(w, h)
-    slack = np.array([most_edits(len(x)) for x in index.words], np.int64)[item_row[:, 0]]
+    slack = index.slack[item_row[:, 0]]
     # one window stands for the places within an item's edits of it
-    every = np.unique(np.stack([begin // (slack + 1) * (slack + 1), *item_row.T], 1), axis=0)
-    begin, item_row = every[:, 0], every[:, 1:]
+    every = np.unique(np.stack([item_row[:, 0], item_row[:, 1], begin // (slack + 1) * (slack + 1)], 1), axis=0)
+    item, row, begin = every.T
+    slack, size = index.slack[item], index.size[item]
+    low = np.maximum(w.first[row], begin - 2 * slack)
+    high = np.minimum(w.first[row] + w.count[row], begin + size + 2 * slack)
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for i in range(0, len(begin), batch):
-        items, texts, low = [], [], []
-        for b, (item, row) in zip(begin[i : i + batch], item_row[i : i + batch], strict=True):
-            word = index.words[item]
-            slack = most_edits(len(word))
-            first, last = w.first[row], w.first[row] + w.count[row]
-            lo, hi = max(first, b - 2 * slack), min(last, b + len(word) + 2 * slack)
-            items.append(word)
-            texts.append(h[lo:hi])
-            low.append(lo - first)
-        edits, ends = distances(items, texts)
-        for (item, row), e, end, lo in zip(item_row[i : i + batch], edits, ends, low, strict=True):
-            if e <= most_edits(len(index.words[item])):
-                key, value = (int(row), int(item)), (int(e), int(lo + end))
-                best[key] = min(best.get(key, value), value)
-    for (row, item), (e, end) in sorted(best.items()):
-        yield row, item, max(0, end - len(index.words[item])), end, e
+    of, places = -1, {}
+    for k, r, n, most, lo, hi, before in zip(*(x.tolist() for x in (item, row, size, slack, low, high, low - w.first[row])), strict=True):
+        if k != of:
+            of, places = k, masks(index.words[k])
+        edits, end = distance(places, n, h[lo:hi].tolist())
+        if edits <= most:
+            key, value = (r, k), (edits, before + end)
+            best[key] = min(best.get(key, value), value)
+    for (r, k), (edits, end) in sorted(best.items()):
+        yield r, k, max(0, end - int(index.size[k])), end, edits
 
 
 def _blocks(benchmark: DataFrame, items_a_pass: int) -> Iterator[Index]:
     """Indexes over bounded blocks of the benchmark's items, read one block at a time."""
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long"), F.lower("text").alias("text"))
-    n = max(1, -(-items.count() // items_a_pass))
+    size = items.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n = max(1, -(-size["items"] // items_a_pass), -(-size["bytes"] // BYTES_A_PASS))
     for i in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
         rows = sorted(((r["item_id"], r["text"]) for r in part.toLocalIterator()), key=lambda x: (x[0] is None, x))

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -45,17 +47,21 @@ def test_matches_equal_brute_force(spark):
     assert {k for k, e in want.items() if e == 0} <= set(got)
 
 
-def recall(n, trials=200):
-    """Share of items of n words that are found in a text with as many edits of any kind as a match may have."""
-    rng = random.Random(n)
+KINDS = {"substitutions": [(1, 1)], "insertions": [(0, 1)], "deletions": [(1, 0)], "mixed": [(1, 1), (0, 1), (1, 0)], "even": [(1, 1)]}
+
+
+def recall(n, kind, trials=120):
+    """Share of items of n words that are found in a text with as many edits as a match may have."""
+    rng = random.Random(f"{n} {kind}")
     new = lambda: f"e{rng.randrange(10**9)}"
     items, texts = [], []
     for _ in range(trials):
         items.append([f"w{rng.randrange(5000)}" for _ in range(n)])
         edited = list(items[-1])
-        for _ in range(n // 5):
-            at = rng.randrange(len(edited))
-            gone, come = rng.choice([(1, 1), (0, 1), (1, 0)])
+        k = n // 5
+        for j in range(k):
+            at = (2 * j + 1) * n // (2 * k) if kind == "even" else rng.randrange(len(edited))
+            gone, come = rng.choice(KINDS[kind])
             edited[at : at + gone] = [new()] * come
         texts.append(" ".join([*[new() for _ in range(9)], *edited, *[new() for _ in range(9)]]))
     index = d.Index(list(range(trials)), [" ".join(x) for x in items])
@@ -63,14 +69,38 @@ def recall(n, trials=200):
     return sum((i, i) in found for i in range(trials)) / trials
 
 
-@pytest.mark.parametrize("n", range(1, 30))
-def test_no_short_item_is_missed(n):
-    assert recall(n) == 1
+@pytest.mark.parametrize("kind", KINDS)
+def test_no_short_item_is_missed(kind):
+    assert [n for n in range(1, 30) if recall(n, kind) < 1] == []
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_recall_of_long_items(kind):
+    found = {n: recall(n, kind) for n in (30, 34, 39, 45, 60, 100, 200)}
+    assert min(found.values()) >= 0.98, found
+
+
+def test_distances_equal_the_full_table():
+    rng = random.Random(8)
+    for _ in range(300):
+        item, text = ([rng.randrange(6) for _ in range(rng.randint(1, n))] for n in (12, 40))
+        rows = [[0] * (len(text) + 1)]
+        for i, a in enumerate(item, 1):
+            rows.append([i])
+            for j, b in enumerate(text, 1):
+                rows[i].append(min(rows[i - 1][j - 1] + (a != b), rows[i - 1][j] + 1, rows[i][-1] + 1))
+        least = min(rows[-1])
+        assert d.distance(d.masks(np.array(item)), len(item), text) == (least, rows[-1].index(least))
 
 
-@pytest.mark.parametrize("n", [30, 34, 35, 39, 45, 60])
-def test_recall_of_long_items(n):
-    assert recall(n) >= 0.99
+def test_a_long_item_ends_soon():
+    rng = random.Random(5)
+    item = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    text = [w if rng.random() < 0.9 else "x" for w in item]
+    began = time.monotonic()
+    (found,) = d._matches(d.Index([1], [" ".join(item)]), words(*buffers(pa.array([" ".join(text)])), PLAIN))
+    assert found[4] == sum(a != b for a, b in zip(item, text, strict=True))
+    assert time.monotonic() - began < 30
 
 
 def test_blocks_of_items_find_the_same(spark):
