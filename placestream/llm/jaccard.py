@@ -23,8 +23,9 @@ from .words import PLAIN, Words, buffers, mix, powers, shingles, slices, words
 NGRAM, THRESHOLD = 5, 0.8
 #: Chance that a pair exactly at the threshold shares a band, and the hashes it may cost.
 RECALL, MOST_HASHES = 0.999, 144
-#: Texts of a cluster compared with one another in one task, at most twice as many.
-BLOCK = 512
+#: Texts of a cluster compared with one another in one task, and their n-grams; twice as many in a pair
+#: of blocks. Texts are dealt to blocks by a hash, so these are means, and a longer text is not cut.
+BLOCK, GRAMS_A_BLOCK = 512, 1 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -60,13 +61,14 @@ def identities(w: Words, hashes: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text, key, bands) of every document; key and bands are null where the text has no word."""
+    """(doc, key, n_grams, bands) of every row, ``doc`` being the row; key and bands are null where the text has no word."""
     rng = np.random.default_rng(1)
     factors = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw, offs in slices(*buffers(batch.column(1))):
+            doc = batch.column(0)
+            for i, raw, offs in slices(*buffers(doc.field("text"))):
                 w = words(raw, offs, PLAIN)
                 h = w.hashes()
                 grams, row = ngrams(w, h)
@@ -82,9 +84,11 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 key = pa.array(identities(w, h).view(np.int64), mask=~some)
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out.ravel().view(np.int64)))
-                yield pa.record_batch([batch.column(0).slice(i, len(some)), batch.column(1).slice(i, len(some)), key, lists], names=["doc_id", "text", "key", "bands"])
+                n = pa.array(np.bincount(row, minlength=len(some)).astype(np.int64))
+                yield pa.record_batch([doc.slice(i, len(some)), key, n, lists], names=["doc", "key", "n_grams", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, text string, key long, bands array<long>")
+    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return doc.mapInArrow(sign, f"doc {doc.schema['doc'].dataType.simpleString()}, key long, n_grams long, bands array<long>")
 
 
 def star_edges(texts: DataFrame) -> DataFrame:
@@ -187,32 +191,23 @@ def links_of_block(block: pd.DataFrame) -> pd.DataFrame:
     return out[links > 0]
 
 
-def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row of ``docs`` (doc_id, text).
-
-    A link is a pair of documents whose sets of NGRAM-word runs have Jaccard similarity THRESHOLD or
-    more; words are lower-cased runs of letters and digits. ``n_links`` counts the other documents
-    linked to the row's, exact copies included, among the pairs of its candidate cluster. ``class_id``
-    is the least doc_id connected by links. Any pair that shares a band is compared, in blocks, with
-    no limit on the size of a cluster.
-
-    Null, empty or wordless texts have no link; their class is their own id. Texts of fewer than
-    NGRAM words count as one run. Repeated rows are copies of each other. Rows without an id count,
-    and a class without any id has the null class. An empty table gives an empty result.
-    """
+def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """The rows as written to the shared folder (row, doc, key), and (key, root, class_id, n_links) of each text."""
     spark = docs.sparkSession
     bands, rows = choose_bands(THRESHOLD, recall)
     path = shared_dir(spark, "jaccard")
     # a number for each row, fixed as it is written: ids may be absent or repeated
     signed(docs, bands, rows).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
-    rows_ = spark.read.parquet(path)
-    texts = rows_.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("bands").alias("bands"))
-    clusters = cut(components(star_edges(texts.select("key", "bands"))).withColumnRenamed("root", "cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    placed = join_hot(clusters, sizes, "cluster", ["key"])
-    info = rows_.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("n_docs"))
-    members = placed.join(info, "key").select("key", "cluster", "n_blocks", "row", "n_docs")
-    sets = gram_sets(rows_.select("row", "text").join(members, "row").drop("row"))  # one text a key
+    written = spark.read.parquet(path)
+    worded = written.filter("key is not null")
+    signs = worded.groupBy("key").agg(F.first("bands").alias("bands"))
+    clusters = cut(components(star_edges(signs)).withColumnRenamed("root", "cluster"))
+    info = worded.groupBy("key").agg(F.min(F.col("doc.doc_id").cast("long")).alias("rep"), F.min("row").alias("row"), F.count("*").alias("n_docs"), F.max("n_grams").alias("n_grams"))
+    known = clusters.join(info.select("key", "row", "n_docs", "n_grams"), "key")
+    n_blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_grams") / GRAMS_A_BLOCK)).cast("int")
+    sizes = known.groupBy("cluster").agg(n_blocks.alias("n_blocks"))
+    members = join_hot(known.select("cluster", "key", "row", "n_docs"), sizes, "cluster", ["key", "row", "n_docs"])
+    sets = gram_sets(written.select("row", "doc.text").join(members, "row").drop("row"))  # one text a key
     b = F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     blocks = sets.withColumn("b", b).withColumn("o", other).select("cluster", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "key", "n_docs", "grams")
@@ -221,23 +216,47 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     degree = links.groupBy("key").agg(F.sum("links").alias("links"))
     linked = info.join(roots, "key").join(degree, "key")
     class_ids = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = join_hot(linked.select("root", "key", "links"), class_ids, "root", ["key", "links"]).drop("root")
-    every = info.join(named, "key", "left").select("key", F.when(F.col("links").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    worded = join_hot(rows_.filter("key is not null").select("key", "doc_id"), every, "key", ["doc_id"]).select("doc_id", "class_id", "n_links")
-    wordless = rows_.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    named = join_hot(linked.select("root", "key", "links"), class_ids, "root", ["key", "links"])
+    every = info.join(named, "key", "left").select(
+        "key",
+        F.coalesce("root", "key").alias("root"),
+        F.when(F.col("links").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"),
+        (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
+    return written, every
+
+
+def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row of ``docs`` (doc_id, text).
+
+    A link is a pair of documents whose sets of NGRAM-word runs have Jaccard similarity THRESHOLD or
+    more; words are lower-cased runs of letters and digits. ``n_links`` counts the other documents
+    linked to the row's, exact copies included, among the pairs of its candidate cluster. ``class_id``
+    is the least doc_id connected by links. Any pair that shares a band is compared, in blocks, with
+    no limit on the size of a cluster.
+
+    Null, empty or wordless texts have no link; their class is their own id. Texts of fewer than
+    NGRAM words count as one run. Repeated rows are copies of each other. Rows without an id count,
+    and a class without any id has the null class. An empty table gives an empty result.
+    """
+    written, every = classes(docs.select("doc_id", "text"), recall)
+    ids = written.select("key", F.col("doc.doc_id").cast("long").alias("doc_id"))
+    worded = join_hot(ids.filter("key is not null"), every.drop("root"), "key", ["doc_id"]).select("doc_id", "class_id", "n_links")
+    wordless = ids.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return worded.union(wordless)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: those with the least id, with all columns.
+    """The rows of ``docs`` that stand for their class, with all columns: of those with its least id, one.
 
-    Rows that repeat an id and a text are kept once; rows without an id stand for themselves.
+    A class without any id keeps one row. Texts without words all stay.
     """
-    result = jaccard_join(docs)
-    kept = result.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("_times")).withColumnRenamed("doc_id", "_kept")
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept"))).drop("_kept")
-    once, often = joined.filter("_times = 1"), joined.filter("_times > 1").dropDuplicates(["doc_id", "text"])
-    return once.union(often).select(*[F.col(f"`{c}`") for c in docs.columns])
+    written, every = classes(docs)
+    ids = written.select("key", F.col("doc.doc_id").cast("long").alias("doc_id"), "row")
+    standing = join_hot(ids.filter("key is not null"), every, "key", ["doc_id", "row"]).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = standing.groupBy("root").agg(F.min("row").alias("row")).select("row")
+    kept = kept.union(ids.filter("key is null").select("row"))
+    return written.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,9 +38,10 @@ def brute(docs):
     return {i: (find(i), links[i]) for i in sets}
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_join_equals_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "most"), [(512, 1 << 20), (7, 1 << 20), (512, 300)])
+def test_join_equals_brute_force(spark, block, most, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "GRAMS_A_BLOCK", most)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
     docs = []
@@ -52,7 +53,7 @@ def test_join_equals_brute_force(spark, block, monkeypatch):
                 t[rng.randrange(len(t))] = rng.choice(vocabulary)
             docs.append((len(docs), " ".join(t)))
     docs += [(1000, ""), (1001, ""), (1002, "short one"), (1003, "Short, one!")]
-    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), recall=0.999999 if block == 512 else 0.999).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), recall=0.999999 if block == 512 and most > 300 else 0.999).collect()}
     want = brute(docs)
     assert sum(got[i] != want[i] for i in want) <= 2  # the banding misses one pair in a thousand
     assert got[1000] == (1000, 0)
@@ -95,6 +96,22 @@ def test_rows_without_an_id_meet_once_a_text(spark, monkeypatch):
     assert met == [42]
 
 
+def test_one_row_of_each_class_stays_whatever_its_ids(spark):
+    rng = random.Random(3)
+    docs = [(None, t) for _ in range(10) for t in near(rng, 3)] + [(5, t) for _ in range(10) for t in near(rng, 3)] + [(i % 2 or None, t) for i, t in enumerate(near(rng, 4))] + [(None, ""), (None, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, doc string"))
+    assert kept.columns == ["doc_id", "text", "doc"]
+    assert sorted((r.doc_id or 0 for r in kept.collect())) == [0] * 12 + [1] + [5] * 10
+
+
+def test_many_rows_without_an_id_or_of_one_id(spark):
+    words = F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64((F.col("id") / 2).cast("long"), F.lit(k)), F.lit(10**6)).cast("string")) for k in range(30)])
+    for doc_id in (F.lit(None).cast("long"), F.lit(3).cast("long")):
+        docs = spark.range(30_000).select(doc_id.alias("doc_id"), words.alias("text"))
+        got = jaccard.jaccard_join(docs).groupBy("n_links").count().collect()
+        assert [(r.n_links, r["count"]) for r in got] == [(1, 30_000)]
+
+
 def test_components_of_long_chains(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.range(1000, 1005).select("id", F.lit(1000).cast("long")))
     got = {r.key: r.root for r in jaccard.components(edges).collect()}
