@@ -20,6 +20,8 @@ BOX = Box()
 ORIGIN = (46.948, 7.4474)  # lat, lon
 EARTH_RADIUS_KM = 6371.0
 GRID_DECIMALS = 4
+#: The box, widened by more than a point moves when it is snapped.
+BOX_BEFORE_SNAP = Box(BOX.west - 1e-4, BOX.south - 1e-4, BOX.east + 1e-4, BOX.north + 1e-4)
 NEAR_KM, BULLSEYE_KM = 8.0, 0.6
 BOX_MARGIN = 0.05
 SECTORS = ("north", "northeast", "east", "southeast", "south", "southwest", "west", "northwest")

@@ -25,10 +25,10 @@ def reaction_label(water, elevation, km, canton) -> Column:
     )
 
 
-def device_context(dark, fine, coarse) -> Column:
-    """struct<color_scheme, pointer_type> from device flags; absent flags count as off."""
+def device_context(dark, fine, coarse, reduced_motion=None) -> Column:
+    """struct<color_scheme, pointer_type, reduced_motion> from device flags; absent flags count as off."""
     on = lambda x: F.coalesce(_c(x), F.lit(False))
-    return F.struct(F.when(on(dark), "dark").otherwise("light").alias("color_scheme"), F.when(on(fine), "fine").when(on(coarse), "coarse").otherwise("none").alias("pointer_type"))
+    return F.struct(F.when(on(dark), "dark").otherwise("light").alias("color_scheme"), F.when(on(fine), "fine").when(on(coarse), "coarse").otherwise("none").alias("pointer_type"), on(F.lit(None) if reduced_motion is None else reduced_motion).alias("reduced_motion"))
 
 
 def canton_name(code) -> Column:

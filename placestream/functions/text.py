@@ -39,17 +39,34 @@ def format_point(lat, lon) -> Column:
     return F.format_string("%.4f,%.4f", _c(lat), _c(lon))
 
 
-def _authority(url: Column) -> Column:
-    """Lower-cased host with its port, without user and default port; null if the text is no URL."""
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("AUTHORITY"))), r"^.*@", "")
-    plain = F.when(scheme == "http", F.regexp_replace(host, r":80$", "")).when(scheme == "https", F.regexp_replace(host, r":443$", "")).otherwise(host)
-    return F.nullif(plain, F.lit(""))
+# Schemes whose links always have a host, and the port that each leaves out.
+_DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
+_HOST = r"^(?:[^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+|\[[0-9A-Fa-f:.]+\])(?::[0-9]*)?$"
+
+
+def _link(url: Column) -> tuple[Column, Column]:
+    """(scheme, lower-cased host with its port) of an absolute link by the rules of browsers; both null if it is none.
+
+    Only scheme and authority are looked at: paths and queries may hold any character. Slashes after
+    the scheme may be of any number and kind; user and default port are left out. A host with percent
+    signs, which browsers would decode, counts as none.
+    """
+    clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    scheme = F.nullif(F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
+    hosted = scheme.isin(*_DEFAULT_PORTS)
+    authority = F.when(hosted, F.regexp_extract(clean, r"^[^:]*:[/\\]*([^/\\?#]*)", 1)).otherwise(F.regexp_extract(clean, r"^[^:]*://([^/?#]*)", 1))
+    place = F.regexp_replace(authority, r"^.*@", "")
+    port = F.regexp_extract(place, r":([0-9]*)$", 1).try_cast("int")
+    default = F.try_element_at(F.create_map(*[F.lit(x) for pair in _DEFAULT_PORTS.items() for x in pair]), scheme)
+    host = F.lower(F.regexp_replace(place, r":[0-9]*$", ""))
+    full = F.when(port.isNull() | port.eqNullSafe(default), host).otherwise(F.concat(host, F.lit(":"), port.cast("string")))
+    good = F.when(hosted, place.rlike(_HOST) & (F.coalesce(port, F.lit(0)) <= 65535)).otherwise(scheme.isNotNull())
+    return F.when(good, scheme), F.when(good, full)
 
 
 def url_host(url: Column | str) -> Column:
     """Host name without port, lower-cased; null where there is none."""
-    return F.regexp_replace(_authority(_c(url)), r":\d+$", "")
+    return F.nullif(F.regexp_replace(_link(_c(url))[1], r":\d+$", ""), F.lit(""))
 
 
 def link_fields(href: Column | str, text: Column | str) -> Column:
@@ -60,8 +77,8 @@ def link_fields(href: Column | str, text: Column | str) -> Column:
 
 def is_outbound(href: Column | str, host: Column | str) -> Column:
     """Whether an http(s) link leads to another host (ports count); false for anything else."""
-    scheme = F.lower(F.try_parse_url(_c(href), F.lit("PROTOCOL")))
-    return F.coalesce(scheme.isin("http", "https") & (_authority(_c(href)) != _c(host)), F.lit(False))
+    scheme, place = _link(_c(href))
+    return F.coalesce(scheme.isin("http", "https") & (place != _c(host)), F.lit(False))
 
 
 def classify_click(href: Column | str, location: Column | str | None = None, kind: Column | str | None = None) -> Column:
@@ -96,14 +113,20 @@ def cookie_value(header: Column | str, name: str) -> Column:
     return F.trim(last.substr(F.instr(last, "=") + 1, F.length(last)))
 
 
+# The forms of the analytics cookies.
+_CLIENT_COOKIE, _SESSION_COOKIE = r"^GA\d+\.\d+\.(\d+\.\d+)\z", r"^GS\d+\.\d+\.s?(\d+)"
+# Endings and beginnings of the names of lakes.
+_LAKE_END, _LAKE_BEGIN = r"(?i)(?:see|seeli)\z", r"(?i)^(?:lac|lago|lej|lai)(?![A-Za-z0-9_])"
+
+
 def client_id(header: Column | str) -> Column:
     """The id in a well-formed _ga cookie, else null."""
-    return F.nullif(F.regexp_extract(cookie_value(header, "_ga"), r"^GA\d+\.\d+\.(\d+\.\d+)\z", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(cookie_value(header, "_ga"), _CLIENT_COOKIE, 1), F.lit(""))
 
 
 def session_id(header: Column | str, stream: str) -> Column:
     """The session in the stream's cookie, in its old or new form, else null."""
-    return F.nullif(F.regexp_extract(cookie_value(header, f"_ga_{stream}"), r"^GS\d+\.\d+\.s?(\d+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(cookie_value(header, f"_ga_{stream}"), _SESSION_COOKIE, 1), F.lit(""))
 
 
 def consent_cookie(header: Column | str) -> Column:
@@ -121,7 +144,7 @@ def error_status(message: Column | str) -> Column:
 
 def is_water(name: Column | str) -> Column:
     """Whether a municipality's name says that it is a lake."""
-    return _c(name).rlike(r"(?i)(?:see|seeli)\z") | _c(name).rlike(r"(?i)^(?:lac|lago|lej|lai)(?![A-Za-z0-9_])")
+    return _c(name).rlike(_LAKE_END) | _c(name).rlike(_LAKE_BEGIN)
 
 
 def page_pattern_hits(html: Column | str, pattern: str = r"/words/\d+") -> Column:

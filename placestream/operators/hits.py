@@ -8,13 +8,49 @@ from pyspark.sql import functions as F
 from placestream import constants as C
 from placestream.functions.text import client_id, consent_cookie, session_id
 
-CLIENT_EVENTS = (
-    "page_view", "outbound_click", "internal_link_click", "nav_click", "project_cta_click", "download_click", "citation_click", "page_not_found", "web_vitals",
-    "throw_started", "throw_input_method", "throw_abandoned", "throw_completed", "throw_off_map", "throw_api_error", "shared_throw_opened", "panel_toggle",
-    "map_engaged", "share_attempt", "share_result", "result_action", "setting_changed", "throw_log_entry_click", "throw_log_cleared", "canton_collected",
-    "all_cantons_collected", "dart_skin_unlocked",
-)
-SERVER_EVENTS = ("throw_resolved_server", "swisstopo_error_server", "og_unfurl_server", "design_fetch_failed_server")
+# The events of both layers with their parameters. A question mark marks one that may be
+# absent; its values are of a type, or one of those listed.
+_LINK = {"link_url": "text", "link_text": "text", "link_domain": "text"}
+CLIENT_PARAMS = {
+    "page_view": {"page_path": "text", "page_title?": "text"},
+    "outbound_click": _LINK,
+    "internal_link_click": _LINK,
+    "nav_click": {"link_url": "text", "link_text": "text", "nav_location": "header or footer"},
+    "project_cta_click": {"project_slug": "text", "cta_label": "text"},
+    "download_click": {"project_slug": "text", "link_url": "text"},
+    "citation_click": _LINK,
+    "page_not_found": {"page_path": "text", "referrer": "text"},
+    "web_vitals": {"metric_name": "text", "metric_value": "number", "metric_rating": "good or needs-improvement or poor", "metric_id": "text", "page_path": "text"},
+    "throw_started": {"input_method": "drag or fling"},
+    "throw_input_method": {"input_method": "drag or tap or fling or keyboard"},
+    "throw_abandoned": {"input_method": "drag or fling"},
+    "throw_completed": {
+        "outcome": "preich or dernaebe", "throw_quality": "sufer or gschlämpert or chnorz", "canton?": "text", "municipality?": "text", "elevation?": "number or null", "distance_km?": "number",
+        "bearing?": "text", "water?": "flag", "miss_reason?": "usland or grenzwasser",
+    },
+    "throw_off_map": {},
+    "throw_api_error": {"status?": "number or null"},
+    "shared_throw_opened": {},
+    "panel_toggle": {"open": "flag"},
+    "map_engaged": {},
+    "share_attempt": {},
+    "share_result": {"share_method": "native or clipboard", "outcome": "shared or dismissed or copied or unsupported or failed"},
+    "result_action": {"action": "again or show_on_map or share"},
+    "setting_changed": {"setting_name": "view or throw_style or dart_skin or sound", "setting_value": "text"},
+    "throw_log_entry_click": {"art": "preich or dernaebe"},
+    "throw_log_cleared": {"entry_count": "number"},
+    "canton_collected": {"canton": "text", "cantons_collected": "number"},
+    "all_cantons_collected": {"throw_count": "number"},
+    "dart_skin_unlocked": {"dart_skin": "text", "threshold": "number"},
+}
+SERVER_PARAMS = {
+    "throw_resolved_server": {"art": "text", "upstream_ms": "number", "kanton?": "text", "wasser?": "flag", "hoechi?": "number", "distanz_km?": "number", "richtig?": "text", "grund?": "text"},
+    "swisstopo_error_server": {"upstream_ms": "number"},
+    "og_unfurl_server": {"has_wurf": "flag", "resolved": "flag"},
+    "design_fetch_failed_server": {"status": "number"},
+}
+EVENT_PARAMS = CLIENT_PARAMS | SERVER_PARAMS
+CLIENT_EVENTS, SERVER_EVENTS = tuple(CLIENT_PARAMS), tuple(SERVER_PARAMS)
 
 
 def resolve_consent(hits: DataFrame, cookie: str = "cookie", gpc: str = "gpc", dnt: str | None = None) -> DataFrame:
@@ -72,14 +108,47 @@ def derive_client(hits: DataFrame, stream: str = "S", cookie: str = "cookie", de
 
 
 def server_payload(hits: DataFrame, name: str = "name", params: str = "params") -> DataFrame:
-    """Hits with ``payload``: JSON of the client id and one event, its params as a map of texts.
+    """Hits with ``payload``: JSON of the client id and one event, its params with their own types.
 
-    ``params`` is a map<string, string>; session_id is there only if known.
+    ``params`` is a struct, map or VARIANT; absent fields are left out. The engagement time is a
+    number, the session id is there only if known.
     """
-    extra = F.create_map(F.lit("engagement_time_msec"), F.lit("1"), F.lit("client_source"), F.col("client_source"))
-    session = F.when(F.col("session_id").isNotNull(), F.create_map(F.lit("session_id"), F.col("session_id"))).otherwise(F.expr("cast(map() as map<string, string>)"))
-    event = F.struct(F.col(name).alias("name"), F.map_concat(F.col(params), extra, session).alias("params"))
-    return hits.withColumn("payload", F.to_json(F.struct("client_id", F.array(event).alias("events"))))
+    given = F.coalesce(F.to_json(params), F.lit("{}"))
+    extra = F.to_json(F.struct(F.lit(1).alias("engagement_time_msec"), "client_source", "session_id"))
+    inner = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)
+    merged = F.concat(F.lit("{"), F.concat_ws(",", F.nullif(inner(given), F.lit("")), inner(extra)), F.lit("}"))
+    # the name and the id as JSON texts, quoted and escaped
+    head = F.to_json(F.struct("client_id"))
+    event = F.to_json(F.struct(F.col(name).alias("name")))
+    cut = lambda c: F.substring(c, F.lit(1), F.length(c) - 1)
+    return hits.withColumn("payload", F.concat(cut(head), F.lit(',"events":['), cut(event), F.lit(',"params":'), merged, F.lit("}]}")))
+
+
+def contract_problems(name: Column, params: Column) -> Column:
+    """array<string> of the parameters of a known event that are missing or of another type or value; null for an unknown name.
+
+    ``params`` is JSON text; anything but an object has no parameters. Parameters beyond the contract are let pass.
+    """
+    parsed = F.try_parse_json(params)
+    out = None
+    for event, fields in EVENT_PARAMS.items():
+        checks = []
+        for field, allowed in fields.items():
+            key = field.rstrip("?")
+            value = F.try_variant_get(parsed, f"$.{key}", "variant")
+            kind = F.schema_of_variant(value)
+            if allowed == "text":
+                good = kind == "STRING"
+            elif allowed == "flag":
+                good = kind == "BOOLEAN"
+            elif allowed in ("number", "number or null"):
+                good = kind.rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)") | ((kind == "VOID") if allowed != "number" else F.lit(False))
+            else:
+                good = (kind == "STRING") & F.try_variant_get(parsed, f"$.{key}", "string").isin(*allowed.split(" or "))
+            checks.append(F.when(~F.when(value.isNull(), F.lit(field.endswith("?"))).otherwise(F.coalesce(good, F.lit(False))), F.lit(key)))
+        found = F.array_compact(F.array(*checks)) if checks else F.expr("cast(array() as array<string>)")
+        out = F.when(name == event, found) if out is None else out.when(name == event, found)
+    return out
 
 
 def all_hits(client: DataFrame, server: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from placestream import constants as C
 
 _ORDER = ("ts", "event_id")
+#: Cantons of a stamp card.
+MOST_CANTONS = 1_000
 
 
 def log_epochs(log: DataFrame) -> DataFrame:
@@ -27,11 +29,16 @@ def numbered(log: DataFrame) -> DataFrame:
 
 
 def latest_log(log: DataFrame, n: int = C.LOG_SIZE) -> DataFrame:
-    """The newest ``n`` entries of each user's last epoch, with ``place`` 1 for the newest."""
-    newest = Window.partitionBy("user_key").orderBy(F.desc("epoch"), F.desc("ts"), F.desc("event_id"))
-    last = F.max("epoch").over(Window.partitionBy("user_key"))
-    rows = log_epochs(log).withColumn("last_epoch", last).filter("epoch = last_epoch and not is_clear")
-    return rows.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= n).drop("last_epoch")
+    """The newest ``n`` entries of each user since the last clear, with ``place`` 1 for the newest.
+
+    The last clear is a maximum over partial aggregates, and only the newest rows of a task go on to
+    be ranked, so a long history is neither brought together nor sorted as a whole.
+    """
+    cleared = log.filter("is_clear").groupBy(F.col("user_key").alias("_user")).agg(F.max(F.struct("ts", "event_id")).alias("_clear"))
+    rows = log.filter(~F.col("is_clear")).join(cleared, F.col("user_key").eqNullSafe(F.col("_user")), "left")
+    after = F.col("_clear").isNull() | (F.struct("ts", "event_id") > F.col("_clear"))
+    newest = Window.partitionBy("user_key").orderBy(F.desc("ts"), F.desc("event_id"))
+    return rows.filter(after).drop("_user", "_clear").withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= n)
 
 
 def canton_milestones(log: DataFrame, n: int = C.LOG_SIZE) -> DataFrame:
@@ -92,25 +99,37 @@ def user_properties(log: DataFrame) -> DataFrame:
 
 
 def user_properties_over_time(log: DataFrame, n: int = C.LOG_SIZE) -> DataFrame:
-    """Properties after every change of the log, clears included."""
-    rows = log_epochs(log)
-    frame = Window.partitionBy("user_key", "epoch").orderBy(*_ORDER).rowsBetween(-(n - 1), Window.currentRow)
-    rows = rows.filter(~F.col("is_clear")).withColumns({"throws": F.count("*").over(frame), "cantons": F.size(F.collect_set(F.when(F.col("is_hit"), F.nullif(F.col("canton").cast("string"), F.lit("")))).over(frame))}).unionByName(
-        rows.filter("is_clear"), allowMissingColumns=True
-    )
-    throws = F.coalesce("throws", F.lit(0))
-    return rows.select("user_key", "event_id", "ts", throws.cast("long").alias("throw_count"), F.coalesce("cantons", F.lit(0)).cast("long").alias("cantons_collected"), skins_unlocked(throws).alias("dart_skins_unlocked"))
+    """Properties after every change of the log, clears included.
+
+    Cantons are counted as in ``canton_milestones``, by the running sum of the few entries at which
+    one comes into the log of ``n`` or drops out of it.
+    """
+    rows = numbered(log).withColumn("seen", F.when(F.col("is_hit"), F.nullif(F.col("canton").cast("string"), F.lit(""))))
+    same = Window.partitionBy("user_key", "epoch", "seen").orderBy("rn")
+    rows = rows.withColumns({"since": F.col("rn") - F.lag("rn").over(same), "until": F.lead("rn").over(same) - F.col("rn")})
+    far = lambda c: F.col("seen").isNotNull() & (F.col(c).isNull() | (F.col(c) > n))
+    change = lambda at, by, own: F.struct(at.cast("long").alias("at"), F.lit(by).alias("by"), F.lit(own).alias("own"))
+    rn = F.col("rn")
+    steps = F.array_compact(F.array(change(rn, 0, 1), F.when(far("since"), change(rn, 1, 0)), F.when(far("until"), change(rn + n, -1, 0))))
+    running = Window.partitionBy("user_key", "epoch").orderBy("s.at", "s.own", "rn").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.select("user_key", "epoch", "event_id", "ts", "rn", F.explode(steps).alias("s")).withColumn("cantons", F.sum("s.by").over(running)).filter("s.own = 1")
+    entries = counted.select("user_key", "event_id", "ts", F.least(rn, F.lit(n)).cast("long").alias("throws"), F.col("cantons").cast("long").alias("cantons"))
+    none = F.lit(0).cast("long")
+    every = entries.unionByName(log.filter("is_clear").select("user_key", "event_id", "ts", none.alias("throws"), none.alias("cantons")))
+    return every.select("user_key", "event_id", "ts", F.col("throws").alias("throw_count"), F.col("cantons").alias("cantons_collected"), skins_unlocked(F.col("throws")).alias("dart_skins_unlocked"))
 
 
 def stamp_card(log: DataFrame, cantons: DataFrame) -> DataFrame:
     """Every user with every canton of ``cantons`` (canton): collected or not, and how many, and whether all.
 
     Users without an entry in the present log have a card of blanks. The product is by design: one
-    row a user and canton, from a table of bounded size.
+    row a user and canton, from a table of at most MOST_CANTONS.
     """
     users = log.select("user_key").distinct()
     have = latest_log(log).filter("is_hit").select("user_key", F.col("canton").cast("string").alias("canton")).distinct().withColumn("collected", F.lit(True))
-    total = cantons.count()
+    total = cantons.limit(MOST_CANTONS + 1).count()
+    if total > MOST_CANTONS:
+        raise ValueError(f"a card has at most {MOST_CANTONS} cantons")
     grid = users.withColumn("canton", F.explode(F.array(*[F.lit(r["canton"]) for r in cantons.orderBy("canton").collect()]))) if total else users.limit(0).withColumn("canton", F.lit(""))
     card = grid.join(have, ["user_key", "canton"], "left").withColumn("collected", F.coalesce("collected", F.lit(False)))
     n = F.sum(F.col("collected").cast("int")).over(Window.partitionBy("user_key"))

@@ -46,22 +46,30 @@ def nearest_place(points: DataFrame, places: DataFrame, radius_km: float = C.NEA
     lists = around.groupBy("c_row", "c_col").agg(F.collect_list(F.struct("place_id", "name", "lat", "lon")).alias("_near"))
     if places.limit(broadcast_places + 1).count() <= broadcast_places:
         lists = F.broadcast(lists)
-    located = own_cell(points, height)
+    located = own_cell(points, height).withColumn("c_col", F.coalesce("c_col", -F.pmod(F.monotonically_increasing_id(), F.lit(997)) - 1))  # points without a cell do not meet in one key
     measured = F.transform("_near", lambda p: F.struct(haversine_km("lat", "lon", p["lat"], p["lon"]).alias("km"), p["place_id"].alias("place_id"), p["name"].alias("name")))
     best = F.array_min(F.filter(measured, lambda p: p["km"] <= radius_km))
     found = located.join(lists, ["c_row", "c_col"], "left").withColumn("_best", best)
     return found.select(*[F.col(f"`{c}`") for c in points.columns], F.col("_best.place_id").alias("place_id"), F.col("_best.name").alias("place_name"), F.col("_best.km").alias("place_km"), (F.col("_best.km") <= bull_km).alias("bullseye"))
 
 
-def place_isolation(places: DataFrame, radius_km: float = 100.0) -> DataFrame:
-    """(place_id, nearest_id, km): each place's nearest other place within a radius, null beyond it."""
-    height = _height(radius_km)
-    a = own_cell(places, height).select("place_id", "lat", "lon", "c_row", "c_col")
-    b = ring_around(places, height).select(F.col("place_id").alias("nearest_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "c_row", "c_col")
-    km = haversine_km("lat", "lon", "b_lat", "b_lon")
-    pairs = a.join(b, ["c_row", "c_col"]).filter("place_id <> nearest_id").withColumn("km", km).filter(F.col("km") <= radius_km)
-    best = pairs.groupBy("place_id").agg(F.min(F.struct("km", "nearest_id")).alias("b"))
-    return places.select("place_id").join(best, "place_id", "left").select("place_id", F.col("b.nearest_id").alias("nearest_id"), F.col("b.km").alias("km"))
+def place_isolation(places: DataFrame, radius_km: float = 100.0, levels: int = 4) -> DataFrame:
+    """(place_id, nearest_id, km): each place's nearest other place within a radius, null beyond it.
+
+    Places are first sought within a small part of the radius, and those without a neighbour there
+    within four times as much, and so on, so that few pairs are measured where places are dense.
+    """
+    todo, found = places.select("place_id", "lat", "lon"), None
+    for level in reversed(range(levels)):
+        radius = radius_km / 4**level
+        height = _height(radius)
+        a = own_cell(todo, height)
+        b = ring_around(places.select("place_id", "lat", "lon"), height).select(F.col("place_id").alias("nearest_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "c_row", "c_col")
+        pairs = a.join(b, ["c_row", "c_col"]).filter("place_id <> nearest_id").withColumn("km", haversine_km("lat", "lon", "b_lat", "b_lon")).filter(F.col("km") <= radius)
+        best = pairs.groupBy("place_id").agg(F.min("km").alias("km"), F.min_by("nearest_id", F.struct("km", "nearest_id")).alias("nearest_id"))
+        found = best if found is None else found.unionByName(best)
+        todo = todo.join(best, "place_id", "left_anti")
+    return places.select("place_id").join(found, "place_id", "left").select("place_id", "nearest_id", "km")
 
 
 def own_cell(rows: DataFrame, height: float) -> DataFrame:

@@ -12,7 +12,7 @@ from placestream.functions.text import is_water
 
 def validation_reason(lat: Column, lon: Column) -> Column:
     """Why a coordinate pair given as text is refused, in order of the checks; null if it is good."""
-    number = r"^[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+|Infinity|NaN)$"
+    number = r"^[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|Infinity|NaN)$"
     a, b = lat.try_cast("double"), lon.try_cast("double")
     finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +52,19 @@ def vocab_summary(hits: DataFrame) -> DataFrame:
 def write_snapshot(verified: DataFrame, elevations: DataFrame, path: str, locale: str = "de") -> int:
     """Write (name, metres) sorted by name in the locale's order, unless any place failed hard; returns that number.
 
-    All or nothing: with a failure the folder is left as it is.
+    All or nothing: with a failure the folder is left as it is, and a new snapshot takes its place
+    only when it is complete.
     """
     hard = verified.filter(F.col("status").isin("outside", "miss", "no_elevation", "error")).count()
     if hard == 0:
-        elevations.select("name", "metres").orderBy(F.collate("name", locale)).write.mode("overwrite").parquet(path)
+        spark = elevations.sparkSession
+        fresh, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+        elevations.select("name", "metres").orderBy(F.collate("name", locale)).write.parquet(fresh)
+        fresh, old, now = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, old, path))
+        files = now.getFileSystem(spark._jsc.hadoopConfiguration())
+        had = files.exists(now)
+        if (had and not files.rename(now, old)) or not files.rename(fresh, now):
+            raise OSError(f"the snapshot at {path} cannot be replaced")
+        if had:
+            files.delete(old, True)
     return hard

@@ -10,10 +10,42 @@ from .hits import count_where
 STAGES = ("throw_started", "throw_abandoned", "throw_input_method", "throw_completed", "throw_off_map", "throw_api_error")
 
 
-def median_upper(values: Column) -> Column:
-    """The upper of the two middle values, where ``percentile`` would take their mean. An aggregate that gathers the group."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+#: Share of a group's values, on either side, among which an exact quantile is looked for.
+_NEAR = 0.001
+#: Groups up to this size are put in order as they are: there, bounds would not be wide enough.
+_SMALL = 10_000
+
+
+def quantile(rows: DataFrame, by: list[str], value: str, q: float, name: str, upper: bool = False) -> DataFrame:
+    """(*by, ``name``): the exact ``q``-quantile of each group, without bringing a group together.
+
+    An approximate quantile gives bounds for each group; values below them are only counted, and
+    those between them are counted by value, so that about 2 * _NEAR of a large group are put in order.
+    Between two values it interpolates as ``percentile`` does; ``upper`` takes the upper middle of
+    an even number instead (a median only). Null values do not count; a group without any has null.
+    """
+    keyed = rows.select(F.struct(*by).alias("_g"), F.col(value).cast("double").alias("_v"))
+    shares = [max(q - _NEAR, 0.0), min(q + _NEAR, 1.0)]
+    bounds = keyed.groupBy("_g").agg(F.count("_v").alias("_n"), F.percentile_approx("_v", shares, 10_000).alias("_b"))
+    wide = F.array(F.lit(float("-inf")), F.lit(float("inf")))
+    bounds = bounds.withColumn("_b", F.when(F.col("_n") > _SMALL, F.col("_b")).otherwise(wide)).withColumn("_rank", F.floor(F.col("_n") / 2).cast("double") if upper else (F.col("_n") - 1) * q)
+    placed = keyed.filter("_v is not null").join(bounds, keyed["_g"].eqNullSafe(bounds["_g"])).drop(bounds["_g"])
+    near = F.when(F.col("_v") >= F.col("_b")[0], F.when(F.col("_v") <= F.col("_b")[1], F.col("_v")).otherwise(float("inf"))).otherwise(float("-inf"))
+    counts = placed.withColumn("_v", near).groupBy("_g", "_v", "_rank").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_v"))
+    counts = counts.withColumn("_upto", upto)
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    found = counts.groupBy("_g").agg(at(F.floor("_rank")).alias("_low"), at(F.ceil("_rank")).alias("_high"), F.first("_rank").alias("_rank"))
+    part = F.col("_rank") - F.floor("_rank")
+    exact = F.when(part == 0, F.col("_low")).otherwise(F.col("_low") * (1 - part) + F.col("_high") * part)
+    groups = bounds.select("_g")
+    return groups.join(found.select(F.col("_g").alias("_h"), exact.alias(name)), F.col("_g").eqNullSafe(F.col("_h")), "left").select(*[F.col(f"_g.{c}").alias(c) for c in by], name)
+
+
+def with_quantile(report: DataFrame, quantiles: DataFrame, by: list[str]) -> DataFrame:
+    """A report by group with the columns of another one, of the same groups, null keys included."""
+    theirs = quantiles.select(F.struct(*by).alias("_q"), *[c for c in quantiles.columns if c not in by])
+    return report.withColumn("_r", F.struct(*by)).join(theirs, F.col("_r").eqNullSafe(F.col("_q"))).drop("_r", "_q")
 
 
 def calibration_report(throws: DataFrame, radius: float, method: str = "mean") -> DataFrame:
@@ -22,8 +54,9 @@ def calibration_report(throws: DataFrame, radius: float, method: str = "mean") -
     ``throws`` has force, km and deviation_px. ``method`` 'mean' averages the two middle values of an
     even number, 'upper' takes the upper one.
     """
-    middle = F.percentile("km", F.lit(0.5)) if method == "mean" else median_upper(F.col("km"))
-    return throws.groupBy("force").agg(F.count("*").alias("throws"), middle.alias("median_km"), F.avg((F.col("deviation_px") > radius).cast("double")).alias("off_share"))
+    counts = throws.groupBy("force").agg(F.count("*").alias("throws"), F.avg((F.col("deviation_px") > radius).cast("double")).alias("off_share"))
+    middle = quantile(throws, ["force"], "km", 0.5, "median_km", method == "upper")
+    return with_quantile(counts, middle, ["force"]).select("force", "throws", "median_km", "off_share")
 
 
 def throw_quality_report(throws: DataFrame) -> DataFrame:
@@ -54,9 +87,18 @@ def share_report(hits: DataFrame) -> DataFrame:
 
 
 def upstream_report(lookups: DataFrame, exact: bool = True) -> DataFrame:
-    """Per outcome: lookups, mean and 95th percentile of the latency, share of all that failed."""
-    p95 = F.percentile("upstream_ms", F.lit(0.95)) if exact else F.percentile_approx("upstream_ms", 0.95)
-    return lookups.groupBy("outcome").agg(F.count("*").alias("n"), F.avg("upstream_ms").alias("mean_ms"), p95.alias("p95_ms"), *count_where(errors=F.col("outcome") == "error"))
+    """Per outcome: lookups, mean and 95th percentile of the latency, errors, and the outcome's share of all (of errors: the error rate)."""
+    p95 = [] if exact else [F.percentile_approx("upstream_ms", 0.95).alias("p95_ms")]
+    report = lookups.groupBy("outcome").agg(F.count("*").alias("n"), F.avg("upstream_ms").alias("mean_ms"), *p95, *count_where(errors=F.col("outcome") == "error"))
+    report = report.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # over a few outcomes
+    return with_quantile(report, quantile(lookups, ["outcome"], "upstream_ms", 0.95, "p95_ms"), ["outcome"]) if exact else report
+
+
+def miss_report(lookups: DataFrame) -> DataFrame:
+    """Per reason of a miss (outcome 'miss', miss_reason): misses, and their share of all answered lookups."""
+    counts = lookups.filter(~F.col("outcome").eqNullSafe(F.lit("error"))).groupBy("outcome", "miss_reason").agg(F.count("*").alias("n"))
+    all_ = F.sum("n").over(Window.partitionBy())  # over a few reasons
+    return counts.withColumn("share", F.col("n") / all_).filter("outcome = 'miss'").select("miss_reason", "n", "share")
 
 
 def unfurl_report(unfurls: DataFrame) -> DataFrame:
@@ -64,10 +106,12 @@ def unfurl_report(unfurls: DataFrame) -> DataFrame:
     return unfurls.groupBy("client_source").agg(F.count("*").alias("n"), *count_where(with_throw=F.col("has_throw"), resolved=F.col("resolved")))
 
 
-def vitals_report(vitals: DataFrame, exact: bool = True) -> DataFrame:
-    """Per path, metric and rating: samples and the 75th percentile of the value."""
-    p75 = F.percentile("value", F.lit(0.75)) if exact else F.percentile_approx("value", 0.75)
-    return vitals.groupBy("page_path", "metric", "rating").agg(F.count("*").alias("n"), p75.alias("p75"))
+def vitals_report(vitals: DataFrame, *by: str, exact: bool = True) -> DataFrame:
+    """Per path, metric and rating (and columns ``by``, as the device): samples and the 75th percentile of the value."""
+    keys = ["page_path", "metric", "rating", *by]
+    p75 = [] if exact else [F.percentile_approx("value", 0.75).alias("p75")]
+    report = vitals.groupBy(*keys).agg(F.count("*").alias("n"), *p75)
+    return with_quantile(report, quantile(vitals, keys, "value", 0.75, "p75"), keys) if exact else report
 
 
 def traffic_report(hits: DataFrame, dimension: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reports import quantile, with_quantile
+
 _ORDER = ("ts", "event_id")
 
 
@@ -56,7 +58,8 @@ def path_length(moves: DataFrame, key: str, min_dt: float = 0.0) -> DataFrame:
 
 def peak_report(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, 95th percentile and maximum, computed anew from rows rather than latched."""
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("peak"))
+    report = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("peak"))
+    return with_quantile(report, quantile(rows, list(by), value, 0.95, "p95"), list(by)).select(*by, "mean", "p95", "peak")
 
 
 def daily_summary(events: DataFrame) -> DataFrame:
@@ -90,8 +93,8 @@ def keyboard_heatmap(keys: DataFrame) -> DataFrame:
 
 
 def key_glyphs(presses: DataFrame, layout: DataFrame) -> DataFrame:
-    """Key presses with the glyph of their position in a layout table of bounded size; unknown positions have none."""
-    return presses.join(F.broadcast(layout), ["layout", "key_code"], "left")
+    """Key presses with the glyph of their position in a layout table; unknown positions have none."""
+    return presses.join(layout, ["layout", "key_code"], "left")
 
 
 def merge_counters(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

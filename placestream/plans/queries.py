@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,44 +10,17 @@ from placestream.functions import geo, labels, text
 from placestream.operators import hits as H
 from placestream.operators import logs as L
 from placestream.operators import nearest, points, quality, reports, telemetry
-from placestream.sources import tables
-from placestream.sources.adapters import adapter, ctes
+from placestream.sources.adapters import adapter
 from placestream.streaming import streams
 
 from . import sql as S
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *inputs: str):
-    """Register a query; ``inputs`` are adapters put before the SQL, which begins with a CTE or select."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            head = ctes(*inputs) if inputs else ""
-            body = sql.strip()
-            if head:
-                body = f"with {head}, {body[5:]}" if body[:5].lower() == "with " else f"with {head} {body}"
-            ORACLES[f.__name__] = body
-        return f
-
-    return keep
-
-
-def r6(c, name: str | None = None):
-    """Rounded to six decimals, after all comparisons."""
-    c = F.col(c) if isinstance(c, str) else c
-    out = F.round(c, 6)
-    return out.alias(name) if name else out
-
+from .registry import ORACLES, QUERIES, query, r6
 
 # ---- points and places ------------------------------------------------------------------------
 
 
 @query(
-    f"""with p as (select event_id as point_id, {S.snap('lat')} as lat, {S.snap('lon')} as lon from f_points where {S.in_box('lat', 'lon')}),
+    f"""with p as (select event_id as point_id, {S.snap('lat')} as lat, {S.snap('lon')} as lon from f_points where {S.in_box(S.snap('lat'), S.snap('lon'))}),
 pairs as (select p.point_id, f.place_id, f.name, {S.km('p.lat', 'p.lon', 'f.lat', 'f.lon')} as km from p, f_places f),
 best as (select point_id, place_id, name, km from pairs where km <= 8 qualify row_number() over (partition by point_id order by km, place_id) = 1)
 select p.point_id, p.lat, p.lon, round({S.km(str(S.LAT0), str(S.LON0), 'p.lat', 'p.lon')}, 6) as origin_km, {S.sector(S.bearing(str(S.LAT0), str(S.LON0), 'p.lat', 'p.lon'))} as direction,
@@ -57,9 +28,9 @@ select p.point_id, p.lat, p.lon, round({S.km(str(S.LAT0), str(S.LON0), 'p.lat',
     "f_points", "f_places",
 )
 def point_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points in the box on the grid, with distance and direction from the origin and the nearest place within 8 km."""
-    rows = adapter(spark, sf_dir, "f_points").filter(geo.in_bbox("lat", "lon"))
-    rows = rows.select(F.col("event_id").alias("point_id"), geo.snap_to_grid("lat").alias("lat"), geo.snap_to_grid("lon").alias("lon"))
+    """Points on the grid and there in the box, with distance and direction from the origin and the nearest place within 8 km."""
+    rows = adapter(spark, sf_dir, "f_points").filter(geo.in_bbox("lat", "lon", C.BOX_BEFORE_SNAP))  # may reach the scan; the snapped point decides
+    rows = rows.select(F.col("event_id").alias("point_id"), geo.snap_to_grid("lat").alias("lat"), geo.snap_to_grid("lon").alias("lon")).filter(geo.in_bbox("lat", "lon"))
     near = nearest.nearest_place(rows, adapter(spark, sf_dir, "f_places"))
     far = geo.haversine_km(*C.ORIGIN, "lat", "lon")
     return near.select("point_id", "lat", "lon", r6(far, "origin_km"), geo.compass_sector(geo.bearing_deg(*C.ORIGIN, "lat", "lon")).alias("direction"), "place_id", "place_name", r6("place_km", "place_km"), "bullseye")
@@ -69,8 +40,11 @@ def point_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""select event_id, round(2600072.37 + 211455.93 * x - 10938.51 * x * y - 0.36 * x * y * y - 44.54 * x * x * x, 3) as easting,
  round(1200147.07 + 308807.95 * y + 3745.25 * x * x + 76.63 * y * y - 194.56 * x * x * y + 119.79 * y * y * y, 3) as northing,
  round({S.bearing(str(S.LAT0), str(S.LON0), 'lat', 'lon')}, 6) as bearing, round(least(greatest(lat, 45.818 + 0.05), 47.8085 - 0.05), 6) as c_lat, round(least(greatest(lon, 5.9559 + 0.05), 10.4921 - 0.05), 6) as c_lon,
- printf('%.4f,%.4f', {S.snap('lat')}, {S.snap('lon')}) as point_text, round(lat, 6) as back_lat, round(lon, 6) as back_lon, true as on_map
-from (select *, (lon * 3600 - 26782.5) / 10000 as x, (lat * 3600 - 169028.66) / 10000 as y from f_points) p""",
+ printf('%.4f,%.4f', {S.snap('lat')}, {S.snap('lon')}) as point_text, round(lat, 6) as back_lat, round(lon, 6) as back_lon, true as on_map,
+ round(((lon + 180) / 360 - (west + east) / 2) * scale + 640, 6) as px, round((0.5 - ln(tan(radians(lat) / 2 + pi() / 4)) / (2 * pi()) - (south + north) / 2) * scale + 400, 6) as py
+from (select *, (lon * 3600 - 26782.5) / 10000 as x, (lat * 3600 - 169028.66) / 10000 as y from f_points) p,
+ (select *, least((1280 - 48) / (east - west), (800 - 48) / (south - north)) as scale from (select (5.9559 + 180) / 360 as west, (10.4921 + 180) / 360 as east,
+  0.5 - ln(tan(radians(45.818) / 2 + pi() / 4)) / (2 * pi()) as south, 0.5 - ln(tan(radians(47.8085) / 2 + pi() / 4)) / (2 * pi()) as north))""",
     "f_points",
 )
 def geo_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +56,7 @@ def geo_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = view.pixel_to_point(F.col("px.x"), F.col("px.y"))
     return rows.select(
         "event_id", F.round("g.easting", 3).alias("easting"), F.round("g.northing", 3).alias("northing"), r6(geo.bearing_deg(*C.ORIGIN, "lat", "lon"), "bearing"), r6("c.lat", "c_lat"), r6("c.lon", "c_lon"),
-        text.format_point(geo.snap_to_grid("lat"), geo.snap_to_grid("lon")).alias("point_text"), r6(back["lat"], "back_lat"), r6(back["lon"], "back_lon"), view.valid_landing(F.col("px.x"), F.col("px.y")).alias("on_map"),
+        text.format_point(geo.snap_to_grid("lat"), geo.snap_to_grid("lon")).alias("point_text"), r6(back["lat"], "back_lat"), r6(back["lon"], "back_lon"), view.valid_landing(F.col("px.x"), F.col("px.y")).alias("on_map"), r6("px.x", "px"), r6("px.y", "py"),
     )
 
 
@@ -98,17 +72,14 @@ def destination_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select event_id, case when event_id % 7 = 0 or event_id % 11 = 0 then 'not_numbers' when event_id % 7 = 1 or event_id % 11 = 1 then 'not_finite' when event_id % 7 = 2 then 'out_of_range' end as reason,
- round(case when event_id % 7 > 2 and event_id % 11 > 1 then lat end, 6) as lat, round(case when event_id % 7 > 2 and event_id % 11 > 1 then lon end, 6) as lon from f_points""",
-    "f_points",
+    r"""with parsed as (select event_id, try_cast(lat as double) as a, try_cast(lon as double) as b, coalesce(regexp_matches(lat, '^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|Infinity|NaN)$') and regexp_matches(lon, '^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|Infinity|NaN)$'), false) as numbers from f_raw_points),
+judged as (select *, case when not numbers then 'not_numbers' when isnan(a) or isinf(a) or isnan(b) or isinf(b) then 'not_finite' when a not between -90 and 90 or b not between -180 and 180 then 'out_of_range' end as reason from parsed)
+select event_id, reason, round(case when reason is null then a end, 6) as lat, round(case when reason is null then b end, 6) as lon from judged""",
+    "f_raw_points",
 )
 def validated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinates given as text: refused ones with their first reason."""
-    n, lat, lon = F.col("event_id"), F.col("lat").cast("string"), F.col("lon").cast("string")
-    raw = adapter(spark, sf_dir, "f_points").select(
-        n, F.when(n % 7 == 0, "abc").when(n % 7 == 1, "NaN").when(n % 7 == 2, (F.col("lat") + 60).cast("string")).otherwise(lat).alias("lat"), F.when(n % 11 == 1, "Infinity").when(n % 11 > 1, lon).alias("lon")
-    )
-    out = points.validate_points(raw)
+    out = points.validate_points(adapter(spark, sf_dir, "f_raw_points"))
     return out.select("event_id", "reason", r6("lat", "lat"), r6("lon", "lon"))
 
 
@@ -281,26 +252,6 @@ def settings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.settings_as_of(changes).drop("ts")
 
 
-_STATE = """case event_id % 5 when 0 then null when 1 then '{{"aasicht": 1' when 2 then '{{"aasicht": "globus"}}' when 3 then '[{{"id": "a", "zyt": 1704067200000, "isPreich": true, "wurf": {{"art": "preich", "kanton": "BE", "gmeind": "Thun"}}}}, {{"id": "b", "zyt": 1704067201000, "wurf": {{"art": "dernaebe", "grund": "usland"}}}}]' else '{{"ton": true, "x": [1]}}' end""".replace("{{", "{").replace("}}", "}")
-
-
-@query("select event_id, case when event_id % 5 = 2 then 'globus' else 'charte' end as view, 'zieh' as throw_style, case when event_id % 5 = 4 then 'true' else 'false' end as sound, 'pfyl' as dart_skin from events")
-def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored settings over the defaults; broken JSON gives the defaults."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_STATE).alias("json"))
-    return tables.read_settings(rows).drop("json")
-
-
-@query(
-    """select event_id as user_key, pos, case pos when 0 then 'a' else 'b' end as entry_id, pos = 0 as is_hit, case pos when 0 then 'BE' end as canton, case pos when 0 then 'Thun' end as municipality, pos = 0 as bullseye
-from events, (values (0), (1)) p(pos) where event_id % 5 = 3"""
-)
-def stored_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored logs as rows; missing, broken and non-array JSON is an empty log."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("user_key"), F.expr(_STATE).alias("json"))
-    return tables.read_throw_log(rows).drop("ts", "place")
-
-
 @query(
     "select event_id, user_id, event_type from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1",
 )
@@ -312,7 +263,9 @@ def first_engagements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- hits -------------------------------------------------------------------------------------
 
-_CONSENT = "consent as (select *, case when gpc then 'denied' when cookie like 'ow_consent=%' then 'denied' else 'granted' end as analytics_storage, case when gpc then 'denied' when cookie like 'ow_consent=%' then null else 'denied' end as ad_storage from f_hits)"
+_CONSENT = """choices as (select *, url_decode(nullif(regexp_extract(cookie, '(?:^|; )ow_consent=([^;]*)', 1), '')) as choice from f_hits),
+consent as (select * exclude (choice), case when gpc then 'denied' when choice is null or not json_valid(choice) then 'granted' else json_extract_string(choice, '$.analytics_storage') end as analytics_storage,
+ case when gpc then 'denied' when choice is null or not json_valid(choice) then 'denied' else json_extract_string(choice, '$.ad_storage') end as ad_storage from choices)"""
 
 
 @query(f"with {_CONSENT} select hit_id, analytics_storage, ad_storage from consent", "f_hits")
@@ -348,13 +301,13 @@ def hit_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""select hit_id, '{{"client_id":"' || {_CLIENT} || '","events":[{{"name":"' || event_type || '","params":{{"value":"' || cast(user_id as varchar) || '","engagement_time_msec":"1","client_source":"' ||
+    f"""select hit_id, '{{"client_id":"' || {_CLIENT} || '","events":[{{"name":"' || event_type || '","params":{{"value":' || cast(user_id as varchar) || ',"even":' || case when user_id % 2 = 0 then 'true' else 'false' end || ',"kind":"' || event_type || '","engagement_time_msec":1,"client_source":"' ||
  case when hit_id % 5 in (1, 3) then 'cookie' else 'synthetic' end || '"' || coalesce(',"session_id":"' || case hit_id % 5 when 1 then cast(hit_id % 97 as varchar) when 3 then '77' end || '"', '') || '}}}}]}}' as payload from f_hits""",
     "f_hits",
 )
 def server_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads for the measurement endpoint."""
-    rows = H.derive_client(adapter(spark, sf_dir, "f_hits"), deterministic=True).withColumn("params", F.create_map(F.lit("value"), F.col("user_id").cast("string")))
+    rows = H.derive_client(adapter(spark, sf_dir, "f_hits"), deterministic=True).withColumn("params", F.struct(F.col("user_id").alias("value"), (F.col("user_id") % 2 == 0).alias("even"), F.col("event_type").alias("kind"), F.lit(None).cast("int").alias("absent")))
     return H.server_payload(rows, "event_type").select("hit_id", "payload")
 
 
@@ -381,10 +334,15 @@ def hit_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select page_id, href, case when href like 'http%' then regexp_extract(lower(href), '^https?://([^/?#:]+)', 1) else '' end as link_domain, href like 'http%' and regexp_extract(lower(href), '^https?://([^/?#]+)', 1) <> 'site.example.com' as outbound,
+    r"""with cut as (select *, regexp_extract(lower(trim(href)), '^([a-z][a-z0-9+.-]*):', 1) as scheme, regexp_extract(lower(trim(href)), '^[a-z][a-z0-9+.-]*:/*([^/?#]*)', 1) as place from f_clicks),
+hosts as (select *, regexp_extract(regexp_replace(place, '^.*@', ''), '^[^:]*', 0) as host, try_cast(regexp_extract(place, ':([0-9]+)$', 1) as int) as port from cut),
+parsed as (select *, scheme in ('http', 'https', 'ftp') and host <> '' and not regexp_matches(host, '[ %|<>^]') and coalesce(port, 0) <= 65535 as good,
+ host || case when port is null or (scheme = 'https' and port = 443) or (scheme = 'http' and port = 80) then '' else ':' || port end as whole from hosts),
+judged as (select *, coalesce(good and scheme <> 'ftp' and whole <> 'site.example.com', false) as outbound from parsed)
+select page_id, href, case when good then host else '' end as link_domain, outbound,
  case when page_id % 6 = 0 then 'nav_click' when page_id % 10 = 1 then 'citation_click' when href like 'http%' then 'outbound_click' else 'internal_link_click' end as event,
- page_id % 3 > 0 and page_id % 5 > 0 and href like 'http%' and regexp_extract(lower(href), '^https?://([^/?#]+)', 1) <> 'site.example.com' as unhandled,
- case when page_id % 4 = 0 then 2 else 1 end as n_project_events, case when page_id % 2 = 0 then '/p' || page_id || '?q=1' else '/p' || page_id end as page_path from f_clicks""",
+ page_id % 3 > 0 and page_id % 5 > 0 and outbound as unhandled,
+ case when page_id % 4 = 0 then 2 else 1 end as n_project_events, case when page_id % 2 = 0 then '/p' || page_id || '?q=1' else '/p' || page_id end as page_path from judged""",
     "f_clicks",
 )
 def link_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,12 +437,20 @@ def share_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("share_method", "outcome", "n", r6("share", "share"))
 
 
-@query("select outcome, count(*) as n, round(avg(ms), 6) as mean_ms, round(quantile_cont(ms, 0.95), 6) as p95_ms, count(*) filter (where outcome = 'error') as errors from (select event_type as outcome, value as ms from events where event_type <> 'view') group by outcome")
+@query("select event_type as outcome, count(*) as n, round(avg(value), 6) as mean_ms, round(quantile_cont(value, 0.95), 6) as p95_ms, count(*) filter (where event_type = 'error') as errors, round(count(*) / (select count(*) from events), 6) as share from events group by event_type")
 def upstream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latency of lookups by outcome."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type <> 'view'").select(F.col("event_type").alias("outcome"), F.col("value").alias("upstream_ms"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("outcome"), F.col("value").alias("upstream_ms"))
     r = reports.upstream_report(rows)
-    return r.select("outcome", "n", r6("mean_ms", "mean_ms"), r6("p95_ms", "p95_ms"), "errors")
+    return r.select("outcome", "n", r6("mean_ms", "mean_ms"), r6("p95_ms", "p95_ms"), "errors", r6("share", "share"))
+
+
+@query(f"with {S.RESOLVED} select outcome as miss_reason, count(*) as n, round(count(*) / (select count(*) from resolved), 6) as share from resolved where outcome <> 'hit' group by outcome", *_RESOLVE_IN)
+def miss_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why lookups missed, as shares of all."""
+    miss = F.col("outcome") != "hit"
+    rows = _resolved(spark, sf_dir).select(F.when(miss, "miss").otherwise("hit").alias("outcome"), F.when(miss, F.col("outcome")).alias("miss_reason"))
+    return reports.miss_report(rows).select("miss_reason", "n", r6("share", "share"))
 
 
 @query("select case when hit_id % 5 in (1, 3) then 'cookie' else 'synthetic' end as client_source, count(*) as n, count(*) filter (where hit_id % 4 = 0) as with_throw, count(*) filter (where hit_id % 8 = 0) as resolved from f_hits group by 1", "f_hits")
@@ -706,25 +672,25 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """select event_id, case when (value + 10) / 160 > 0.9 then 'critical' when (value + 10) / 160 > 0.75 then 'warning' when value is not null then 'normal' end as pressure, case when value / 160 >= 0.9 then 'red' when value / 160 >= 0.7 then 'orange' when value is not null then 'green' end as band,
  round(least(100, (case when event_id % 2 = 0 then value when value > 100 then value end) / 120 * 100), 6) as health, case event_id % 4 when 0 then 'keyboard' when 1 then 'mouse' when 2 then 'trackpad' else 'other' end as device,
- case event_id % 3 when 0 then 'CPU proximity' when 1 then 'GPU' else 'Other' end as sensor, case event_id % 2 when 0 then 'dark' else 'light' end as color_scheme, case event_id % 3 when 0 then 'fine' when 1 then 'coarse' else 'none' end as pointer_type from events"""
+ case event_id % 3 when 0 then 'CPU proximity' when 1 then 'GPU' else 'Other' end as sensor, case event_id % 2 when 0 then 'dark' else 'light' end as color_scheme, case event_id % 3 when 0 then 'fine' when 1 then 'coarse' else 'none' end as pointer_type, event_id % 5 = 0 as reduced_motion from events"""
 )
 def device_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pressure, usage, battery, device and sensor names, device context."""
     e, n, v = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id"), F.col("value")
     name = F.when(n % 4 == 0, "Magic Keyboard").when(n % 4 == 1, "Magic Mouse").when(n % 4 == 2, "Magic Trackpad").otherwise("Thing")
-    ctx = labels.device_context(n % 2 == 0, n % 3 == 0, n % 3 == 1)
+    ctx = labels.device_context(n % 2 == 0, n % 3 == 0, n % 3 == 1, n % 5 == 0)
     return e.select(
         "event_id", labels.pressure_level(v, F.lit(5.0), F.lit(5.0), F.lit(160.0)).alias("pressure"), labels.usage_band(v / 160).alias("band"), r6(labels.battery_health(F.when(n % 2 == 0, v), v, F.lit(120.0)), "health"),
-        labels.device_kind(name).alias("device"), labels.sensor_label(F.when(n % 3 == 0, "TC0P").when(n % 3 == 1, "TG9x").otherwise("Tz")).alias("sensor"), ctx["color_scheme"].alias("color_scheme"), ctx["pointer_type"].alias("pointer_type"),
+        labels.device_kind(name).alias("device"), labels.sensor_label(F.when(n % 3 == 0, "TC0P").when(n % 3 == 1, "TG9x").otherwise("Tz")).alias("sensor"), ctx["color_scheme"].alias("color_scheme"), ctx["pointer_type"].alias("pointer_type"), ctx["reduced_motion"].alias("reduced_motion"),
     )
 
 
-@query("select user_id as source_id, count(*) filter (where kind = 'move') as mouse, 0::bigint as keys from f_moves where user_id % 7 = 0 group by 1 having count(*) filter (where kind = 'move') > 10", "f_moves")
+@query("select user_id as source_id, count(*) filter (where kind = 'move') as mouse, count(*) filter (where kind = 'key' and hour(ts) < 4) as keys from f_moves group by 1 having count(*) filter (where kind = 'move') > 5 and count(*) filter (where kind = 'key' and hour(ts) < 4) = 0", "f_moves")
 def missing_key_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources with mouse events but no keys."""
-    m = adapter(spark, sf_dir, "f_moves").withColumn("k", (F.col("kind") == "key") & (F.col("user_id") % 7 != 0))
-    counts = m.select(F.col("user_id").alias("source_id"), (F.col("kind") == "move").cast("long").alias("mouse"), F.when(F.col("user_id") % 7 == 0, 0).otherwise(1).cast("long").alias("keys"))
-    return telemetry.missing_stream_check(counts, 10)
+    m = adapter(spark, sf_dir, "f_moves")
+    counts = m.select(F.col("user_id").alias("source_id"), (F.col("kind") == "move").cast("long").alias("mouse"), ((F.col("kind") == "key") & (F.hour("ts") < 4)).cast("long").alias("keys"))
+    return telemetry.missing_stream_check(counts, 5)
 
 
 @query("select event_id, device, place from (select event_id, device, row_number() over (partition by device order by dx desc, event_id) as place from f_moves where dx is not null) where place <= 5", "f_moves")
@@ -745,12 +711,13 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {S.LOG}, {_MILESTONES} select user_key, event_id, 'canton' as kind, canton as value, collected as count from fresh union all select user_key, event_id, 'skin', skin, threshold from ({_SKIN_SQL})""",
+    f"""with {S.LOG}, {_MILESTONES} select user_key, event_id, 'canton' as kind, canton as value, collected as count from fresh union all select user_key, event_id, 'skin', skin, threshold from ({_SKIN_SQL})
+ union all select user_key, event_id, 'complete', 'all', least(rn, 201) from fresh where collected = 25""",
     "f_log",
 )
 def stream_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Milestones of a stream of throws, equal to the batch ones."""
-    return streams.run_available(_log(spark, sf_dir).drop("canton_id"), streams.milestone_stream)
+    return streams.run_available(_log(spark, sf_dir).drop("canton_id"), lambda s: streams.milestone_stream(s, total=25))
 
 
 @query(f"with {_INTERNAL} select user_id, hit_id, internal from flags", "f_hits")
@@ -764,7 +731,7 @@ def stream_internal_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S.LOG}, {_PROPS} select * from props", "f_log")
 def stream_user_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User properties kept by a stream."""
-    return streams.run_available(_log(spark, sf_dir).drop("canton_id"), streams.user_properties_stream, "update")
+    return streams.run_available(_log(spark, sf_dir).drop("canton_id"), streams.user_properties_stream, "update", keys=["user_key"])
 
 
 @query(f"with {_CONSENT} select hit_id, {_CLIENT} as client_id, false as will_be_dropped from consent where analytics_storage = 'granted'", "f_hits")
@@ -780,3 +747,33 @@ def stream_resolved_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = adapter(spark, sf_dir, "f_candidates").withColumnsRenamed({"lat": "s_lat", "lon": "s_lon"})
     heights = adapter(spark, sf_dir, "f_elevations").select(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "metres").distinct()
     return streams.run_available(adapter(spark, sf_dir, "f_points"), lambda s: streams.resolve_stream(s, candidates, heights)).select("event_id", "outcome", "municipality", "elevation")
+
+
+@query(
+    "select user_id % 20 as k, count(*) as n, epoch_us(min(ts)) as first_us, round(arg_max(value, event_id), 6) as mean, round(max(value), 6) as peak, max(event_id) as seq from events where value is not null group by 1",
+)
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters upserted by micro-batches, the newest version read back."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value is not null")
+    one = e.select((F.col("user_id") % 20).alias("k"), F.lit(1).cast("long").alias("n"), F.col("ts").alias("first_ts"), F.col("value").alias("mean"), F.col("value").alias("peak"), F.col("event_id").alias("seq"))
+    path = streams.scratch(spark)
+    for _ in streams.arriving(one, f"{path}/in", "first_ts", 3):
+        rows = spark.readStream.schema(one.schema).parquet(f"{path}/in")
+        streams.counter_stream(rows, f"{path}/table", ["k"], f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return streams.newest_version(spark, f"{path}/table").select("k", "n", telemetry.micros("first_ts").alias("first_us"), r6("mean", "mean"), r6("peak", "peak"), "seq")
+
+
+@query(
+    """with windows as (select device, epoch_us(ts) // 600000000 * 600000000 + 600000000 - 600000000 * i as until_us from f_moves, (values (0), (-1)) v(i)),
+last as (select max(epoch_us(ts)) - 600000000 as mark from f_moves)
+select device, until_us, round(count(*) * 60.0 / 1200, 6) as per_minute from windows where until_us <= (select mark from last) group by all""",
+    "f_moves",
+)
+def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events a minute in sliding windows that the watermark has closed."""
+    rows = adapter(spark, sf_dir, "f_moves").select("device", "ts")
+    r = streams.run_available(rows, lambda s: streams.rate_stream(s, "device", 1200, 600))
+    return r.select("device", telemetry.micros("until").alias("until_us"), r6("per_minute", "per_minute"))
+
+
+from . import inputs  # noqa: E402, F401  registers its queries

@@ -25,7 +25,27 @@ SQL = {
  case event_id % 5 when 0 then null when 1 then '_ga=GA1.1.' || cast(event_id as varchar(20)) || '.' || cast(user_id as varchar(20)) || '; _ga_S=GS2.1.s' || cast(event_id % 97 as varchar(20)) || '$o1'
   when 2 then '_ga=broken' when 3 then '_ga=GA1.1.1.2; x; _ga=GA1.1.3.4; _ga_S=GS1.1.77.5.1' else 'ow_consent=%7B%22analytics_storage%22%3A%22denied%22%7D' end as cookie,
  event_id % 11 = 0 as gpc, case event_id % 50 when 0 then 'ow_internal=1' when 25 then 'ow_internal=0' when 10 then 'ow_internal=2' else '' end as query, props from events""",
-    "f_clicks": """select page_id, url, case page_id % 4 when 0 then url when 1 then 'https://other.example.com/x' when 2 then 'mailto:a@example.com' else '/rel' end as href from pages""",
+    "f_clicks": """select page_id, url, case page_id % 20 when 0 then url when 1 then 'https://other.example.com/x' when 2 then 'mailto:a@example.com' when 3 then '/rel' when 4 then 'https://other.com/a b' when 5 then 'https://other.com/a|b'
+ when 6 then 'https://other.com/?q={y}' when 7 then 'https://other.com/100%' when 8 then 'HTTPS://User@Other.Example.com:443/x' when 9 then 'http://site.example.com:8080/' when 10 then 'https://site.example.com'
+ when 11 then 'http:///three.example.com/' when 12 then 'https://' when 13 then 'tel:+41' when 14 then '#frag' when 15 then '  https://padded.example.com/  ' when 16 then 'ftp://files.example.com/x' when 17 then 'https://bad host/x'
+ when 18 then 'https://site.example.com:443/y?x@z' else 'http://x.example.com:99999/' end as href from pages""",
+    "f_raw_points": """select event_id, case event_id % 9 when 0 then 'abc' when 1 then 'NaN' when 2 then cast(lat + 60 as varchar(20)) when 3 then '46.6abc' when 4 then '-Infinity' when 5 then '' when 6 then '46.' else cast(lat as varchar(20)) end as lat,
+ case event_id % 11 when 0 then null when 1 then 'Infinity' when 2 then '-190.5' when 3 then '7,4' when 4 then '.75e1' when 5 then '+8.25' else cast(lon as varchar(20)) end as lon from f_points""",
+    "f_state": """select event_id, event_id as user_key, case event_id % 7 when 0 then null when 1 then '{"aasicht": 1' when 2 then '{"aasicht": "globus", "wurfart": "schlueder"}' when 4 then '{"ton": true, "x": [1]}' when 5 then '[]' when 6 then '"text"'
+ else '[{"id": "a' || cast(event_id as varchar(20)) || '", "zyt": 1704067200000, "isPreich": true, "ziuName": "Hei", "wurf": {"art": "preich", "kanton": "BE", "gmeind": "Thun"}}, {"id": "b", "zyt": 1704067201000, "wurf": {"art": "dernaebe", "grund": "usland"}}]' end as json from events""",
+    "f_texts": """select event_id, case event_id % 10 when 0 then '502 Bad Gateway' when 1 then 'no status' when 2 then '  404' when 3 then '-7.9e1 x' when 4 then '.5' when 5 then '+12.' when 6 then '1e3m' when 7 then '' when 8 then null else cast(event_id as varchar(20)) || '.25 m' end as t,
+ case event_id % 6 when 0 then '46.9,7.4' when 1 then '91,7' when 2 then '46.9abc,7.4xyz,9' when 3 then '46.9' when 4 then ' -12.5 , 180 ' else 'a,b' end as point from events""",
+    "f_responses": """select lat, lon, case k % 4 when 0 then '{"results": []}' when 3 then '{"results": [{"attr' else
+ '{"results": [{"attributes": {"gemname": "p' || cast(k % 40 as varchar(20)) || '", "kanton": "BE", "gde_nr": ' || cast(k as varchar(20)) || ', "is_current_jahr": false}}'
+ || case when k % 4 = 2 then ', {"attributes": {"gemname": "q", "is_current_jahr": true}}' else '' end || ']}' end as body from f_cells""",
+    "f_traffic": """select event_id as hit_id, user_id, case event_id % 6 when 0 then 'page_view' when 1 then 'page_not_found' when 2 then 'outbound_click' when 3 then 'nav_click' when 4 then 'project_cta_click' else 'web_vitals' end as name,
+ case when event_id % 6 in (0, 1, 5) then '/p' || cast(event_id % 14 as varchar(20)) end as page_path, case when event_id % 12 = 1 then 'https://ref.example.com/' end as referrer, case when event_id % 6 = 2 then 'd' || cast(event_id % 5 as varchar(20)) || '.example.com' end as link_domain,
+ case when event_id % 6 = 3 then (case when event_id % 4 < 2 then 'header' else 'footer' end) end as nav_location, case when event_id % 6 = 4 then 'project' || cast(event_id % 3 as varchar(20)) end as project_slug, value, event_type from events""",
+    "f_contract": """select event_id, case event_id % 12 when 0 then 'nav_click' when 1 then 'nav_click' when 2 then 'share_result' when 3 then 'share_result' when 4 then 'throw_completed' when 5 then 'web_vitals' when 6 then 'unknown_name' when 7 then 'panel_toggle' when 8 then 'panel_toggle' when 9 then 'page_not_found'
+  when 10 then 'throw_api_error' else 'throw_resolved_server' end as name,
+ case event_id % 12 when 0 then '{"link_url":"/a","link_text":"a","nav_location":"header"}' when 1 then '{"link_url":"/a","link_text":5,"nav_location":"side"}' when 2 then '{"share_method":"native","outcome":"shared","more":1}' when 3 then '{"share_method":"native"}'
+  when 4 then '{"outcome":"preich","throw_quality":"sufer","elevation":null,"distance_km":12.5,"water":false,"miss_reason":"sea"}' when 5 then '{"metric_name":"LCP","metric_value":"12","metric_rating":"good","metric_id":"x","page_path":null}' when 6 then '{}' when 7 then '{"open":true}' when 8 then '{"open":"yes"}'
+  when 9 then null when 10 then '{"status":"502"}' else '{"art":"preich","upstream_ms":' || cast(event_id % 500 as varchar(20)) || ',"hoechi":560}' end as params from events""",
     "f_throws": """select event_id, cast(event_id % 3 as double) / 2 as force, value * cos(cast(event_id as double)) as dx, value * sin(cast(event_id as double)) as dy, value,
  event_id % 14 = 0 as shank from events""",
     "f_counter": """select user_id % 10 as host, ts, event_id, event_id * 3 % 5000 as ticks, case when event_id % 3 = 0 then value end as slow_value from events""",
@@ -61,7 +81,7 @@ def ctes(*names: str) -> str:
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An adapter as a DataFrame over the tables in ``sf_dir``."""
     text = f"with {ctes(*needed(name)[:-1])} {SQL[name]}" if len(needed(name)) > 1 else SQL[name]
-    text = text.replace("varchar(20)", "string")
+    text = text.replace("varchar(20)", "string").replace("{", "{{").replace("}", "}}")  # braces mark tables below
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"\b(from|join) {t}\b", text)}
     for t in tables:
         text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,63 +34,88 @@ def once(hits: DataFrame, key: str = "hit_id", watermark: str = "1 hour") -> Dat
     return hits.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
 
-def milestone_stream(log: DataFrame, n: int = C.LOG_SIZE) -> DataFrame:
-    """Milestones as throws arrive: (user_key, event_id, kind, value, count).
+def milestone_stream(log: DataFrame, n: int = C.LOG_SIZE, total: int = len(C.CANTONS), idle: int | None = None) -> DataFrame:
+    """Milestones as throws arrive: (user_key, event_id, kind, value, count); kinds are canton, complete and skin.
 
     State per user: the last ``n`` entries' cantons. Rows are put in order within a micro-batch; the
-    source must deliver batches in order. A clear empties the state.
+    source must deliver batches in order. A clear empties the state, as do ``idle`` milliseconds
+    without a row (never by default; a query with an idle limit needs a trigger other than available-now).
     """
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen: list = list(state.get[0]) if state.exists else []
         out = []
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for r in batch.itertuples():
+        for r in _in_order(rows, "event_id"):
             if r.is_clear:
                 seen = []
                 continue
-            canton = str(r.canton) if r.is_hit and r.canton is not None and r.canton == r.canton and r.canton != "" else ""
+            canton = _canton(r)
             have = set(seen) - {""}
             if canton and canton not in have:
                 out.append((key[0], r.event_id, "canton", canton, len(have) + 1))
+                if len(have) + 1 == total:
+                    out.append((key[0], r.event_id, "complete", "all", len(seen) + 1))
             for skin, threshold in C.SKINS:
                 if threshold and threshold == len(seen) + 1:
                     out.append((key[0], r.event_id, "skin", skin, threshold))
             seen = [*seen, canton][-n:]
-        state.update((seen,))
+        _keep(state, (seen,), idle)
         yield pd.DataFrame(out, columns=["user_key", "event_id", "kind", "value", "count"])
 
-    return log.groupBy("user_key").applyInPandasWithState(step, "user_key long, event_id long, kind string, value string, count long", "cantons array<string>", "append", GroupStateTimeout.NoTimeout)
+    return log.groupBy("user_key").applyInPandasWithState(step, "user_key long, event_id long, kind string, value string, count long", "cantons array<string>", "append", _timeout(idle))
 
 
-def internal_flag_stream(hits: DataFrame) -> DataFrame:
+def _in_order(rows: Iterator[pd.DataFrame], tie: str) -> Iterator[Any]:
+    """The rows of a key's micro-batch by time; none if its state has timed out."""
+    parts = list(rows)
+    return pd.concat(parts).sort_values(["ts", tie]).itertuples() if parts else iter(())
+
+
+def _canton(row: Any) -> str:
+    return str(row.canton) if row.is_hit and row.canton is not None and row.canton == row.canton else ""
+
+
+def _timeout(idle: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def _keep(state: GroupState, value: tuple, idle: int | None) -> None:
+    """Store a key's state, or forget it once it has been idle for long enough."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    state.update(value)
+    if idle is not None:
+        state.setTimeoutDuration(idle)
+
+
+def internal_flag_stream(hits: DataFrame, idle: int | None = None) -> DataFrame:
     """(user_id, hit_id, internal): the device's flag before each hit, held in state."""
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         flag = state.get[0] if state.exists else "0"
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "hit_id"]).itertuples():
+        for r in _in_order(rows, "hit_id"):
             out.append((key[0], r.hit_id, flag == "1"))
             if r.internal_value in ("0", "1"):
                 flag = r.internal_value
-        state.update((flag,))
+        _keep(state, (flag,), idle)
         yield pd.DataFrame(out, columns=["user_id", "hit_id", "internal"])
 
-    return hits.groupBy("user_id").applyInPandasWithState(step, "user_id long, hit_id long, internal boolean", "flag string", "append", GroupStateTimeout.NoTimeout)
+    return hits.groupBy("user_id").applyInPandasWithState(step, "user_id long, hit_id long, internal boolean", "flag string", "append", _timeout(idle))
 
 
-def user_properties_stream(log: DataFrame, n: int = C.LOG_SIZE) -> DataFrame:
+def user_properties_stream(log: DataFrame, n: int = C.LOG_SIZE, idle: int | None = None) -> DataFrame:
     """(user_key, throw_count, cantons_collected, dart_skins_unlocked) after each micro-batch, in update mode."""
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen: list = list(state.get[0]) if state.exists else []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            canton = str(r.canton) if r.is_hit and r.canton is not None and r.canton == r.canton else ""
-            seen = [] if r.is_clear else [*seen, canton][-n:]
-        state.update((seen,))
+        for r in _in_order(rows, "event_id"):
+            seen = [] if r.is_clear else [*seen, _canton(r)][-n:]
+        _keep(state, (seen,), idle)
         yield pd.DataFrame([(key[0], len(seen), len(set(seen) - {""}), sum(len(seen) >= t for _, t in C.SKINS))], columns=["user_key", "throw_count", "cantons_collected", "dart_skins_unlocked"])
 
-    return log.groupBy("user_key").applyInPandasWithState(step, "user_key long, throw_count long, cantons_collected long, dart_skins_unlocked long", "cantons array<string>", "update", GroupStateTimeout.NoTimeout)
+    return log.groupBy("user_key").applyInPandasWithState(step, "user_key long, throw_count long, cantons_collected long, dart_skins_unlocked long", "cantons array<string>", "update", _timeout(idle))
 
 
 def rate_stream(events: DataFrame, key: str, seconds: int = 60, slide: int = 10, watermark: str = "10 minutes") -> DataFrame:
@@ -102,34 +128,69 @@ def counter_stream(rows: DataFrame, table_path: str, keys: list[str], checkpoint
     """Upsert micro-batches of partial counters into versions of a table: one folder a batch id.
 
     A batch that is replayed writes the same version again from the version before it, so counts
-    never double. Returns the started query's writer; call ``start()`` or add a trigger first.
+    never double; older versions are deleted. Returns the query's writer; call ``start()`` or add a
+    trigger first.
     """
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         old = spark.read.parquet(f"{table_path}/v{epoch - 1}") if epoch else batch.limit(0)
         merge_counters(old, batch, keys).write.mode("overwrite").parquet(f"{table_path}/v{epoch}")
+        if epoch > 1:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v{epoch - 2}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(processingTime=interval)
 
 
+def newest_version(spark: SparkSession, table_path: str) -> DataFrame:
+    """The table as the last batch of a ``counter_stream`` left it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return spark.read.parquet(f"{table_path}/v{max(int(n[1:]) for n in names)}")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a stream's output and checkpoint, in the session's shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="placestream-")
+    """A new folder for a stream's output and checkpoint, in the session's shared folder; a local one only in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="placestream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def run_available(source: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """All rows that ``build`` makes of a batch table read as a stream, through files and a checkpoint."""
-    spark = source.sparkSession
-    path = scratch(spark)
-    source.write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(source.schema).parquet(f"{path}/in")
-    out = build(stream)
+def arriving(source: DataFrame, path: str, order: str | None, slices: int) -> Iterator[None]:
+    """Write a table as files in ``slices`` parts by time ``order``, one at each step."""
+    at = F.unix_micros(F.col(order).cast("timestamp")) if order else F.lit(0)
+    low, high = source.agg(F.min(at), F.max(at)).first()
+    step = ((high or 0) - (low or 0)) // slices + 1
+    for i in range(slices if order else 1):
+        part = F.floor((at - (low or 0)) / step)
+        rows = source.filter(part.eqNullSafe(F.lit(i)) | (part.isNull() if i == 0 else F.lit(False))) if order else source
+        rows.write.mode("append").parquet(path)
+        yield
+
+
+def run_available(source: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "append", order: str | None = "ts", slices: int = 3, keys: list[str] | None = None) -> DataFrame:
+    """All rows that ``build`` makes of a batch table that arrives as a stream of files.
+
+    The table comes in ``slices`` by time, each a micro-batch of its own of a query that starts
+    again from its checkpoint, so that state is carried over batches and restarts. With ``keys`` only
+    the last row of each counts, as for a query in update mode.
+    """
+    spark, path = source.sparkSession, scratch(source.sparkSession)
+    out = None
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={epoch}")
 
-    query = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/out").drop("batch")
+    for _ in arriving(source, f"{path}/in", order, slices):
+        out = build(spark.readStream.schema(source.schema).parquet(f"{path}/in"))
+        writer = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/out")
+    if keys:
+        rest = [c for c in out.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return rows.drop("batch")

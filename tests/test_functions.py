@@ -105,3 +105,13 @@ def test_drags(spark):
     got = values(spark, rows, "x double, y double", f["enough"], f["force"], labels.drag_outcome("x", "y"))
     assert [g[2] for g in got] == ["throw_input_method", "throw_abandoned", "throw_input_method", "no_move"]
     assert got[2][1] == 1.0
+
+
+def test_links_follow_the_rules_of_browsers(spark):
+    rows = [
+        ("https://other.com/a b", "other.com", True), ("https://other.com/a|b", "other.com", True), ("https://other.com?q={y}", "other.com", True), ("https://other.com/100%", "other.com", True), ("HTTPS://u:p@Own.com:443/x", "own.com", False), ("http://own.com:8080", "own.com", True),
+        ("https:own.com", "own.com", False), ("https:\\\\other.com\\x", "other.com", True), ("https://", "", False), ("mailto:a@b.c", "", False), ("tel:1", "", False), ("#x", "", False), ("/rel", "", False), (None, "", False), ("https://a b/x", "", False), ("http://x:70000/", "", False), ("ftp://f.com/x", "f.com", False),
+    ]
+    df = spark.createDataFrame(rows, "href string, domain string, outbound boolean")
+    got = df.select("domain", text.link_fields("href", F.lit(" x "))["link_domain"].alias("d"), "outbound", text.is_outbound("href", F.lit("own.com")).alias("o")).collect()
+    assert [(r.d, r.o) for r in got] == [(r.domain, r.outbound) for r in got]

@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from placestream.operators import hits, logs, nearest, points, quality, telemetry
+from placestream.functions import geo
+from placestream.operators import hits, logs, nearest, points, quality, reports, telemetry
 from placestream.sources import tables
 from placestream.sources.adapters import adapter
 from placestream.streaming import streams
@@ -181,3 +182,29 @@ def test_failed_lookups_are_errors(spark):
 
 def test_snapshot_texts(spark):
     assert sorted(tuple(r) for r in tables.read_snapshot(spark.createDataFrame([('{"Thun": 560, "Bern": 540}',)], "json string")).collect()) == [("Bern", 540), ("Thun", 560)]
+
+
+def test_quantiles_equal_sorting(spark, monkeypatch):
+    monkeypatch.setattr(reports, "_SMALL", 500)
+    rng = random.Random(4)
+    rows = [(g, rng.choice([rng.random() * 100, 7.0, None])) for g in ("a", "b", None) for _ in range(3 if g == "b" else 4000)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for q, upper in ((0.5, False), (0.5, True), (0.95, False), (0.0, False), (1.0, False)):
+        got = {r.g: r.x for r in reports.quantile(df, ["g"], "v", q, "x", upper).collect()}
+        for g in ("a", "b", None):
+            v = sorted(x for k, x in rows if k == g and x is not None)
+            h = (len(v) - 1) * q
+            want = v[len(v) // 2] if upper else v[int(h)] + (h - int(h)) * (v[min(int(h) + 1, len(v) - 1)] - v[int(h)]) if v else None
+            assert got[g] is want is None or abs(got[g] - want) < 1e-9
+        assert got["none"] is None
+
+
+def test_isolation_equals_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i, 46 + rng.random() * (0.01 if i % 2 else 2), 7 + rng.random() * (0.01 if i % 2 else 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "place_id long, lat double, lon double")
+    km = df.alias("a").crossJoin(df.alias("b")).filter("a.place_id <> b.place_id").select("a.place_id", geo.haversine_km("a.lat", "a.lon", "b.lat", "b.lon").alias("km")).groupBy("place_id").agg(F.min("km").alias("km"))
+    want = {r.place_id: r.km if r.km <= 20 else None for r in km.collect()}
+    got = {r.place_id: r.km for r in nearest.place_isolation(df, 20.0).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] is want[k] is None or abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -31,6 +31,6 @@ def test_plans_have_no_products_and_no_python(spark, data_dir):
 
 
 def test_filters_reach_the_scan(spark, data_dir):
-    plan = places.QUERIES["upstream_latency"](spark, data_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,view))]" in plan
-    assert "ReadSchema: struct<event_type:string,value:double>" in plan
+    plan = places.QUERIES["web_vitals"](spark, data_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(value)]" in plan
+    assert "ReadSchema: struct<event_id:bigint,event_type:string,value:double>" in plan
