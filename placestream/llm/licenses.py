@@ -1,4 +1,8 @@
-"""Operator 2: license scans by an exact containment join of text blocks with license templates."""
+"""Operator 2: license scans by an exact containment join of text blocks with license templates.
+
+Tokens are pairs of words that stand together, so that a text which has a notice's common words, but
+not the name of its license, holds too few of them.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .words import PLAIN, buffers, hash_text, slices, words
+from .words import PLAIN, Words, buffers, hash_text, shingles, slices, words
 
 # Phrases whose words in a row give a base label.
 PHRASES = {
@@ -37,14 +41,23 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("proprietary", "all rights reserved"),
 )
-#: Least share of a template's distinct words that a block must hold.
+#: Least share of a template's distinct word pairs that a block must hold.
 THRESHOLD = 0.8
 #: Blocks are BLOCK words long and begin every HOP words, so any run of HOP words lies whole in one.
 BLOCK, HOP = 128, 64
 
 
+def pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of the first word) of every two words of a row that stand together."""
+    return shingles(w.hashes(), w.row, 2)
+
+
 @dataclass
 class Templates:
     """Templates as sets of token codes; code order is the global order, rarest in the corpus first."""
@@ -56,7 +69,7 @@ class Templates:
 
     @classmethod
     def ordered(cls, templates: tuple[tuple[str, str], ...], frequency: dict[int, int] | None = None) -> Templates:
-        each = [np.unique(hash_text(t, PLAIN)) for _, t in templates]
+        each = [np.unique(shingles(h, np.zeros(len(h), np.int64), 2)[0]) for h in (hash_text(t, PLAIN) for _, t in templates)]
         hashes = np.unique(np.concatenate(each))
         seen = np.array([(frequency or {}).get(int(h), 0) for h in hashes.view(np.int64)], np.int64)
         codes = np.empty(len(hashes), np.int64)
@@ -64,7 +77,7 @@ class Templates:
         return cls([label for label, _ in templates], hashes, codes, [np.sort(codes[np.searchsorted(hashes, e)]) for e in each])
 
     def code(self, h: np.ndarray) -> np.ndarray:
-        """Rank of each word hash, or -1 outside the templates' vocabulary."""
+        """Rank of each token hash, or -1 outside the templates' vocabulary."""
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.codes[at], -1)
 
@@ -80,7 +93,7 @@ def token_frequencies(docs: DataFrame, templates: tuple[tuple[str, str], ...] =
         total = np.zeros(len(plain.hashes), np.int64)
         for batch in batches:
             for _, raw, offs in slices(*buffers(batch.column(0))):
-                code = plain.code(words(raw, offs, PLAIN).hashes())
+                code = plain.code(pairs(words(raw, offs, PLAIN))[0])
                 total += np.bincount(code[code >= 0], minlength=len(total))
         by_hash = np.empty_like(total)
         by_hash[:] = total[plain.codes]
@@ -93,7 +106,7 @@ def token_frequencies(docs: DataFrame, templates: tuple[tuple[str, str], ...] =
 def containments(t: Templates, code: np.ndarray, row: np.ndarray, index: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """(row, template, containment) of every block and template at the threshold or above.
 
-    ``code`` has template tokens only, with their row and word index. A template is looked at in a
+    ``code`` has template tokens only, with their row and the index of their first word. A template is looked at in a
     block only if the block holds one of its |T| - o + 1 rarest tokens (prefix), holds o distinct
     tokens at all (length), and enough tokens stand behind the first shared one in either order
     (position), where o is the least overlap. The overlap is then counted in full.
@@ -141,7 +154,8 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
             for _, raw, offs in slices(*buffers(batch.column(1))):
                 w, rows = words(raw, offs, PLAIN), len(offs) - 1
                 h = w.hashes()
-                code = t.code(h)
+                token, token_at = shingles(h, w.row, 2)
+                code = t.code(token)
                 found = [set() for _ in range(rows)]
                 best = np.zeros(rows)
                 places = []
@@ -161,8 +175,8 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
                 np.maximum.at(hi, r, at)
                 best[np.unique(r)] = 1.0
                 base += [",".join(sorted(x)) for x in found]
-                inside = np.flatnonzero(code >= 0)
-                for r_, k, c in containments(t, code[inside], w.row[inside], inside - w.first[w.row[inside]]):
+                inside = token_at[code >= 0]
+                for r_, k, c in containments(t, code[code >= 0], w.row[inside], inside - w.first[w.row[inside]]):
                     found[r_].add(t.labels[k])
                     best[r_] = max(best[r_], c)
                 n_words.append(w.count)
@@ -190,13 +204,14 @@ def _sql() -> str:
     phrases = ", ".join(f"('{label}', {p.split()})" for p, label in PHRASES.items())
     return rf"""
 with docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
-templates as (select id, label, list_distinct(string_split(t, ' ')) as tokens from (values {rows}) v(id, label, t)),
+templates as (select id, label, list_distinct(list_transform(range(1, len(string_split(t, ' '))), lambda i: string_split(t, ' ')[i] || ' ' || string_split(t, ' ')[i + 1])) as tokens from (values {rows}) v(id, label, t)),
 phrases as (select * from (values {phrases}) v(label, p)),
 vocabulary as (select distinct unnest(tokens) as token from templates),
 positions as (select doc_id, unnest(w) as token, unnest(range(len(w))) as i from docs),
+pairs as (select doc_id, token || ' ' || lead(token) over (partition by doc_id order by i) as token, i from positions),
 places as (select d.doc_id, p.label, x.i from docs d join positions x on x.doc_id = d.doc_id join phrases p on x.token = p.p[1] and d.w[x.i + 1 : x.i + len(p.p)] = p.p),
 base as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, list_distinct(list(label)) as labels from places group by doc_id),
-blocks as (select distinct doc_id, token, unnest([i // {HOP}, i // {HOP} - 1]) as block from positions join vocabulary using (token)),
+blocks as (select distinct doc_id, token, unnest([i // {HOP}, i // {HOP} - 1]) as block from pairs join vocabulary using (token)),
 shared as (select b.doc_id, t.label, count(*) / max(len(t.tokens))::double as c from blocks b join (select id, label, tokens, unnest(tokens) as token from templates) t using (token)
   where block >= 0 group by b.doc_id, b.block, t.id, t.label having count(*) >= ceil({THRESHOLD} * max(len(t.tokens)) - 1e-9)),
 method as (select doc_id, max(c) as c, list_distinct(list(label)) as labels from shared group by doc_id)

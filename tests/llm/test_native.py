@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -121,9 +122,11 @@ def test_license_containment_equals_brute_force(spark):
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i, t in enumerate(texts):
         w, want, best = plain(t), set(), 0.0
-        blocks = [set(w[k : k + licenses.BLOCK]) for k in range(0, max(len(w), 1), licenses.HOP)]
+        both = list(itertools.pairwise(w))
+        blocks = [set(both[k : k + licenses.BLOCK]) for k in range(0, max(len(both), 1), licenses.HOP)]
         for label, n in licenses.TEMPLATES:
-            c = max(len(set(n.split()) & b) / len(set(n.split())) for b in blocks)
+            tokens = set(itertools.pairwise(n.split()))
+            c = max(len(tokens & b) / len(tokens) for b in blocks)
             if c >= 0.8:
                 want.add(label)
                 best = max(best, c)
@@ -133,6 +136,20 @@ def test_license_containment_equals_brute_force(spark):
         assert abs(got[i].score - (1.0 if base else best)) < 1e-9
 
 
+def test_a_license_s_common_words_are_not_enough(spark):
+    texts = {
+        "Released under the Apache License": "apache",
+        "This work is licensed under the GNU General Public License version 2.0": "gpl",
+        "Released under the BSD license": "",
+        "It is licensed under the EUPL license version 2.0": "",
+        "the mit project was released under a permissive license the next year": "",
+        "Licensed under the Apache License, Version 2.0 (the License)": "apache",
+        "Released under the MIT license.": "mit",
+    }
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.labels for r in sorted(got)] == list(texts.values())
+
+
 def test_licenses_take_awkward_rows(spark):
     got = licenses.license_scan(awkward(spark)).collect()
     assert len(got) == awkward(spark).count()
