@@ -15,12 +15,11 @@ from .words import buffers, slices
 
 #: Labelled rows the network is trained on, and the bytes of a training piece taken from each.
 TRAIN_ROWS, PIECE = 6_000, 64
-#: Languages beyond so many distinct labels (by frequency) are not learned.
-MOST_LANGUAGES = 200
 HIDDEN, EMBED = 12, 8
 EPOCHS, BATCH, RATE = 6, 256, 0.01
-#: Texts are read in segments of this many bytes, side by side.
-SEGMENT = 64
+#: Texts are read in segments of this many bytes, side by side; each direction begins so many bytes before
+#: its segment, where the text has them, so that no position is labelled from a few bytes.
+SEGMENT, WARM_UP = 96, 16
 FOLDS, HELD_OUT = 4, 2
 
 
@@ -35,17 +34,24 @@ class Gru:
     x: np.ndarray  # 256 x 3H: what a byte adds to the gates' inputs
     h: np.ndarray  # H x 3H
 
-    def states(self, bytes_: np.ndarray) -> np.ndarray:
-        """Hidden state after each byte of every column: (steps, batch) to (steps, batch, H)."""
+    def states(self, bytes_: np.ndarray, inside: np.ndarray, skip: int) -> np.ndarray:
+        """Hidden state after each byte of every column: (steps, batch) to (steps - ``skip``, batch, H).
+
+        Where ``inside`` is false, before a text begins, the state stays zero.
+        """
         n = self.h.shape[0]
         h = np.zeros((bytes_.shape[1], n), np.float32)
-        out = np.empty((*bytes_.shape, n), np.float32)
+        out = np.empty((len(bytes_) - skip, bytes_.shape[1], n), np.float32)
+        every = inside.all(1)
         for t, b in enumerate(bytes_):
             x = self.x[b]
             zr = _sigmoid(x[:, : 2 * n] + h @ self.h[:, : 2 * n])
             c = np.tanh(x[:, 2 * n :] + (zr[:, n:] * h) @ self.h[:, 2 * n :])
             h = h + zr[:, :n] * (c - h)
-            out[t] = h
+            if not every[t]:
+                h *= inside[t][:, None]
+            if t >= skip:
+                out[t - skip] = h
         return out
 
 
@@ -105,8 +111,8 @@ class Model:
     def pooled(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Mean class probabilities over every byte position of each row of a slice.
 
-        Rows are cut into segments that run side by side; each is read in both directions, and
-        every position of every segment is labelled.
+        Rows are cut into segments that run side by side; each is read in both directions, from
+        WARM_UP bytes before it, and every position of every segment is labelled.
         """
         rows, k = len(offs) - 1, len(self.languages)
         length = np.diff(offs)
@@ -116,15 +122,16 @@ class Model:
         start = offs[:-1][row] + (np.arange(len(row)) - first[row]) * SEGMENT
         size = np.minimum(SEGMENT, offs[1:][row] - start)
         total = np.zeros((rows, k))
-        padded = np.concatenate([raw, np.full(SEGMENT, 32, np.uint8)])
+        low, high = offs[:-1][row], offs[1:][row]
+        edge = np.full(SEGMENT + WARM_UP, 32, np.uint8)
+        padded = np.concatenate([edge, raw, edge])
         step = 4096
         for i in range(0, len(row), step):
             s, n = start[i : i + step], size[i : i + step]
-            at = s[None, :] + np.arange(SEGMENT)[:, None]
+            before, after = s + np.arange(-WARM_UP, SEGMENT)[:, None], s + np.arange(SEGMENT + WARM_UP)[::-1, None]
             inside = np.arange(SEGMENT)[:, None] < n[None, :]
-            b = np.where(inside, padded[at], 32)
-            logits = self.forward.states(b) @ self.w[:HIDDEN]
-            logits += self.backward.states(b[::-1])[::-1] @ self.w[HIDDEN:]
+            logits = self.forward.states(padded[before + len(edge)], before >= low[i : i + step], WARM_UP) @ self.w[:HIDDEN]
+            logits += self.backward.states(padded[after + len(edge)], after < high[i : i + step], WARM_UP)[::-1] @ self.w[HIDDEN:]
             logits += self.v
             np.exp(logits, out=logits)
             logits *= (inside / logits.sum(2))[:, :, None]
@@ -158,11 +165,12 @@ def train(pieces: np.ndarray, label: np.ndarray, languages: list[str], epochs: i
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model | None:
     """Train on at most ``rows`` rows with a language, outside the held-out fold.
 
-    Rows are taken by a hash of the id, the same number per language where there are enough. Each gives one piece of PIECE bytes at an offset drawn from its id. Only those pieces
-    reach the driver. Without a labelled row there is no model.
+    Rows are taken by a hash of the id, the same number per language where there are enough, and one
+    of every language at least. Each gives one piece of PIECE bytes at an offset drawn from its id; a
+    shorter text is filled up with spaces. Only those pieces reach the driver. Without a labelled row there is no model.
     """
-    learn = docs.filter((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.octet_length("text") >= PIECE // 2)).select("doc_id", "lang", "text")
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    learn = docs.filter((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", "lang", "text")
+    counts = learn.groupBy("lang").count().collect()  # one row a language
     if not counts:
         return None
     languages = sorted(r["lang"] for r in counts)
