@@ -19,7 +19,7 @@ HIDDEN, EMBED = 12, 8
 EPOCHS, BATCH, RATE = 6, 256, 0.01
 #: Texts are read in segments of this many bytes, side by side; each direction begins so many bytes before
 #: its segment, where the text has them, so that no position is labelled from a few bytes.
-SEGMENT, WARM_UP = 96, 16
+SEGMENT, WARM_UP = 128, 16
 FOLDS, HELD_OUT = 4, 2
 
 
@@ -35,23 +35,39 @@ class Gru:
     h: np.ndarray  # H x 3H
 
     def states(self, bytes_: np.ndarray, inside: np.ndarray, skip: int) -> np.ndarray:
-        """Hidden state after each byte of every column: (steps, batch) to (steps - ``skip``, batch, H).
+        """Hidden state after each byte of every column: (steps, batch) to (steps - ``skip``, H, batch).
 
-        Where ``inside`` is false, before a text begins, the state stays zero.
+        Where ``inside`` is false, before a text begins, the state stays zero. The batch is the last
+        axis, so that gates are whole rows; weights carry the factors of sigmoid(x) = 1 / (1 + exp(-x))
+        and tanh(x) = 2 / (1 + exp(-2x)) - 1.
         """
         n = self.h.shape[0]
-        h = np.zeros((bytes_.shape[1], n), np.float32)
-        out = np.empty((len(bytes_) - skip, bytes_.shape[1], n), np.float32)
+        factor = np.repeat(np.float32([-1.0, -2.0]), [2 * n, n])
+        x, w = self.x * factor, np.ascontiguousarray((self.h * factor).T)
+        h = np.zeros((n, bytes_.shape[1]), np.float32)
+        out = np.empty((len(bytes_) - skip, *h.shape), np.float32)
         every = inside.all(1)
-        for t, b in enumerate(bytes_):
-            x = self.x[b]
-            zr = _sigmoid(x[:, : 2 * n] + h @ self.h[:, : 2 * n])
-            c = np.tanh(x[:, 2 * n :] + (zr[:, n:] * h) @ self.h[:, 2 * n :])
-            h = h + zr[:, :n] * (c - h)
-            if not every[t]:
-                h *= inside[t][:, None]
-            if t >= skip:
-                out[t - skip] = h
+        with np.errstate(over="ignore"):  # exp may be infinite, which gives 0
+            for t, b in enumerate(bytes_):
+                row = x[b]
+                gates = w[: 2 * n] @ h
+                gates += row[:, : 2 * n].T
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                c = w[2 * n :] @ (gates[n:] * h)
+                c += row[:, 2 * n :].T
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                c -= h
+                c *= gates[:n]
+                h += c
+                if not every[t]:
+                    h *= inside[t]
+                if t >= skip:
+                    out[t - skip] = h
         return out
 
 
@@ -125,17 +141,17 @@ class Model:
         low, high = offs[:-1][row], offs[1:][row]
         edge = np.full(SEGMENT + WARM_UP, 32, np.uint8)
         padded = np.concatenate([edge, raw, edge])
-        step = 4096
+        step = 2048
         for i in range(0, len(row), step):
             s, n = start[i : i + step], size[i : i + step]
             before, after = s + np.arange(-WARM_UP, SEGMENT)[:, None], s + np.arange(SEGMENT + WARM_UP)[::-1, None]
             inside = np.arange(SEGMENT)[:, None] < n[None, :]
-            logits = self.forward.states(padded[before + len(edge)], before >= low[i : i + step], WARM_UP) @ self.w[:HIDDEN]
-            logits += self.backward.states(padded[after + len(edge)], after < high[i : i + step], WARM_UP)[::-1] @ self.w[HIDDEN:]
-            logits += self.v
+            logits = self.w[:HIDDEN].T @ self.forward.states(padded[before + len(edge)], before >= low[i : i + step], WARM_UP)
+            logits += self.w[HIDDEN:].T @ self.backward.states(padded[after + len(edge)], after < high[i : i + step], WARM_UP)[::-1]
+            logits += self.v[:, None]
             np.exp(logits, out=logits)
-            logits *= (inside / logits.sum(2))[:, :, None]
-            here = logits.sum(0, dtype=np.float64)
+            logits *= (inside / logits.sum(1))[:, None, :]
+            here = logits.sum(0, dtype=np.float64).T
             for c in range(k):
                 total[:, c] += np.bincount(row[i : i + step], here[:, c], minlength=rows)
         return total / np.maximum(length, 1)[:, None]

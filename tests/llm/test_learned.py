@@ -115,7 +115,7 @@ def test_language_gradients_are_those_of_the_loss():
         outs = []
         for d, b in (("f", x), ("b", x[::-1])):
             g = language.Gru(p["e"] @ p["x" + d] + p["c" + d], p["h" + d])
-            s = g.states(b, np.ones(b.shape, bool), 0)
+            s = g.states(b, np.ones(b.shape, bool), 0).transpose(0, 2, 1)
             outs.append(s if d == "f" else s[::-1])
         z = np.concatenate(outs, 2) @ p["w"] + p["v"]
         z = z - np.log(np.exp(z).sum(2, keepdims=True))
