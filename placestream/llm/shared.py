@@ -15,12 +15,14 @@ SALTS = 256
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor of a cluster can reach.
 
-    Where the setting is absent (a local session, as in tests) a temporary folder of this machine
-    becomes the checkpoint folder of the session.
+    Where the setting is absent, a temporary folder of this machine becomes the checkpoint folder of
+    a local session (as in tests); a session on a cluster gets an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         current = spark.sparkContext.getCheckpointDir()
+        if current is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if current is None:
             current = "file://" + tempfile.mkdtemp(prefix="placestream-")
         base = current
