@@ -241,14 +241,14 @@ def stamp_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with c as (select event_id, user_id % 10 as user_key, ts, case event_id % 4 when 0 then 'view' when 1 then 'throw_style' when 2 then 'sound' else 'other' end as key, event_type as value from events)
+    """with c as (select event_id, cast(floor(user_id / 5) as bigint) as user_key, ts, case event_id % 4 when 0 then 'view' when 1 then 'throw_style' when 2 then 'sound' else 'other' end as key, event_type as value from events)
 select user_key, event_id, coalesce(last_value(case when key = 'view' then value end ignore nulls) over w, 'charte') as view, coalesce(last_value(case when key = 'throw_style' then value end ignore nulls) over w, 'zieh') as throw_style,
  coalesce(last_value(case when key = 'sound' then value end ignore nulls) over w, 'false') as sound, 'pfyl' as dart_skin from c window w as (partition by user_key order by ts, event_id rows between unbounded preceding and current row)"""
 )
 def settings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All settings after each change."""
     key = F.when(F.col("event_id") % 4 == 0, "view").when(F.col("event_id") % 4 == 1, "throw_style").when(F.col("event_id") % 4 == 2, "sound").otherwise("other")
-    changes = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 10).alias("user_key"), "ts", key.alias("key"), F.col("event_type").alias("value"))
+    changes = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.floor(F.col("user_id") / 5).alias("user_key"), "ts", key.alias("key"), F.col("event_type").alias("value"))
     return L.settings_as_of(changes).drop("ts")
 
 
@@ -473,11 +473,11 @@ def web_vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("page_path", "metric", "rating", "n", r6("p75", "p75"))
 
 
-@query(f"with {S.LOG}, {_PROPS} select e.event_type as name, p.dart_skins_unlocked, count(*) as n from events e left join props p on p.user_key = e.user_id % 10 group by all", "f_log")
+@query(f"with {S.LOG}, {_PROPS} select e.event_type as name, p.dart_skins_unlocked, count(*) as n from events e left join props p on p.user_key = cast(floor(e.user_id / 5) as bigint) group by all", "f_log")
 def events_by_skins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events split by a user property."""
     props = L.user_properties(_log(spark, sf_dir))
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("name"), (F.col("user_id") % 10).alias("user"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("name"), F.floor(F.col("user_id") / 5).alias("user"))
     return reports.segment_by(e, props, "user", "dart_skins_unlocked")
 
 
@@ -658,13 +658,13 @@ def merged_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with r as (select user_id % 10 as host, 'T' || cast(event_id % 4 as varchar) as sensor, value from events where value between 0 and 150)
+    """with r as (select cast(floor(user_id / 5) as bigint) as host, 'T' || cast(event_id % 4 as varchar) as sensor, value from events where value between 0 and 150)
 select host, arg_min(sensor, (-value, sensor)) as sensor, round(max(value), 6) as value, round(avg(value), 6) as mean, round(quantile_cont(value, 0.95), 6) as p95 from r group by host"""
 )
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plausible sensors: the hottest per host, mean and percentile."""
     key = F.when(F.col("event_id") % 9 >= 0, F.concat(F.lit("T"), (F.col("event_id") % 4).cast("string")))
-    r = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 10).alias("host"), key.alias("sensor"), "value").filter(labels.plausible_sensor("sensor", "value"))
+    r = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("user_id") / 5).alias("host"), key.alias("sensor"), "value").filter(labels.plausible_sensor("sensor", "value"))
     p95 = telemetry.peak_report(r, "value", "host").select("host", r6("p95", "p95"))
     return telemetry.hottest_sensor(r).join(p95, "host").select("host", "sensor", r6("value", "value"), r6("mean", "mean"), "p95")
 

@@ -1,4 +1,8 @@
-"""Domain-shaped inputs derived from the driver's tables, as SQL that both engines run unchanged."""
+"""Domain-shaped inputs derived from the driver's tables, as SQL that both engines run unchanged.
+
+Five users of the tables make one user, host or device here, so that a group's log is longer than
+the operators' windows while groups grow in number with the data.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 SQL = {
-    "f_points": """select event_id, user_id % 10 as user_key, ts,
+    "f_points": """select event_id, cast(floor(user_id / 5) as bigint) as user_key, ts,
  45.7 + cast((k * 7919) % 22000 as double) / 10000.0 as lat,
  5.9 + cast((k * 104729) % 47000 as double) / 10000.0 as lon
  from (select *, event_id % 4000 as k from events) e""",
@@ -19,7 +23,7 @@ SQL = {
  case when k % 3 = 0 then 'ZH' when k % 3 = 1 then 'K' || cast(k % 26 as varchar(20)) else 'BE' end as canton, (k + p.pos) % 3 = 0 as is_current
  from f_cells c join (select 0 as pos, 1 as quarter union all select 0, 2 union all select 1, 2 union all select 0, 3 union all select 1, 3 union all select 2, 3) p on p.quarter = k % 4""",
     "f_elevations": """select lat, lon, cast((k * 37) % 4000 as int) as metres from f_cells where k % 9 <> 0""",
-    "f_log": """select event_id, user_id % 10 as user_key, ts, event_id % 997 = 0 as is_clear, event_id % 6 <> 0 as is_hit,
+    "f_log": """select event_id, cast(floor(user_id / 5) as bigint) as user_key, ts, event_id % 997 = 0 as is_clear, event_id % 6 <> 0 as is_hit,
  case when event_id % 6 = 0 then null when event_id % 401 = 0 then 25 else (event_id * 31) % 25 end as canton_id from events""",
     "f_hits": """select event_id as hit_id, user_id, ts, event_type,
  case event_id % 5 when 0 then null when 1 then '_ga=GA1.1.' || cast(event_id as varchar(20)) || '.' || cast(user_id as varchar(20)) || '; _ga_S=GS2.1.s' || cast(event_id % 97 as varchar(20)) || '$o1'
@@ -48,8 +52,8 @@ SQL = {
   when 9 then null when 10 then '{"status":"502"}' else '{"art":"preich","upstream_ms":' || cast(event_id % 500 as varchar(20)) || ',"hoechi":560}' end as params from events""",
     "f_throws": """select event_id, cast(event_id % 3 as double) / 2 as force, value * cos(cast(event_id as double)) as dx, value * sin(cast(event_id as double)) as dy, value,
  event_id % 14 = 0 as shank from events""",
-    "f_counter": """select user_id % 10 as host, ts, event_id, event_id * 3 % 5000 as ticks, case when event_id % 3 = 0 then value end as slow_value from events""",
-    "f_moves": """select event_id, user_id, user_id % 5 as device, ts, case event_type when 'view' then 'move' when 'click' then 'left_click' when 'purchase' then 'key' when 'signup' then 'scroll' else 'right_click' end as kind,
+    "f_counter": """select cast(floor(user_id / 5) as bigint) as host, ts, event_id, event_id * 3 % 5000 as ticks, case when event_id % 3 = 0 then value end as slow_value from events""",
+    "f_moves": """select event_id, user_id, cast(floor(user_id / 5) as bigint) as device, ts, case event_type when 'view' then 'move' when 'click' then 'left_click' when 'purchase' then 'key' when 'signup' then 'scroll' else 'right_click' end as kind,
  cast((event_id * 31) % 2600 as double) - 100 as x, cast((event_id * 17) % 1500 as double) - 30 as y, value as dx, -value as dy,
  cast(event_id % 60 as int) as key_code, cast((event_id * 65536) % 4194304 as bigint) as flags, 'app' || cast(event_id % 7 as varchar(20)) as bundle_id from events""",
     "f_funnel": """select event_id as hit_id, user_id, user_id * 100 + cast(extract(day from ts) as int) as session_id, ts,
