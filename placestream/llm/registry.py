@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, language, licenses, mixing, quality, secrets, token_store, toxicity, transcripts
+from . import decontamination, jaccard, language, licenses, mixing, periods, quality, secrets, token_store, toxicity, transcripts
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_language": language.op9_language,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_periodic_runs": periods.op11_periodic_runs,
 }
 ORACLES = {
     "op2_license_scan": licenses.OP2_SQL,
