@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .words import SPACED_NUL, buffers, slices, words
+from .words import SPACED_NUL, buffers, slices, span_array, words
 
 LEAST_LENGTH = 6
 LEAST_TURNS = 4
@@ -166,11 +166,7 @@ def runs_of(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A number for each byte span, the same for the same bytes."""
-    size = end - start
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
-    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[at].tobytes())])
-    return spans.dictionary_encode().indices.to_numpy().astype(np.int64)
+    return span_array(raw, start, end).dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

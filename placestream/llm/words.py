@@ -125,6 +125,14 @@ def span_hashes(m: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def span_array(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeBinaryArray:
+    """The bytes of each span."""
+    size = end - start
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw[at].tobytes())])
+
+
 def shingles(hashes: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every ``size`` consecutive words of a row, and the index of each first word."""
     n = len(hashes) - size + 1
