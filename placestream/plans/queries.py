@@ -11,7 +11,7 @@ from placestream.operators import hits as H
 from placestream.operators import logs as L
 from placestream.operators import nearest, points, quality, reports, telemetry
 from placestream.sources.adapters import adapter
-from placestream.streaming import streams
+from placestream.streaming import ordered, streams, upserts
 
 from . import sql as S
 from .registry import ORACLES, QUERIES, query, r6
@@ -207,6 +207,11 @@ def collected_cantons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.collected_cantons(_log(spark, sf_dir)).select("user_key", F.array_join("cantons", ",").alias("cantons"), "n_cantons")
 
 
+def _closed(rows: str, key: str, slot: int = 1_000) -> str:
+    """SQL: the rows whose slot of event time a watermark of three days has passed."""
+    return f"closed as (select {key} from {rows} where epoch_ms(ts) // {slot} * {slot} + {slot} <= (select epoch_ms(max(ts)) - 259200000 from {rows}))"
+
+
 _PROPS = "props as (select u.user_key, coalesce(n, 0) as throw_count, coalesce(c, 0) as cantons_collected, 1 + (coalesce(n, 0) >= 5)::int + (coalesce(n, 0) >= 15)::int + (coalesce(n, 0) >= 30)::int as dart_skins_unlocked from (select distinct user_key from log) u left join (select user_key, count(*) as n, count(distinct case when is_hit then canton end) as c from latest group by user_key) l using (user_key))"
 
 
@@ -216,13 +221,15 @@ def user_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.user_properties(_log(spark, sf_dir))
 
 
-@query(
-    f"""with {S.LOG}, over_time as (select e.user_key, e.event_id, case when is_clear then 0 else (select count(*) from entries x where x.user_key = e.user_key and x.epoch = e.epoch and (x.ts, x.event_id) <= (e.ts, e.event_id)) end as n,
+_OVER_TIME_SQL = (
+    f"""with {S.LOG}, {_closed("log", "event_id")}, over_time as (select e.user_key, e.event_id, case when is_clear then 0 else (select count(*) from entries x where x.user_key = e.user_key and x.epoch = e.epoch and (x.ts, x.event_id) <= (e.ts, e.event_id)) end as n,
  e.epoch, e.ts, e.is_clear from epochs e)
 select o.user_key, o.event_id, least(n, 200) as throw_count, case when o.is_clear then 0 else (select count(distinct x.canton) from entries x where x.user_key = o.user_key and x.epoch = o.epoch and x.is_hit and x.rn between o.n - 199 and o.n) end as cantons_collected,
- 1 + (n >= 5)::int + (n >= 15)::int + (n >= 30)::int as dart_skins_unlocked from over_time o""",
-    "f_log",
+ 1 + (n >= 5)::int + (n >= 15)::int + (n >= 30)::int as dart_skins_unlocked from over_time o"""
 )
+
+
+@query(_OVER_TIME_SQL, "f_log")
 def user_properties_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Properties after every change of the log."""
     return L.user_properties_over_time(_log(spark, sf_dir)).drop("ts")
@@ -570,10 +577,10 @@ def rolling_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("event_id", r6("rolling_mean", "rolling_mean"), "rolling_max", "rolling_n", r6("filled", "filled"))
 
 
-@query(
-    """select event_id, n, round(case when n >= 2 and t > f then n / ((t - f) / 1e6) * 60 / 5 end, 6) as rate from (select event_id, epoch_us(ts) as t, count(*) over w as n, min(epoch_us(ts)) over w as f from f_moves window w as (partition by device order by epoch_us(ts) range between 3600000000 preceding and current row))""",
-    "f_moves",
-)
+_RATES = """rates as (select event_id, n, round(case when n >= 2 and t > f then n / ((t - f) / 1e6) * 60 / 5 end, 6) as rate from (select event_id, epoch_us(ts) as t, count(*) over w as n, min(epoch_us(ts)) over w as f from f_moves window w as (partition by device order by epoch_us(ts) range between 3600000000 preceding and current row)))"""
+
+
+@query(f"with {_RATES} select * from rates", "f_moves")
 def rolling_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events a minute over the last hour."""
     return telemetry.rolling_rate(adapter(spark, sf_dir, "f_moves"), "device", 3600).select("event_id", "n", r6("rate", "rate"))
@@ -710,28 +717,44 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams ----------------------------------------------------------------------------------
 
 
+def _late(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with ``arrived``: up to two days after their time, so that they come out of order within and across batches."""
+    delay = F.make_interval(secs=F.pmod(F.xxhash64(key), F.lit(172_800)))
+    return rows.withColumn("arrived", F.col("ts").cast("timestamp") + delay)
+
+
 @query(
-    f"""with {S.LOG}, {_MILESTONES} select user_key, event_id, 'canton' as kind, canton as value, collected as count from fresh union all select user_key, event_id, 'skin', skin, threshold from ({_SKIN_SQL})
- union all select user_key, event_id, 'complete', 'all', least(rn, 201) from fresh where collected = 25""",
+    f"""with {S.LOG}, {_MILESTONES}, {_closed("log", "event_id")}, every as (select user_key, event_id, 'canton' as kind, canton as value, collected as count from fresh union all select user_key, event_id, 'skin', skin, threshold from ({_SKIN_SQL})
+ union all select user_key, event_id, 'complete', 'all', least(rn, 201) from fresh where collected = 25) select * from every where event_id in (select event_id from closed)""",
     "f_log",
 )
 def stream_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Milestones of a stream of throws, equal to the batch ones."""
-    return streams.run_available(_log(spark, sf_dir).drop("canton_id"), lambda s: streams.milestone_stream(s, total=25))
+    """Milestones of a stream of throws that arrive out of order, equal to the batch ones."""
+    rows = _late(_log(spark, sf_dir).drop("canton_id"), "event_id")
+    return streams.run_available(rows, lambda s: ordered.milestone_stream(s, total=25, watermark="3 days"), order="arrived")
 
 
-@query(f"with {_INTERNAL} select user_id, hit_id, internal from flags", "f_hits")
+@query(f"with {_INTERNAL}, {_closed('f_hits', 'hit_id')} select user_id, hit_id, internal from flags where hit_id in (select hit_id from closed)", "f_hits")
 def stream_internal_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The device flag held in a stream's state."""
+    """The device flag held in a stream's state, hits arriving out of order."""
     value = F.regexp_extract("query", r"(?:^|&)ow_internal=([^&]*)", 1)
     rows = adapter(spark, sf_dir, "f_hits").select("hit_id", "user_id", "ts", value.alias("internal_value"))
-    return streams.run_available(rows, streams.internal_flag_stream)
+    return streams.run_available(_late(rows, "hit_id"), lambda s: ordered.internal_flag_stream(s, watermark="3 days"), order="arrived")
 
 
-@query(f"with {S.LOG}, {_PROPS} select * from props", "f_log")
+@query(f"{_OVER_TIME_SQL} where o.event_id in (select event_id from closed)", "f_log")
 def stream_user_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User properties kept by a stream."""
-    return streams.run_available(_log(spark, sf_dir).drop("canton_id"), streams.user_properties_stream, "update", keys=["user_key"])
+    """User properties after every change of a log whose rows arrive out of order."""
+    rows = _late(_log(spark, sf_dir).drop("canton_id"), "event_id")
+    return streams.run_available(rows, lambda s: ordered.user_properties_stream(s, watermark="3 days"), order="arrived")
+
+
+@query(f"with {_closed('f_moves', 'event_id')}, {_RATES} select * from rates where event_id in (select event_id from closed)", "f_moves")
+def stream_exact_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events a minute over the last hour, row by row on a stream whose rows arrive out of order."""
+    rows = _late(adapter(spark, sf_dir, "f_moves").select("event_id", "device", "ts"), "event_id")
+    r = streams.run_available(rows, lambda s: ordered.exact_rate_stream(s, "device", 3600, watermark="3 days"), order="arrived")
+    return r.select("event_id", "n", r6("rate", "rate"))
 
 
 @query(f"with {_CONSENT} select hit_id, {_CLIENT} as client_id, false as will_be_dropped from consent where analytics_storage = 'granted'", "f_hits")
@@ -757,10 +780,11 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value is not null")
     one = e.select((F.col("user_id") % 20).alias("k"), F.lit(1).cast("long").alias("n"), F.col("ts").alias("first_ts"), F.col("value").alias("mean"), F.col("value").alias("peak"), F.col("event_id").alias("seq"))
     path = streams.scratch(spark)
-    for _ in streams.arriving(one, f"{path}/in", "first_ts", 3):
+    table = upserts.CounterTable(spark, f"{path}/table", ["k"], buckets=8, most_parts=1)
+    for _ in streams.arriving(one, f"{path}/in", "first_ts", 4):
         rows = spark.readStream.schema(one.schema).parquet(f"{path}/in")
-        streams.counter_stream(rows, f"{path}/table", ["k"], f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return streams.newest_version(spark, f"{path}/table").select("k", "n", telemetry.micros("first_ts").alias("first_us"), r6("mean", "mean"), r6("peak", "peak"), "seq")
+        upserts.counter_stream(rows, table, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("k", "n", telemetry.micros("first_ts").alias("first_us"), r6("mean", "mean"), r6("peak", "peak"), "seq")
 
 
 @query(

@@ -1,22 +1,17 @@
-"""The same work on streams: stateless paths reuse the batch functions, logs keep bounded state."""
+"""The same work on streams without state of their own, and runs of a stream over a table at hand."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from placestream import constants as C
 from placestream.operators import hits as H
 from placestream.operators import points as P
-from placestream.operators.telemetry import merge_counters
 
 
 def hit_stream(hits: DataFrame) -> DataFrame:
@@ -34,122 +29,12 @@ def once(hits: DataFrame, key: str = "hit_id", watermark: str = "1 hour") -> Dat
     return hits.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
 
-def milestone_stream(log: DataFrame, n: int = C.LOG_SIZE, total: int = len(C.CANTONS), idle: int | None = None) -> DataFrame:
-    """Milestones as throws arrive: (user_key, event_id, kind, value, count); kinds are canton, complete and skin.
-
-    State per user: the last ``n`` entries' cantons. Rows are put in order within a micro-batch; the
-    source must deliver batches in order. A clear empties the state, as do ``idle`` milliseconds
-    without a row (never by default; a query with an idle limit needs a trigger other than available-now).
-    """
-
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen: list = list(state.get[0]) if state.exists else []
-        out = []
-        for r in _in_order(rows, "event_id"):
-            if r.is_clear:
-                seen = []
-                continue
-            canton = _canton(r)
-            have = set(seen) - {""}
-            if canton and canton not in have:
-                out.append((key[0], r.event_id, "canton", canton, len(have) + 1))
-                if len(have) + 1 == total:
-                    out.append((key[0], r.event_id, "complete", "all", len(seen) + 1))
-            for skin, threshold in C.SKINS:
-                if threshold and threshold == len(seen) + 1:
-                    out.append((key[0], r.event_id, "skin", skin, threshold))
-            seen = [*seen, canton][-n:]
-        _keep(state, (seen,), idle)
-        yield pd.DataFrame(out, columns=["user_key", "event_id", "kind", "value", "count"])
-
-    return log.groupBy("user_key").applyInPandasWithState(step, "user_key long, event_id long, kind string, value string, count long", "cantons array<string>", "append", _timeout(idle))
-
-
-def _in_order(rows: Iterator[pd.DataFrame], tie: str) -> Iterator[Any]:
-    """The rows of a key's micro-batch by time; none if its state has timed out."""
-    parts = list(rows)
-    return pd.concat(parts).sort_values(["ts", tie]).itertuples() if parts else iter(())
-
-
-def _canton(row: Any) -> str:
-    return str(row.canton) if row.is_hit and row.canton is not None and row.canton == row.canton else ""
-
-
-def _timeout(idle: int | None) -> str:
-    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
-
-
-def _keep(state: GroupState, value: tuple, idle: int | None) -> None:
-    """Store a key's state, or forget it once it has been idle for long enough."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    state.update(value)
-    if idle is not None:
-        state.setTimeoutDuration(idle)
-
-
-def internal_flag_stream(hits: DataFrame, idle: int | None = None) -> DataFrame:
-    """(user_id, hit_id, internal): the device's flag before each hit, held in state."""
-
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flag = state.get[0] if state.exists else "0"
-        out = []
-        for r in _in_order(rows, "hit_id"):
-            out.append((key[0], r.hit_id, flag == "1"))
-            if r.internal_value in ("0", "1"):
-                flag = r.internal_value
-        _keep(state, (flag,), idle)
-        yield pd.DataFrame(out, columns=["user_id", "hit_id", "internal"])
-
-    return hits.groupBy("user_id").applyInPandasWithState(step, "user_id long, hit_id long, internal boolean", "flag string", "append", _timeout(idle))
-
-
-def user_properties_stream(log: DataFrame, n: int = C.LOG_SIZE, idle: int | None = None) -> DataFrame:
-    """(user_key, throw_count, cantons_collected, dart_skins_unlocked) after each micro-batch, in update mode."""
-
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen: list = list(state.get[0]) if state.exists else []
-        for r in _in_order(rows, "event_id"):
-            seen = [] if r.is_clear else [*seen, _canton(r)][-n:]
-        _keep(state, (seen,), idle)
-        yield pd.DataFrame([(key[0], len(seen), len(set(seen) - {""}), sum(len(seen) >= t for _, t in C.SKINS))], columns=["user_key", "throw_count", "cantons_collected", "dart_skins_unlocked"])
-
-    return log.groupBy("user_key").applyInPandasWithState(step, "user_key long, throw_count long, cantons_collected long, dart_skins_unlocked long", "cantons array<string>", "update", _timeout(idle))
-
-
 def rate_stream(events: DataFrame, key: str, seconds: int = 60, slide: int = 10, watermark: str = "10 minutes") -> DataFrame:
     """Events a minute in sliding windows, a bounded approximation of the exact rolling rate."""
     window = F.window("ts", f"{seconds} seconds", f"{slide} seconds")
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).groupBy(window, key).agg(F.count("*").alias("n")).select(key, F.col("window.end").alias("until"), (F.col("n") * 60.0 / seconds).alias("per_minute"))
 
 
-def counter_stream(rows: DataFrame, table_path: str, keys: list[str], checkpoint: str, interval: str = "30 seconds"):
-    """Upsert micro-batches of partial counters into versions of a table: one folder a batch id.
-
-    A batch that is replayed writes the same version again from the version before it, so counts
-    never double; older versions are deleted. Returns the query's writer; call ``start()`` or add a
-    trigger first.
-    """
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{table_path}/v{epoch - 1}") if epoch else batch.limit(0)
-        merge_counters(old, batch, keys).write.mode("overwrite").parquet(f"{table_path}/v{epoch}")
-        if epoch > 1:
-            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v{epoch - 2}")
-            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
-
-    return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(processingTime=interval)
-
-
-def newest_version(spark: SparkSession, table_path: str) -> DataFrame:
-    """The table as the last batch of a ``counter_stream`` left it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(table_path)
-    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
-    return spark.read.parquet(f"{table_path}/v{max(int(n[1:]) for n in names)}")
-
-
 def scratch(spark: SparkSession) -> str:
     """A new folder for a stream's output and checkpoint, in the session's shared folder; a local one only in a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -142,15 +142,6 @@ def test_export_has_a_header(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "x")).columns == ["id"]
 
 
-def test_counter_stream_adds_up(spark, tmp_path):
-    rows = spark.createDataFrame([(i % 3, 1, i, float(i), float(i), i) for i in range(30)], "k int, n long, first_ts long, mean double, peak double, seq long")
-    rows.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streams.counter_stream(stream, str(tmp_path / "t"), ["k"], str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    last = max((p.name for p in (tmp_path / "t").iterdir()), key=lambda n: int(n[1:]))
-    assert sorted((r.k, r.n) for r in spark.read.parquet(str(tmp_path / "t" / last)).collect()) == [(0, 10), (1, 10), (2, 10)]
-
-
 def test_rate_stream_counts_windows(spark):
     rows = spark.createDataFrame([(1, i) for i in range(0, 120, 5)], "k int, s long").select("k", F.timestamp_seconds("s").alias("ts"))
     out = streams.run_available(rows, lambda s: streams.rate_stream(s, "k", watermark="0 seconds"))
