@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import join_hot, shared_dir, table
+from .shared import SALTS, join_hot, shared_dir, table
 from .words import SLICE_BYTES, buffers, mix, slices, span_array, span_hashes, words
 
 LEAST_COUNT = 10
@@ -31,7 +31,7 @@ MOST_BITS = 1 << 29
 LEAST_BITS = 1 << 20
 _BUCKET = 1 << 15  # bits of a value of bitmap_construct_agg
 #: Occurrences that are joined and counted at a time.
-SLICE_ROWS = 1 << 20
+SLICE_ROWS = 1 << 18
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -249,7 +249,9 @@ def score_phrases(every: DataFrame, groups: list[DataFrame], least: int = LEAST_
         scored = found.select("lang", F.concat_ws(" ", *[f"w{j}" for j in range(m)]).alias("phrase"), "a", F.array_min(F.array(*cuts)).alias("cut"))
         rows = scored if rows is None else rows.unionByName(scored)
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    top = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
+    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS // 8))).orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
+    top = rows.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= best)  # so the last step takes a bounded number a language
+    top = top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
     n = every.groupBy("lang").agg(F.sum("n").alias("n"))
     return top.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
