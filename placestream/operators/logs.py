@@ -19,26 +19,28 @@ MOST_CANTONS = 1_000
 def log_epochs(log: DataFrame) -> DataFrame:
     """Log rows with their epoch: how often the user had cleared the log up to that row."""
     w = Window.partitionBy("user_key").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("epoch", F.sum(F.col("is_clear").cast("int")).over(w))
+    return log.withColumn("epoch", F.sum(F.coalesce("is_clear", F.lit(False)).cast("int")).over(w))
 
 
 def numbered(log: DataFrame) -> DataFrame:
     """Entries with their epoch and their number ``rn`` in it, from 1."""
     w = Window.partitionBy("user_key", "epoch").orderBy(*_ORDER)
-    return log_epochs(log).filter(~F.col("is_clear")).withColumn("rn", F.row_number().over(w))
+    return log_epochs(log).filter(~F.coalesce("is_clear", F.lit(False))).withColumn("rn", F.row_number().over(w))
 
 
 def latest_log(log: DataFrame, n: int = C.LOG_SIZE) -> DataFrame:
     """The newest ``n`` entries of each user since the last clear, with ``place`` 1 for the newest.
 
-    The last clear is a maximum over partial aggregates, and only the newest rows of a task go on to
-    be ranked, so a long history is neither brought together nor sorted as a whole.
+    The newest ``n`` rows of a user, clears among them, hold all of these: only so many rows of a task
+    go on to be ranked, a long history is not brought together, and no join is needed to find the last
+    clear. A row whose ``is_clear`` is null is an entry.
     """
-    cleared = log.filter("is_clear").groupBy(F.col("user_key").alias("_user")).agg(F.max(F.struct("ts", "event_id")).alias("_clear"))
-    rows = log.filter(~F.col("is_clear")).join(cleared, F.col("user_key").eqNullSafe(F.col("_user")), "left")
-    after = F.col("_clear").isNull() | (F.struct("ts", "event_id") > F.col("_clear"))
-    newest = Window.partitionBy("user_key").orderBy(F.desc("ts"), F.desc("event_id"))
-    return rows.filter(after).drop("_user", "_clear").withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= n)
+    by_user = Window.partitionBy("user_key")
+    newest = by_user.orderBy(F.desc("ts"), F.desc("event_id"))
+    rows = log.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= n)
+    clear = F.coalesce("is_clear", F.lit(False))
+    cleared = F.min(F.when(clear, F.col("place"))).over(by_user)
+    return rows.withColumn("_cleared", cleared).filter(F.col("_cleared").isNull() | (F.col("place") < F.col("_cleared"))).drop("_cleared")
 
 
 def canton_milestones(log: DataFrame, n: int = C.LOG_SIZE) -> DataFrame:

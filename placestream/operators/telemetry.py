@@ -6,54 +6,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .reports import quantile, with_quantile
+from .segments import TARGET_ROWS, micros, settled, with_tails
 
 _ORDER = ("ts", "event_id")
 
 
-def micros(ts: Column | str) -> Column:
-    """Microseconds since the epoch; times without a zone are read in the session's."""
-    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
-
-
-def counter_rate(samples: DataFrame, host: str = "host", value: str = "ticks") -> DataFrame:
+def counter_rate(samples: DataFrame, host: str = "host", value: str = "ticks", target: int = TARGET_ROWS) -> DataFrame:
     """Samples with ``rate`` a second: 0 for a host's first sample, null after a reset or without time between."""
-    w = Window.partitionBy(host).orderBy(*_ORDER)
+    w = Window.partitionBy(host, "_range").orderBy(*_ORDER)
     before, then = F.lag(value).over(w), F.lag("ts").over(w)
     seconds = micros("ts").cast("double") / 1e6 - micros(then).cast("double") / 1e6
-    return samples.withColumn("rate", F.when(F.row_number().over(w) == 1, 0.0).when((F.col(value) >= before) & (seconds > 0), (F.col(value) - before) / seconds))
+    rate = F.when(F.row_number().over(w) == 1, 0.0).when((F.col(value) >= before) & (seconds > 0), (F.col(value) - before) / seconds)
+    return settled(with_tails(samples, host, _ORDER, back_rows=1, target=target).withColumn("rate", rate))
 
 
-def rolling_samples(samples: DataFrame, value: str, n: int = 120, host: str = "host") -> DataFrame:
+def rolling_samples(samples: DataFrame, value: str, n: int = 120, host: str = "host", target: int = TARGET_ROWS) -> DataFrame:
     """Samples with mean and maximum of the last ``n`` ones, the present included."""
-    w = Window.partitionBy(host).orderBy(*_ORDER).rowsBetween(-(n - 1), 0)
-    return samples.withColumns({"rolling_mean": F.avg(value).over(w), "rolling_max": F.max(value).over(w), "rolling_n": F.count(value).over(w)})
+    w = Window.partitionBy(host, "_range").orderBy(*_ORDER).rowsBetween(-(n - 1), 0)
+    rolling = {"rolling_mean": F.avg(value).over(w), "rolling_max": F.max(value).over(w), "rolling_n": F.count(value).over(w)}
+    return settled(with_tails(samples, host, _ORDER, back_rows=n - 1, target=target).withColumns(rolling))
 
 
-def forward_fill(samples: DataFrame, value: str, host: str = "host") -> DataFrame:
+def forward_fill(samples: DataFrame, value: str, host: str = "host", target: int = TARGET_ROWS) -> DataFrame:
     """Samples with ``filled``: the last known value of a metric that is not sampled every time."""
-    w = Window.partitionBy(host).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return samples.withColumn("filled", F.last(value, ignorenulls=True).over(w))
+    w = Window.partitionBy(host, "_range").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    parts = with_tails(samples, host, _ORDER, back_rows=1, known=F.col(value).isNotNull(), target=target)
+    return settled(parts.withColumn("filled", F.last(value, ignorenulls=True).over(w)))
 
 
-def rolling_rate(events: DataFrame, key: str, seconds: int = 60, per_word: float = 5.0, min_span: float | None = None) -> DataFrame:
+def rolling_rate(events: DataFrame, key: str, seconds: int = 60, per_word: float = 5.0, min_span: float | None = None, target: int = TARGET_ROWS) -> DataFrame:
     """Events with ``rate`` a minute over the last ``seconds``: count / span * 60 / 5; null below two events or without span.
 
-    ``min_span`` puts a floor under the span of short bursts; none by default.
+    ``min_span`` puts a floor under the span of short bursts; none by default. No range of a key is
+    shorter than ``seconds``, so a task holds what a key sends in about that time, or the target.
     """
     at = micros("ts")
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(key, "_range").orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
     span = (at - F.min(at).over(w)) / 1e6
     used = F.greatest(span, F.lit(float(min_span))) if min_span else span
     n = F.count("*").over(w)
-    return events.withColumns({"n": n, "rate": F.when((n >= 2) & (span > 0), n / used * 60 / per_word)})
+    parts = with_tails(events, key, ("ts",), back_micros=seconds * 1_000_000, target=target)
+    return settled(parts.withColumns({"n": n, "rate": F.when((n >= 2) & (span > 0), n / used * 60 / per_word)}))
 
 
-def path_length(moves: DataFrame, key: str, min_dt: float = 0.0) -> DataFrame:
+def path_length(moves: DataFrame, key: str, min_dt: float = 0.0, target: int = TARGET_ROWS) -> DataFrame:
     """Positions (x, y) with the distance from the one before and the speed where 0 < dt < 1 s (and dt >= ``min_dt``)."""
-    w = Window.partitionBy(key).orderBy(*_ORDER)
+    w = Window.partitionBy(key, "_range").orderBy(*_ORDER)
     step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
     dt = (micros("ts") - micros(F.lag("ts").over(w))) / 1e6
-    return moves.withColumns({"distance": step, "dt": dt, "speed": F.when((dt > 0) & (dt < 1) & (dt >= min_dt), step / dt)})
+    parts = with_tails(moves, key, _ORDER, back_rows=1, target=target)
+    return settled(parts.withColumns({"distance": step, "dt": dt, "speed": F.when((dt > 0) & (dt < 1) & (dt >= min_dt), step / dt)}))
 
 
 def peak_report(rows: DataFrame, value: str, *by: str) -> DataFrame:
