@@ -10,7 +10,7 @@ from placestream.operators import hits as H
 from placestream.operators import points, quality, reports, telemetry
 from placestream.sources import tables
 from placestream.sources.adapters import adapter
-from placestream.streaming.streams import scratch
+from placestream.sources.tables import scratch
 
 from .registry import query, r6
 

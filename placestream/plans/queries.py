@@ -11,6 +11,7 @@ from placestream.operators import hits as H
 from placestream.operators import logs as L
 from placestream.operators import nearest, points, quality, reports, telemetry
 from placestream.sources.adapters import adapter
+from placestream.sources.tables import scratch
 from placestream.streaming import ordered, streams, upserts
 
 from . import sql as S
@@ -779,7 +780,7 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters upserted by micro-batches, the newest version read back."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value is not null")
     one = e.select((F.col("user_id") % 20).alias("k"), F.lit(1).cast("long").alias("n"), F.col("ts").alias("first_ts"), F.col("value").alias("mean"), F.col("value").alias("peak"), F.col("event_id").alias("seq"))
-    path = streams.scratch(spark)
+    path = scratch(spark)
     table = upserts.CounterTable(spark, f"{path}/table", ["k"], buckets=8, most_parts=1)
     for _ in streams.arriving(one, f"{path}/in", "first_ts", 4):
         rows = spark.readStream.schema(one.schema).parquet(f"{path}/in")

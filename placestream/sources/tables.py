@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,13 @@ def read_snapshot(texts: DataFrame, json: str = "json") -> DataFrame:
 def entry_id(user: Column, ts: Column, seq: Column) -> Column:
     """A stable id for entries that came without one."""
     return F.sha2(F.concat_ws("|", user.cast("string"), F.unix_micros(ts).cast("string"), seq.cast("string")).cast("binary"), 256)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for what a job writes on its way, in the session's shared folder; a local one only in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="placestream-")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import types as T
 
 from placestream.operators import hits as H
 from placestream.operators import points as P
+from placestream.sources.tables import scratch
 
 
 def hit_stream(hits: DataFrame) -> DataFrame:
@@ -35,16 +34,6 @@ def rate_stream(events: DataFrame, key: str, seconds: int = 60, slide: int = 10,
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).groupBy(window, key).agg(F.count("*").alias("n")).select(key, F.col("window.end").alias("until"), (F.col("n") * 60.0 / seconds).alias("per_minute"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for a stream's output and checkpoint, in the session's shared folder; a local one only in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="placestream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def arriving(source: DataFrame, path: str, order: str | None, slices: int) -> Iterator[None]:
     """Write a table as files in ``slices`` parts by time ``order``, one at each step."""
     at = F.unix_micros(F.col(order).cast("timestamp")) if order else F.lit(0)
