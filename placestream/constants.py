@@ -60,3 +60,8 @@ ELEVATION_TOLERANCE_M = 25
 POINTS_PER_METRE = 4330.7
 HEATMAP_BUCKETS = 50
 MODIFIER_MASK = 0x1E0000
+
+# What events call outcomes, reasons of misses and styles of throws.
+OUTCOMES = {"hit": "preich", "miss": "dernaebe"}
+MISS_REASONS = {"abroad": "usland", "border_water": "grenzwasser"}
+STYLES = {"clean": "sufer", "sloppy": "gschlämpert", "shank": "chnorz"}

@@ -9,7 +9,9 @@ from placestream import constants as C
 
 from .geo import _c
 
-_FLOAT = r"^\s*([+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?))"
+# What browsers take for white space.
+_SPACE = "[\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+_FLOAT = rf"^{_SPACE}*([+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?))"
 
 
 def parse_float(x: Column | str) -> Column:
@@ -19,7 +21,7 @@ def parse_float(x: Column | str) -> Column:
 
 def parse_int(x: Column | str) -> Column:
     """The whole number at the start of a text, else null."""
-    return F.nullif(F.regexp_extract(_c(x), r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("long")
+    return F.nullif(F.regexp_extract(_c(x), rf"^{_SPACE}*([+-]?\d+)", 1), F.lit("")).try_cast("long")
 
 
 def parse_height(x: Column | str) -> Column:
@@ -41,44 +43,81 @@ def format_point(lat, lon) -> Column:
 
 # Schemes whose links always have a host, and the port that each leaves out.
 _DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
-_HOST = r"^(?:[^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+|\[[0-9A-Fa-f:.]+\])(?::[0-9]*)?$"
+_ALLOWED = r"^[^\x00-\x20#%/:<>?@\[\\\]^|\x7f]+$"
+_SIX = r"^\[[0-9A-Fa-f:.]+\]$"
 
 
-def _link(url: Column) -> tuple[Column, Column]:
-    """(scheme, lower-cased host with its port) of an absolute link by the rules of browsers; both null if it is none.
+def _let(x: Column, f) -> Column:
+    """f(x) with x made once, however often f looks at it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _ip4(host: Column) -> Column:
+    """The address that a host whose last part is a number stands for, with 1 to 4 parts, each decimal, octal or hexadecimal; null if it is none."""
+    one = lambda x: F.when(x.rlike("^0x[0-9a-f]*$"), F.conv(F.concat(F.lit("0"), F.substring(x, 3, 99)), 16, 10)).when(x.rlike("^0[0-7]+$"), F.conv(x, 8, 10)).when(x.rlike("^(?:0|[1-9][0-9]*)$"), x).try_cast("decimal(20,0)")
+
+    def written(numbers: Column) -> Column:
+        n, last = F.size(numbers), F.element_at(numbers, -1)
+        front = F.slice(numbers, 1, F.least(n - 1, F.lit(3)))
+        good = (n <= 4) & ~F.exists(numbers, lambda x: x.isNull()) & ~F.exists(front, lambda x: x > 255) & (last < F.pow(F.lit(256.0), 5 - n))
+        full = F.concat(F.transform(front, lambda x: x.cast("long")), F.transform(F.sequence(n, F.lit(4)), lambda i: F.floor(last / F.pow(F.lit(256.0), 4 - i)).cast("long") % 256))
+        return F.when(good, F.array_join(F.transform(full, lambda x: x.cast("string")), "."))
+
+    return _let(F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), one), written)
+
+
+def _host(raw: Column) -> Column:
+    """A host as browsers write it: percent signs decoded, ASCII by IDNA, addresses of four numbers; null if it is none."""
+    decode = lambda x: F.when(x.contains("%"), F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))).otherwise(x)
+    ascii_ = lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.call_function("try_reflect", F.lit("java.net.IDN"), F.lit("toASCII"), x, F.lit(1))).otherwise(x)
+    written = lambda x: F.when(x.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$"), _ip4(x)).when(x.rlike(_ALLOWED), x)
+    return F.when(raw.rlike(_SIX), F.lower(raw)).otherwise(_let(F.lower(_let(decode(raw), ascii_)), written))
+
+
+def _link(url: Column) -> Column:
+    """struct<scheme, host> of an absolute link by the rules of browsers, the host with its port; null if it is none.
 
     Only scheme and authority are looked at: paths and queries may hold any character. Slashes after
-    the scheme may be of any number and kind; user and default port are left out. A host with percent
-    signs, which browsers would decode, counts as none.
+    the scheme may be of any number and kind; user and default port are left out. Names beyond ASCII
+    are written in punycode by the JVM's IDNA of 2003, which makes ss of a sharp s.
     """
     clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    scheme = F.nullif(F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
-    hosted = scheme.isin(*_DEFAULT_PORTS)
-    authority = F.when(hosted, F.regexp_extract(clean, r"^[^:]*:[/\\]*([^/\\?#]*)", 1)).otherwise(F.regexp_extract(clean, r"^[^:]*://([^/?#]*)", 1))
-    place = F.regexp_replace(authority, r"^.*@", "")
-    port = F.regexp_extract(place, r":([0-9]*)$", 1).try_cast("int")
-    default = F.try_element_at(F.create_map(*[F.lit(x) for pair in _DEFAULT_PORTS.items() for x in pair]), scheme)
-    host = F.lower(F.regexp_replace(place, r":[0-9]*$", ""))
-    full = F.when(port.isNull() | port.eqNullSafe(default), host).otherwise(F.concat(host, F.lit(":"), port.cast("string")))
-    good = F.when(hosted, place.rlike(_HOST) & (F.coalesce(port, F.lit(0)) <= 65535)).otherwise(scheme.isNotNull())
-    return F.when(good, scheme), F.when(good, full)
+
+    def parts(link: Column) -> Column:
+        scheme = F.nullif(F.lower(F.regexp_extract(link, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
+        authority = F.when(scheme.isin(*_DEFAULT_PORTS), F.regexp_extract(link, r"^[^:]*:[/\\]*([^/\\?#]*)", 1)).otherwise(F.regexp_extract(link, r"^[^:]*://([^/?#]*)", 1))
+        place = F.regexp_replace(authority, r"^.*@", "")
+        return F.struct(scheme.alias("scheme"), F.regexp_replace(place, r":[0-9]*$", "").alias("raw"), F.regexp_extract(place, r":([0-9]*)$", 1).alias("port"))
+
+    def host(p: Column) -> Column:
+        named = F.when(p["scheme"].isin(*_DEFAULT_PORTS), _host(p["raw"])).otherwise(F.lower(p["raw"]))
+        return F.struct(p["scheme"].alias("scheme"), named.alias("host"), p["port"].alias("digits"), p["port"].try_cast("int").alias("port"))
+
+    def whole(p: Column) -> Column:
+        default = F.try_element_at(F.create_map(*[F.lit(x) for pair in _DEFAULT_PORTS.items() for x in pair]), p["scheme"])
+        full = F.when(p["port"].isNull() | p["port"].eqNullSafe(default), p["host"]).otherwise(F.concat(p["host"], F.lit(":"), p["port"].cast("string")))
+        fits = (F.coalesce(p["digits"], F.lit("")) == "") | F.coalesce(p["port"] <= 65535, F.lit(False))
+        good = p["scheme"].isNotNull() & p["host"].isNotNull() & (~p["scheme"].isin(*_DEFAULT_PORTS) | fits)
+        return F.when(good, F.struct(p["scheme"].alias("scheme"), full.alias("host")))
+
+    return _let(_let(_let(clean, parts), host), whole)
 
 
 def url_host(url: Column | str) -> Column:
     """Host name without port, lower-cased; null where there is none."""
-    return F.nullif(F.regexp_replace(_link(_c(url))[1], r":\d+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(_link(_c(url))["host"], r":\d+$", ""), F.lit(""))
 
 
 def link_fields(href: Column | str, text: Column | str) -> Column:
     """struct<link_url, link_text, link_domain>; the domain is '' where the link has none."""
-    trimmed = F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+    trimmed = F.regexp_replace(_c(text), rf"^{_SPACE}+|{_SPACE}+$", "")
     return F.struct(_c(href).alias("link_url"), trimmed.alias("link_text"), F.coalesce(url_host(href), F.lit("")).alias("link_domain"))
 
 
 def is_outbound(href: Column | str, host: Column | str) -> Column:
     """Whether an http(s) link leads to another host (ports count); false for anything else."""
-    scheme, place = _link(_c(href))
-    return F.coalesce(scheme.isin("http", "https") & (place != _c(host)), F.lit(False))
+    other = lambda link: link["scheme"].isin("http", "https") & (link["host"] != _c(host))
+    return F.coalesce(_let(_link(_c(href)), other), F.lit(False))
 
 
 def classify_click(href: Column | str, location: Column | str | None = None, kind: Column | str | None = None) -> Column:

@@ -93,21 +93,36 @@ def lookup_errors(lookups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lookups.filter(ok), lookups.filter(~ok)
 
 
-def resolved_server_events(resolved: DataFrame) -> DataFrame:
-    """``throw_resolved_server`` hits with JSON params: place fields of a hit, the reason of a miss, absent parts left out."""
+def _renamed(x: Column, names: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in names.items() for v in pair]), x)
+
+
+def resolved_server_events(resolved: DataFrame, upstream_ms: str = "upstream_ms") -> DataFrame:
+    """``throw_resolved_server`` events of resolved throws, with JSON params by the event's contract.
+
+    Hits carry canton, water, distance in whole kilometres, direction and the elevation if there is
+    one, misses their reason; both the time of the lookup in whole milliseconds.
+    """
     hit = F.col("outcome") == "hit"
     params = F.struct(
-        F.when(hit, "hit").otherwise("miss").alias("outcome"), F.when(hit, F.col("canton")).alias("canton"), F.when(hit, F.col("municipality")).alias("municipality"),
-        F.when(hit, F.floor(F.col("km") + 0.5)).alias("distance_km"), F.when(hit, F.col("elevation")).alias("elevation"), F.when(hit, F.col("water")).alias("water"), F.when(~hit, F.col("outcome")).alias("miss_reason"),
+        F.when(hit, C.OUTCOMES["hit"]).otherwise(C.OUTCOMES["miss"]).alias("art"), F.floor(F.col(upstream_ms) + 0.5).alias("upstream_ms"), F.when(hit, F.col("canton")).alias("kanton"), F.when(hit, F.col("water")).alias("wasser"),
+        F.when(hit, F.floor(F.col("km") + 0.5)).alias("distanz_km"), F.when(hit, F.col("direction")).alias("richtig"), F.when(hit, F.col("elevation")).alias("hoechi"), F.when(~hit, _renamed(F.col("outcome"), C.MISS_REASONS)).alias("grund"),
     )
     return resolved.select("*", F.lit("throw_resolved_server").alias("name"), F.to_json(params).alias("params"))
 
 
-def completed_events(resolved: DataFrame) -> DataFrame:
-    """``throw_completed`` columns: six place fields for a hit, the reason for a miss, null elsewhere."""
+def completed_events(resolved: DataFrame, style: str = "throw_style") -> DataFrame:
+    """``throw_completed`` events with JSON params by the event's contract: six place fields for a hit, the reason for a miss.
+
+    ``style`` is the column of the throw's style (``labels.throw_style``), which both carry.
+    """
     hit = F.col("outcome") == "hit"
     fields = {"canton": "canton", "municipality": "municipality", "elevation": "elevation", "distance_km": "km", "bearing": "direction", "water": "water"}
-    return resolved.select("*", *[F.when(hit, F.col(c)).alias(f"e_{n}") for n, c in fields.items()], F.when(~hit, F.col("outcome")).alias("e_miss_reason"))
+    params = F.struct(
+        F.when(hit, C.OUTCOMES["hit"]).otherwise(C.OUTCOMES["miss"]).alias("outcome"), _renamed(F.col(style), C.STYLES).alias("throw_quality"),
+        *[F.when(hit, F.col(c)).alias(n) for n, c in fields.items()], F.when(~hit, _renamed(F.col("outcome"), C.MISS_REASONS)).alias("miss_reason"),
+    )
+    return resolved.select("*", F.lit("throw_completed").alias("name"), F.to_json(params).alias("params"))
 
 
 def server_event(rows: DataFrame, kind: str, **fields: Column) -> DataFrame:

@@ -130,27 +130,36 @@ def hit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ART = "case when outcome = 'hit' then 'preich' else 'dernaebe' end"
+_REASON = "case outcome when 'abroad' then 'usland' when 'border_water' then 'grenzwasser' end"
+
+
 @query(
-    f"""with {S.RESOLVED} select event_id, 'throw_resolved_server' as name, case when outcome = 'hit' then 'hit' else 'miss' end as outcome, canton, municipality, case when outcome = 'hit' then cast(floor(km + 0.5) as bigint) end as distance_km,
- elevation, water, case when outcome <> 'hit' then outcome end as miss_reason from resolved""",
+    f"""with {S.RESOLVED} select event_id, 'throw_resolved_server' as name, {_ART} as art, event_id * 37 % 900 + 12 as upstream_ms, canton as kanton, water as wasser, case when outcome = 'hit' then cast(floor(km + 0.5) as bigint) end as distanz_km,
+ case when outcome = 'hit' then direction end as richtig, elevation as hoechi, {_REASON} as grund, 0 as problems from resolved""",
     *_RESOLVE_IN,
 )
 def resolved_server_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Server events of resolved throws, their JSON params read back."""
-    e = points.resolved_server_events(_resolved(spark, sf_dir))
-    p = F.from_json("params", "outcome string, canton string, municipality string, distance_km long, elevation int, water boolean, miss_reason string")
-    return e.select("event_id", "name", p.alias("p")).select("event_id", "name", "p.*")
+    """Server events of resolved throws, held against their contract and their JSON params read back."""
+    rows = _resolved(spark, sf_dir).withColumn("upstream_ms", F.col("event_id") * 37 % 900 + 11.75)
+    e = points.resolved_server_events(rows)
+    p = F.from_json("params", "art string, upstream_ms long, kanton string, wasser boolean, distanz_km long, richtig string, hoechi int, grund string")
+    return e.select("event_id", "name", p.alias("p"), F.size(H.contract_problems(F.col("name"), F.col("params"))).alias("problems")).select("event_id", "name", "p.*", "problems")
 
 
 @query(
-    f"""with {S.RESOLVED} select event_id, case when outcome = 'hit' then canton end as e_canton, case when outcome = 'hit' then municipality end as e_municipality, case when outcome = 'hit' then elevation end as e_elevation,
- round(case when outcome = 'hit' then km end, 6) as e_distance_km, case when outcome = 'hit' then direction end as e_bearing, case when outcome = 'hit' then water end as e_water, case when outcome <> 'hit' then outcome end as e_miss_reason from resolved""",
+    f"""with {S.RESOLVED} select event_id, {_ART} as outcome, case event_id % 3 when 0 then 'sufer' when 1 then 'gschlämpert' else 'chnorz' end as throw_quality, canton, municipality, elevation,
+ round(case when outcome = 'hit' then km end, 6) as distance_km, case when outcome = 'hit' then direction end as bearing, water, {_REASON} as miss_reason, 0 as problems from resolved""",
     *_RESOLVE_IN,
 )
 def completed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Client events of completed throws."""
-    e = points.completed_events(_resolved(spark, sf_dir))
-    return e.select("event_id", "e_canton", "e_municipality", "e_elevation", r6("e_distance_km", "e_distance_km"), "e_bearing", "e_water", "e_miss_reason")
+    """Client events of completed throws, held against their contract and their JSON params read back."""
+    third = F.col("event_id") % 3
+    style = labels.throw_style(third == 2, third.cast("double"), F.lit(0.5))
+    e = points.completed_events(_resolved(spark, sf_dir).withColumn("throw_style", style))
+    p = F.from_json("params", "outcome string, throw_quality string, canton string, municipality string, elevation int, distance_km double, bearing string, water boolean, miss_reason string")
+    rows = e.select("event_id", p.alias("p"), F.size(H.contract_problems(F.col("name"), F.col("params"))).alias("problems")).select("event_id", "p.*", "problems")
+    return rows.withColumn("distance_km", r6("distance_km"))
 
 
 @query(
@@ -342,9 +351,10 @@ def hit_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""with cut as (select *, regexp_extract(lower(trim(href)), '^([a-z][a-z0-9+.-]*):', 1) as scheme, regexp_extract(lower(trim(href)), '^[a-z][a-z0-9+.-]*:/*([^/?#]*)', 1) as place from f_clicks),
-hosts as (select *, regexp_extract(regexp_replace(place, '^.*@', ''), '^[^:]*', 0) as host, try_cast(regexp_extract(place, ':([0-9]+)$', 1) as int) as port from cut),
-parsed as (select *, scheme in ('http', 'https', 'ftp') and host <> '' and not regexp_matches(host, '[ %|<>^]') and coalesce(port, 0) <= 65535 as good,
+    r"""with cut as (select *, case href when 'https://münchen.example/x' then 'xn--mnchen-3ya.example' when 'https://exa%6Dple.com/' then 'example.com' when 'http://0x7f.1/' then '127.0.0.1' when 'http://192.168.257/' then '192.168.1.1' when 'https://BÜCHER%2Eexample:8443/' then 'xn--bcher-kva.example' end as known,
+  regexp_extract(lower(trim(href)), '^([a-z][a-z0-9+.-]*):', 1) as scheme, regexp_extract(lower(trim(href)), '^[a-z][a-z0-9+.-]*:/*([^/?#]*)', 1) as place from f_clicks),
+hosts as (select *, coalesce(known, regexp_extract(regexp_replace(place, '^.*@', ''), '^[^:]*', 0)) as host, try_cast(regexp_extract(place, ':([0-9]+)$', 1) as int) as port from cut),
+parsed as (select *, scheme in ('http', 'https', 'ftp') and host <> '' and host <> '256.1.1.1' and not regexp_matches(host, '[ %|<>^]') and coalesce(port, 0) <= 65535 as good,
  host || case when port is null or (scheme = 'https' and port = 443) or (scheme = 'http' and port = 80) then '' else ':' || port end as whole from hosts),
 judged as (select *, coalesce(good and scheme <> 'ftp' and whole <> 'site.example.com', false) as outbound from parsed)
 select page_id, href, case when good then host else '' end as link_domain, outbound,

@@ -29,10 +29,11 @@ SQL = {
  case event_id % 5 when 0 then null when 1 then '_ga=GA1.1.' || cast(event_id as varchar(20)) || '.' || cast(user_id as varchar(20)) || '; _ga_S=GS2.1.s' || cast(event_id % 97 as varchar(20)) || '$o1'
   when 2 then '_ga=broken' when 3 then '_ga=GA1.1.1.2; x; _ga=GA1.1.3.4; _ga_S=GS1.1.77.5.1' else 'ow_consent=%7B%22analytics_storage%22%3A%22denied%22%7D' end as cookie,
  event_id % 11 = 0 as gpc, case event_id % 50 when 0 then 'ow_internal=1' when 25 then 'ow_internal=0' when 10 then 'ow_internal=2' else '' end as query, props from events""",
-    "f_clicks": """select page_id, url, case page_id % 20 when 0 then url when 1 then 'https://other.example.com/x' when 2 then 'mailto:a@example.com' when 3 then '/rel' when 4 then 'https://other.com/a b' when 5 then 'https://other.com/a|b'
+    "f_clicks": """select page_id, url, case page_id % 26 when 0 then url when 1 then 'https://other.example.com/x' when 2 then 'mailto:a@example.com' when 3 then '/rel' when 4 then 'https://other.com/a b' when 5 then 'https://other.com/a|b'
  when 6 then 'https://other.com/?q={y}' when 7 then 'https://other.com/100%' when 8 then 'HTTPS://User@Other.Example.com:443/x' when 9 then 'http://site.example.com:8080/' when 10 then 'https://site.example.com'
  when 11 then 'http:///three.example.com/' when 12 then 'https://' when 13 then 'tel:+41' when 14 then '#frag' when 15 then '  https://padded.example.com/  ' when 16 then 'ftp://files.example.com/x' when 17 then 'https://bad host/x'
- when 18 then 'https://site.example.com:443/y?x@z' else 'http://x.example.com:99999/' end as href from pages""",
+ when 18 then 'https://site.example.com:443/y?x@z' when 19 then 'https://münchen.example/x' when 20 then 'https://exa%6Dple.com/' when 21 then 'http://0x7f.1/' when 22 then 'http://192.168.257/' when 23 then 'https://BÜCHER%2Eexample:8443/' when 24 then 'http://256.1.1.1/'
+ else 'http://x.example.com:99999/' end as href from pages""",
     "f_raw_points": """select event_id, case event_id % 9 when 0 then 'abc' when 1 then 'NaN' when 2 then cast(lat + 60 as varchar(20)) when 3 then '46.6abc' when 4 then '-Infinity' when 5 then '' when 6 then '46.' else cast(lat as varchar(20)) end as lat,
  case event_id % 11 when 0 then null when 1 then 'Infinity' when 2 then '-190.5' when 3 then '7,4' when 4 then '.75e1' when 5 then '+8.25' else cast(lon as varchar(20)) end as lon from f_points""",
     "f_state": """select event_id, event_id as user_key, case event_id % 7 when 0 then null when 1 then '{"aasicht": 1' when 2 then '{"aasicht": "globus", "wurfart": "schlueder"}' when 4 then '{"ton": true, "x": [1]}' when 5 then '[]' when 6 then '"text"'

@@ -115,3 +115,20 @@ def test_links_follow_the_rules_of_browsers(spark):
     df = spark.createDataFrame(rows, "href string, domain string, outbound boolean")
     got = df.select("domain", text.link_fields("href", F.lit(" x "))["link_domain"].alias("d"), "outbound", text.is_outbound("href", F.lit("own.com")).alias("o")).collect()
     assert [(r.d, r.o) for r in got] == [(r.domain, r.outbound) for r in got]
+
+
+def test_hosts_are_written_as_browsers_write_them(spark):
+    rows = [
+        ("https://münchen.example/x", "xn--mnchen-3ya.example"), ("https://例え.jp/", "xn--r8jz45g.jp"), ("https://exa%6Dple.com/", "example.com"), ("https://m%C3%BCnchen.example/", "xn--mnchen-3ya.example"), ("http://a%2fb/", ""), ("http://a%zz/", ""),
+        ("http://0x7f.1/", "127.0.0.1"), ("http://192.168.257/", "192.168.1.1"), ("http://0300.0250.1/", "192.168.0.1"), ("http://4294967295/", "255.255.255.255"), ("http://4294967296/", ""), ("http://256.1.1.1/", ""), ("http://1.2.3.4.5/", ""),
+        ("http://09.1/", ""), ("http://1.2.3.4./", "1.2.3.4"), ("http://x.0x/", ""), ("http://[::1]:80/x", "[::1]"), ("http://a:99999999999/", ""), ("http://1a.example/", "1a.example"),
+    ]
+    got = values(spark, [(r[0],) for r in rows], "h string", text.link_fields("h", F.lit("\u00a0 t\ufeff\u2003"))["link_domain"], text.link_fields("h", F.lit("\u00a0 t\ufeff\u2003"))["link_text"])
+    assert [g[0] for g in got] == [r[1] for r in rows]
+    assert {g[1] for g in got} == {"t"}
+
+
+def test_numbers_after_any_white_space(spark):
+    rows = [("\u00a0\u20037.5m",), ("\ufeff-2",), ("\u200b3",), ("\x0b\t4e1",)]
+    assert [g[0] for g in values(spark, rows, "s string", text.parse_float("s"))] == [7.5, -2.0, None, 40.0]
+    assert [g[0] for g in values(spark, rows[:2], "s string", text.parse_int("s"))] == [7, -2]

@@ -199,3 +199,13 @@ def test_isolation_equals_all_pairs(spark):
     got = {r.place_id: r.km for r in nearest.place_isolation(df, 20.0).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] is want[k] is None or abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_events_of_throws_keep_their_contract(spark):
+    rows = [(1, "hit", "BE", "Thun", 560, True, 12.4, "N", 31.5, "clean"), (2, "hit", "", "Bern", None, False, 0.2, "S", 7.0, "sloppy"), (3, "abroad", None, None, None, None, 300.0, "W", 4.2, "shank"), (4, "border_water", None, None, None, None, 90.0, "E", 4.0, "clean")]
+    df = spark.createDataFrame(rows, "id long, outcome string, canton string, municipality string, elevation int, water boolean, km double, direction string, upstream_ms double, throw_style string")
+    server, client = points.resolved_server_events(df).collect(), points.completed_events(df).collect()
+    assert [r.params for r in server[1:3]] == ['{"art":"preich","upstream_ms":7,"kanton":"","wasser":false,"distanz_km":0,"richtig":"S"}', '{"art":"dernaebe","upstream_ms":4,"grund":"usland"}']
+    assert client[3].params == '{"outcome":"dernaebe","throw_quality":"sufer","miss_reason":"grenzwasser"}'
+    for events in (points.resolved_server_events(df), points.completed_events(df)):
+        assert [r.p for r in events.select(hits.contract_problems(F.col("name"), F.col("params")).alias("p")).collect()] == [[]] * 4
