@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placestream.functions import labels, text
 from placestream.operators import hits as H
-from placestream.operators import points, quality, reports, telemetry
+from placestream.operators import points, quality, reports, sketches, telemetry
 from placestream.sources import tables
 from placestream.sources.adapters import adapter
 from placestream.sources.tables import scratch
@@ -212,3 +212,40 @@ def web_vitals_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     device = labels.device_context(F.lit(False), n % 3 == 0, n % 3 == 1)["pointer_type"]
     rows = adapter(spark, sf_dir, "f_traffic").filter("name = 'web_vitals' and value is not null").select("page_path", F.lit("INP").alias("metric"), F.col("event_type").alias("rating"), device.alias("device"), labels.scale_vital(F.lit("INP"), "value").alias("value"))
     return reports.vitals_report(rows, "device").select("page_path", "metric", "rating", "device", "n", r6("p75", "p75"))
+
+
+# ---- from sketches kept a day -------------------------------------------------------------------
+
+
+@query(
+    """with v as (select event_type, value, row_number() over (partition by event_type order by value) as place, count(*) over (partition by event_type) as n from events where value is not null and cast(ts as date) >= date '2024-01-05')
+select event_type, n, round(max(value) filter (where place = greatest(1, ceil(0.5 * n))), 6) as p50, round(max(value) filter (where place = greatest(1, ceil(0.95 * n))), 6) as p95 from v group by all""",
+)
+def values_over_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of values over a range of days, merged from the days' sketches."""
+    path = f"{scratch(spark)}/values"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sketches.keep_days(sketches.daily_values(events, ["event_type"], "value"), path)
+    days = sketches.between(sketches.kept_days(spark, path), "2024-01-05")
+    return sketches.quantiles(days, ["event_type"], {"p50": 0.5, "p95": 0.95}).select("event_type", "n", r6("p50", "p50"), r6("p95", "p95"))
+
+
+@query("select name, page_path, count(*) as n, count(distinct user_id) as users from (select t.*, e.ts from f_traffic t join events e on e.event_id = t.hit_id) where page_path is not null and cast(ts as date) between date '2024-01-03' and date '2024-01-20' group by all", "f_traffic")
+def users_over_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and users by event and path over a range of days, the last of which are added to the table later."""
+    path = f"{scratch(spark)}/users"
+    when = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("hit_id"), "ts")
+    rows = adapter(spark, sf_dir, "f_traffic").filter("page_path is not null").join(when, "hit_id")
+    late = F.to_date("ts") >= F.lit("2024-01-12").cast("date")
+    for part in (rows.filter(~late), rows.filter(late)):
+        sketches.keep_days(sketches.daily_users(part, ["name", "page_path"]), path)
+    days = sketches.between(sketches.kept_days(spark, path), "2024-01-03", "2024-01-20")
+    return sketches.users(days, ["name", "page_path"])
+
+
+@query("""with u as (select user_id, bool_or(event_type = 'view') as v, bool_or(event_type = 'purchase') as p from events group by user_id) select count(*) filter (where v) as one, count(*) filter (where p) as other, count(*) filter (where v and p) as both from u""")
+def viewers_who_buy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with one kind of event, with another, and with both, by intersection of sketches."""
+    days = sketches.daily_users(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"])
+    kind = F.col("event_type")
+    return sketches.common_users(days, [], kind == "view", kind == "purchase")
