@@ -791,7 +791,7 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value is not null")
     one = e.select((F.col("user_id") % 20).alias("k"), F.lit(1).cast("long").alias("n"), F.col("ts").alias("first_ts"), F.col("value").alias("mean"), F.col("value").alias("peak"), F.col("event_id").alias("seq"))
     path = scratch(spark)
-    table = upserts.CounterTable(spark, f"{path}/table", ["k"], buckets=8, most_parts=1)
+    table = upserts.counter_table(spark, f"{path}/table", ["k"], buckets=8, most_parts=1)
     for _ in streams.arriving(one, f"{path}/in", "first_ts", 4):
         rows = spark.readStream.schema(one.schema).parquet(f"{path}/in")
         upserts.counter_stream(rows, table, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -811,4 +811,28 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("device", telemetry.micros("until").alias("until_us"), r6("per_minute", "per_minute"))
 
 
+@query(
+    f"""with cells as (select {S.snap('lat')} as s_lat, {S.snap('lon')} as s_lon, epoch_us(ts) as t from f_points), span as (select min(t) as low, (max(t) - min(t)) // 3 + 1 as step from cells),
+parts as (select s_lat, s_lon, (t - low) // step as part, max(t) over (partition by (t - low) // step) as now from cells, span), mine as (select distinct s_lat, s_lon, part, now from parts where {S.in_box('s_lat', 's_lon')}),
+one as (select * from mine where part = 0), two as (select m.* from mine m left join one o using (s_lat, s_lon) where m.part = 1 and (o.now is null or o.now < m.now - 864000000000)),
+three as (select m.* from mine m left join one o using (s_lat, s_lon) left join two w using (s_lat, s_lon) where m.part = 2 and greatest(coalesce(o.now, 0), coalesce(w.now, 0)) < m.now - 864000000000)
+select s_lat, s_lon, max(now) as fetched_us, count(*) as lookups from (select * from one union all select * from two union all select * from three) group by all""",
+    "f_points",
+)
+def stream_cell_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells looked up by a stream of points, once in ten days each: the last time, and how often over all runs."""
+    rows, path = adapter(spark, sf_dir, "f_points").select("lat", "lon", "ts"), scratch(spark)
+    table = upserts.cell_table(spark, f"{path}/cells", buckets=8, most_parts=1)
+
+    def answer(cells: DataFrame) -> DataFrame:
+        cells.write.mode("append").parquet(f"{path}/asked")
+        return cells.withColumn("status", F.lit("ok"))
+
+    for _ in streams.arriving(rows, f"{path}/in", "ts", 3):
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        upserts.lookup_stream(arrived, table, answer, f"{path}/checkpoint", 10).trigger(availableNow=True).start().awaitTermination()
+    asked = spark.read.parquet(f"{path}/asked").groupBy("s_lat", "s_lon").agg(F.count("*").alias("lookups"))
+    return table.read().join(asked, ["s_lat", "s_lon"]).select("s_lat", "s_lon", telemetry.micros("fetched_at").alias("fetched_us"), "lookups")
+
+
 from . import inputs  # noqa: E402, F401  registers its queries

@@ -1,10 +1,14 @@
-"""A table of counters that micro-batches upsert: hash buckets of parts, merged as they are read and now and then rewritten."""
+"""Tables that micro-batches upsert: hash buckets of parts, merged as they are read and now and then rewritten."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placestream import constants as C
+from placestream.operators.points import distinct_cells
 from placestream.operators.telemetry import merge_counters
 
 BUCKETS = 64
@@ -28,8 +32,8 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
-class CounterTable:
-    """Counters (keys, n, first_ts, mean, peak, seq) below ``path``, in ``buckets`` by a hash of the keys.
+class BucketTable:
+    """Rows below ``path`` in ``buckets`` by a hash of ``keys``; ``merge`` makes one of the rows of a key.
 
     Batch e writes its own rows, merged by key, as one part of each bucket it touches, so what is written
     follows the batch and not the table. A bucket with more than ``most_parts`` parts is made one part by
@@ -39,8 +43,8 @@ class CounterTable:
     deleted. ``keys`` may hold nulls. A table and the checkpoint of its stream belong together.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = BUCKETS, most_parts: int = MOST_PARTS):
-        self.spark, self.path, self.keys, self.buckets, self.most_parts = spark, path, keys, buckets, most_parts
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS, most_parts: int = MOST_PARTS):
+        self.spark, self.path, self.keys, self.merge, self.buckets, self.most_parts = spark, path, keys, merge, buckets, most_parts
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
@@ -63,7 +67,7 @@ class CounterTable:
 
     def upsert(self, batch: DataFrame, epoch: int) -> None:
         """Merge a batch's rows into the table as its batch ``epoch``, numbered from 0 without gaps."""
-        new = merge_counters(batch.limit(0), batch, self.keys).withColumn(_BUCKET, self._bucket()).persist()
+        new = self.merge(batch).withColumn(_BUCKET, self._bucket()).persist()
         try:
             before = self.manifest(epoch - 1)
             touched = [r[0] for r in new.select(_BUCKET).distinct().collect()]
@@ -71,7 +75,7 @@ class CounterTable:
             rows = new
             if full:
                 mine = F.col(_BUCKET).isin(list(full))
-                whole = merge_counters(self._rows(full), new.filter(mine).drop(_BUCKET), self.keys).withColumn(_BUCKET, self._bucket())
+                whole = self.merge(self._rows(full).unionByName(new.filter(mine).drop(_BUCKET))).withColumn(_BUCKET, self._bucket())
                 rows = new.filter(~mine).unionByName(whole)
             rows.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/parts/e{epoch}")
             after = before | {b: [epoch] if b in full else [*before.get(b, []), epoch] for b in touched}
@@ -90,11 +94,60 @@ class CounterTable:
         _delete(self.spark, f"{self.path}/manifests/e{epoch - 2}")
 
     def read(self) -> DataFrame | None:
-        """The merged counters after the newest whole batch; none before the first."""
+        """The merged rows after the newest whole batch; none before the first."""
         rows = self._rows(self.manifest(self.newest()))
-        return None if rows is None else merge_counters(rows.limit(0), rows, self.keys)
+        return None if rows is None else self.merge(rows)
+
+    def read_touched(self, rows: DataFrame, epoch: int) -> DataFrame | None:
+        """The merged rows of the buckets in which ``rows`` has keys, as they were after batch ``epoch``."""
+        touched = {r[0] for r in rows.select(self._bucket()).distinct().collect()}
+        found = self._rows({b: parts for b, parts in self.manifest(epoch).items() if b in touched})
+        return None if found is None else self.merge(found)
+
 
+def counter_table(spark: SparkSession, path: str, keys: list[str], **more: int) -> BucketTable:
+    """A table of counters (keys, n, first_ts, mean, peak, seq) that add up by ``telemetry.merge_counters``."""
+    return BucketTable(spark, path, keys, lambda rows: merge_counters(rows.limit(0), rows, keys), **more)
 
-def counter_stream(rows: DataFrame, table: CounterTable, checkpoint: str, interval: str = "30 seconds"):
+
+def counter_stream(rows: DataFrame, table: BucketTable, checkpoint: str, interval: str = "30 seconds"):
     """Upsert micro-batches of partial counters into a table. Returns the query's writer; call ``start()`` or change the trigger first."""
     return rows.writeStream.foreachBatch(lambda batch, epoch: table.upsert(batch, epoch)).option("checkpointLocation", checkpoint).trigger(processingTime=interval)
+
+
+def cell_table(spark: SparkSession, path: str, **more: int) -> BucketTable:
+    """A table of looked-up cells (s_lat, s_lon, fetched_at, ...), the newest answer of each."""
+    keys = ["s_lat", "s_lon"]
+
+    def newest(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in keys]
+        best = F.max_by(F.struct(*rest), "fetched_at").alias("_r")
+        return rows.groupBy(*keys).agg(best).select(*[c if c in keys else F.col(f"_r.{c}").alias(c) for c in rows.columns])
+
+    return BucketTable(spark, path, keys, newest, **more)
+
+
+def look_up(points: DataFrame, table: BucketTable, answer: Callable[[DataFrame], DataFrame], epoch: int, days: int = C.CELL_DAYS) -> None:
+    """Look up the cells of a batch of ``points`` (lat, lon, ts) that the table has no answer of the last ``days`` for.
+
+    ``answer`` gives the answers to cells (s_lat, s_lon), one row each; they are kept with the batch's
+    latest time as ``fetched_at``. Only buckets with cells of the batch are read. A batch that is
+    replayed looks at the table as it was before, and so asks for the same cells.
+    """
+    now = points.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    if now is None:
+        table.upsert(table.spark.createDataFrame([], answer(distinct_cells(points)).withColumn("fetched_at", F.current_timestamp()).schema), epoch)
+        return
+    cells = distinct_cells(points).persist()
+    try:
+        known = table.read_touched(cells, epoch - 1)
+        at = F.lit(now).cast("timestamp")
+        wanted = cells if known is None else cells.join(known.filter(F.col("fetched_at") >= at - F.expr(f"interval {days} days")), ["s_lat", "s_lon"], "left_anti")
+        table.upsert(answer(wanted).withColumn("fetched_at", at), epoch)
+    finally:
+        cells.unpersist()
+
+
+def lookup_stream(points: DataFrame, table: BucketTable, answer: Callable[[DataFrame], DataFrame], checkpoint: str, days: int = C.CELL_DAYS):
+    """Keep a table of cells up to date with a stream of points. Returns the query's writer; call ``start()`` or add a trigger first."""
+    return points.writeStream.foreachBatch(lambda batch, epoch: look_up(batch, table, answer, epoch, days)).option("checkpointLocation", checkpoint)

@@ -109,7 +109,7 @@ def bytes_of(path):
 
 
 def test_batches_write_what_they_touch(spark, tmp_path):
-    table = upserts.CounterTable(spark, f"file://{tmp_path}/t", ["k"], buckets=16, most_parts=2)
+    table = upserts.counter_table(spark, f"file://{tmp_path}/t", ["k"], buckets=16, most_parts=2)
     assert table.read() is None
     want: dict = {}
     for epoch in range(9):
@@ -131,7 +131,7 @@ def test_batches_write_what_they_touch(spark, tmp_path):
 
 
 def test_readers_see_whole_batches_only(spark, tmp_path):
-    table = upserts.CounterTable(spark, f"file://{tmp_path}/t", ["k"], buckets=4)
+    table = upserts.counter_table(spark, f"file://{tmp_path}/t", ["k"], buckets=4)
     one = spark.createDataFrame([(1, 1, 1, 1.0, 1.0, 1)], COUNTERS)
     table.upsert(one, 0)
     one.withColumn("_bucket", F.lit(0)).write.partitionBy("_bucket").parquet(f"file://{tmp_path}/t/parts/e1")  # a batch that failed before its manifest
@@ -144,6 +144,28 @@ def test_counter_stream_adds_up(spark, tmp_path):
     rows = spark.createDataFrame([(i % 3, 1, i, float(i), float(i), i) for i in range(30)], COUNTERS)
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    table = upserts.CounterTable(spark, f"file://{tmp_path}/t", ["k"], most_parts=1)
+    table = upserts.counter_table(spark, f"file://{tmp_path}/t", ["k"], most_parts=1)
     upserts.counter_stream(stream, table, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.k, r.n) for r in table.read().collect()) == [(0, 10), (1, 10), (2, 10)]
+
+
+def test_a_cell_is_looked_up_once_in_its_time(spark, tmp_path):
+    table, asked = upserts.cell_table(spark, f"file://{tmp_path}/cells", buckets=8, most_parts=1), []
+
+    def answer(cells):
+        asked.append(sorted((r.s_lat, r.s_lon) for r in cells.collect()))
+        return cells.withColumn("body", F.concat(F.lit("answer "), F.lit(len(asked))))
+
+    def points(day, *spots):
+        return spark.createDataFrame([(lat, lon, day) for lat, lon in spots], "lat double, lon double, day int").withColumn("ts", F.timestamp_seconds(F.col("day") * 86_400))
+
+    a, b, c = (47.0, 8.0), (46.5, 7.5), (46.9, 7.4)
+    steps = [points(1, a, (47.00001, 8.0), b), points(20, a, c), points(30, a, b), points(31, a), points(32, a, b, (10.0, 10.0)), points(90, a, b, c)]
+    for epoch, step in enumerate(steps):
+        upserts.look_up(step, table, answer, epoch)
+        if epoch == 4:
+            upserts.look_up(step, table, answer, epoch)  # replayed
+    assert asked == [sorted([a, b]), [c], [], [], sorted([a, b]), sorted([a, b]), sorted([a, b, c])]
+    assert {r.body for r in table.read().collect()} == {"answer 7"}
+    upserts.look_up(points(91).limit(0), table, answer, 6)
+    assert table.read().count() == 3
