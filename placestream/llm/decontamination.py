@@ -37,6 +37,8 @@ SHORT_WORDS = 30
 ITEMS_A_PASS = 20_000
 #: Bytes of their texts, whose index takes some ten times as many on the driver and in every task.
 BYTES_A_PASS = 8 << 20
+#: Places of candidates that are made distinct at a time.
+CANDIDATES = 1 << 18
 _NO_WORD = np.uint64(0x5DEECE66D1234567)
 
 
@@ -50,6 +52,7 @@ class Walk:
     full: np.ndarray  # sorted keys of all samples, repeated where walks of items share one
     item: np.ndarray  # item of each full key
     offset: np.ndarray  # words of the item before the walk's start
+    hop: np.ndarray  # words of a text of which one stands for all with this key
 
 
 @dataclass
@@ -61,6 +64,7 @@ class Parts:
     full: np.ndarray  # sorted keys of the parts
     item: np.ndarray
     offset: np.ndarray  # words of the item before the part
+    hop: np.ndarray
 
 
 _TOP = np.uint64(48)
@@ -136,8 +140,7 @@ class Index:
                 chosen = np.arange(k) * quarter + rng.integers(0, quarter, k)
                 _, keys = embed(mix(text ^ seed), begin, chosen)
                 seen = [_seen(key) for key in keys]
-                order = np.argsort(keys[-1], kind="stable")
-                self.walks.append(Walk(seed, chosen, seen, keys[-1][order], owner[order].astype(np.int32), offset[order].astype(np.int32)))
+                self.walks.append(Walk(seed, chosen, seen, *self._entries(keys[-1], owner, offset)))
         by_size: dict[int, list[tuple[np.uint64, int, int]]] = {}
         for i, item in enumerate(self.words):
             if len(item) < SHORT_WORDS and most_edits(len(item)):  # walks find items without edits
@@ -148,10 +151,27 @@ class Index:
         self.parts: list[Parts] = []
         for n, found in sorted(by_size.items()):
             key, item, offset = (np.array(c) for c in zip(*sorted(found), strict=True))
-            self.parts.append(Parts(n, _seen(key), key, item, offset))
-
-    def candidates(self, w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (word where an item may begin, (item, row)) of a slice; the word may lie before its row."""
+            self.parts.append(Parts(n, _seen(key), *self._entries(key, item, offset)))
+
+    def _entries(self, key: np.ndarray, item: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, item, offset, hop) sorted by key; of offsets of an item with the same key, as in repetitions, one in a quarter of its edits."""
+        hop = self.slack[item] // 4 + 1
+        order = np.lexsort((offset, item, key))
+        key, item, cell, offset, hop = key[order], item[order], (offset // hop)[order], offset[order], hop[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1])
+        key, item, offset, hop = key[new], item[new], offset[new], hop[new]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        least = np.minimum.reduceat(hop, first) if len(first) else hop
+        return key, item.astype(np.int32), offset.astype(np.int32), np.repeat(least, np.diff(np.append(first, len(key)))).astype(np.int32)
+
+    def candidates(self, w: Words, hashes: np.ndarray) -> np.ndarray:
+        """Distinct (item, row, place) of a slice: about where an item may begin, in steps of half its edits and one.
+
+        A run of one word, in a text as in an item, has the same key at all its places. Only some of them
+        are kept, a quarter of the item's edits apart, and places are made distinct by a bounded number
+        at a time, so that repetitive texts and items do not meet at every pair of places.
+        """
         # every row is followed by no-words, so that a walk never runs into the next row
         place = np.arange(len(w.row)) + w.row * STEPS
         h = np.full(len(w.row) + len(w.first) * STEPS, _NO_WORD)
@@ -159,26 +179,41 @@ class Index:
         back = np.zeros(len(h), np.int64)
         back[place] = np.arange(len(w.row))
         place = place.astype(np.int32)
-        found = [np.zeros((0, 3), np.int64)]
+        found = [np.zeros(0, np.int64)]
+        before, rows = int(self.size.max(initial=0)) + 1, len(w.first)  # one number holds item, row and place
+        places = len(w.row) + 2 * before
+        if len(self.size) * rows * places >= 1 << 63:
+            raise ValueError("a pass has too many items for so long a text")
 
         def note(key: np.ndarray, word: np.ndarray, of: Walk | Parts) -> None:
             lo, hi = np.searchsorted(of.full, key), np.searchsorted(of.full, key, "right")
-            n = hi - lo
-            entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            word = np.repeat(word, n)
-            found.append(np.stack([word - of.offset[entry], of.item[entry], w.row[word]], 1))
+            met = np.flatnonzero(hi > lo)
+            if not len(met):
+                return
+            lo, n, word = lo[met], (hi - lo)[met], word[met]
+            some = np.unique(np.stack([lo, w.row[word], word // of.hop[lo]], 1), axis=0, return_index=True)[1] if of.hop[lo].max() > 1 else np.arange(len(word))
+            lo, n, word = lo[some], n[some], word[some]
+            upto = np.cumsum(n)
+            at = 0
+            while at < len(n):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CANDIDATES, "right")))
+                many, here = n[at:end], word[at:end]
+                entry = np.repeat(lo[at:end] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                here, item = np.repeat(here, many), of.item[entry].astype(np.int64)
+                begin = here - of.offset[entry]
+                found.append(np.unique((item * rows + w.row[here]) * places + begin // (self.slack[item] // 2 + 1) + before))
+                at = end
 
         for walk in self.walks:
             start, (key,) = embed(mix(h ^ walk.seed), place, walk.steps, walk.seen)
-            if not len(start):
-                continue
-            note(key, back[start], walk)
+            if len(start):
+                note(key, back[start], walk)
         for part in self.parts:
             key, word = shingles(hashes, w.row, part.size)
             keep = np.flatnonzero(part.seen[(key >> _TOP).astype(np.uint16)])
             note(key[keep], word[keep], part)
-        every = np.unique(np.concatenate(found), axis=0)
-        return every[:, 0], every[:, 1:]
+        code = np.unique(np.concatenate(found))
+        return np.stack([code // places // rows, code // places % rows, code % places - before], 1) if len(code) else np.zeros((0, 3), np.int64)
 
 
 def masks(item: np.ndarray) -> dict[int, int]:
@@ -214,25 +249,43 @@ def distance(places: dict[int, int], n: int, text: list[int]) -> tuple[int, int]
     return best, end
 
 
+def shortened(text: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """A text whose runs of one word keep their first and last ``reach`` words, and where each kept word stood.
+
+    A match is shorter than ``reach`` words, so one inside a longer run is also at the run's beginning.
+    """
+    if len(text) <= 2 * reach:
+        return text, None
+    first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    size = np.diff(np.append(first, len(text)))
+    if size.max() <= 2 * reach:
+        return text, None
+    place = np.arange(len(text)) - np.repeat(first, size)
+    kept = np.flatnonzero((place < reach) | (place >= np.repeat(size, size) - reach))
+    return text[kept], kept
+
+
 def _matches(index: Index, w: Words) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, first word, end word, edits) of the verified candidates, best place of each item in a row."""
     if not len(w.row):
         return
     h = w.hashes()
-    begin, item_row = index.candidates(w, h)
-    slack = index.slack[item_row[:, 0]]
-    # one window stands for the places within an item's edits of it
-    every = np.unique(np.stack([item_row[:, 0], item_row[:, 1], begin // (slack + 1) * (slack + 1)], 1), axis=0)
-    item, row, begin = every.T
+    item, row, begin = index.candidates(w, h).T
     slack, size = index.slack[item], index.size[item]
+    begin = begin * (slack // 2 + 1)
     low = np.maximum(w.first[row], begin - 2 * slack)
     high = np.minimum(w.first[row] + w.count[row], begin + size + 2 * slack)
+    # windows of an item that overlap are one stretch; they are sorted, and all as long
+    start = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (low[1:] > high[:-1]))[: len(item)])
+    item, row, slack, size, low, high = item[start], row[start], slack[start], size[start], low[start], high[np.append(start[1:], len(high))[: len(start)] - 1]
     best: dict[tuple[int, int], tuple[int, int]] = {}
     of, places = -1, {}
     for k, r, n, most, lo, hi, before in zip(*(x.tolist() for x in (item, row, size, slack, low, high, low - w.first[row])), strict=True):
         if k != of:
             of, places = k, masks(index.words[k])
-        edits, end = distance(places, n, h[lo:hi].tolist())
+        text, at = shortened(h[lo:hi], n + most + 1)
+        edits, end = distance(places, n, text.tolist())
+        end = end if at is None or not end else int(at[end - 1]) + 1
         if edits <= most:
             key, value = (r, k), (edits, before + end)
             best[key] = min(best.get(key, value), value)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -120,3 +121,37 @@ def test_awkward_rows(spark):
     assert kept.count() == awkward(spark).count() - 3
     assert d.contamination(nothing(spark), items).count() == 0
     assert d.contamination(awkward(spark), items.limit(0)).count() == 0
+
+
+def test_repeated_words_meet_in_bounded_time_and_memory():
+    rng = np.random.default_rng(1)
+    words_of = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5_000, n))
+    items = ["zero " * 200, *(f"{words_of(40)} {'zero ' * 20} {words_of(40)}" for _ in range(99))]
+    index = d.Index(list(range(100)), items)
+    texts = ["zero " * 200_000, f"{words_of(500)} {items[7]} {words_of(500)}", f"{words_of(30)} {'zero ' * 190} {words_of(30)}", "zero " * 100 + words_of(200)]
+    tracemalloc.start()
+    began = time.perf_counter()
+    found = {(r, k): (a, b, e) for r, k, a, b, e in d._matches(index, _words(texts))}
+    seconds, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.keys() == {(0, 0), (1, 7), (2, 0)}
+    assert found[0, 0] == (0, 200, 0) and found[1, 7] == (500, 600, 0) and found[2, 0][2] == 10
+    assert seconds < 30 and peak < 300e6
+
+
+def test_shortened_texts_give_the_same_matches():
+    rng = random.Random(2)
+    for _ in range(150):
+        item = np.array([rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(1, 12))], np.uint64)
+        text = np.array([x for _ in range(rng.randrange(1, 6)) for x in [rng.choice([1, 2, 3])] * rng.choice([1, 2, 60])], np.uint64)
+        places, reach = d.masks(item), len(item) + d.most_edits(len(item)) + 1
+        best, end = d.distance(places, len(item), text.tolist())
+        short, at = d.shortened(text, reach)
+        again, stop = d.distance(places, len(item), short.tolist())
+        if best <= d.most_edits(len(item)):
+            assert (best, end) == (again, stop if at is None or not stop else at[stop - 1] + 1)
+
+
+def _words(texts):
+    raw = [t.encode() for t in texts]
+    return words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), PLAIN)
