@@ -38,7 +38,7 @@ ITEMS_A_PASS = 20_000
 #: Bytes of their texts, whose index takes some ten times as many on the driver and in every task.
 BYTES_A_PASS = 8 << 20
 #: Places of candidates that are made distinct at a time.
-CANDIDATES = 1 << 18
+CANDIDATES = 1 << 16
 _NO_WORD = np.uint64(0x5DEECE66D1234567)
 
 
@@ -201,8 +201,10 @@ class Index:
                 entry = np.repeat(lo[at:end] - np.cumsum(many) + many, many) + np.arange(many.sum())
                 here, item = np.repeat(here, many), of.item[entry].astype(np.int64)
                 begin = here - of.offset[entry]
-                found.append(np.unique((item * rows + w.row[here]) * places + begin // (self.slack[item] // 2 + 1) + before))
+                new = np.unique((item * rows + w.row[here]) * places + begin // (self.slack[item] // 2 + 1) + before)
+                found.append(new)
                 at = end
+            found[:] = [np.unique(np.concatenate(found))]
 
         for walk in self.walks:
             start, (key,) = embed(mix(h ^ walk.seed), place, walk.steps, walk.seen)
