@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, fold, table
 
-#: Turns of a block, and roles learned at most (by frequency).
-BLOCK_TURNS, MOST_ROLES = 2048, 16
+#: Turns of a block.
+BLOCK_TURNS = 2048
 FOLDS, HELD_OUT = 4, 2
 # Speaker markers at the start of a line, by what they stand for.
 MARKERS = (
@@ -59,27 +59,28 @@ class Model:
 def fit(turns: DataFrame) -> Model | None:
     """Count starts, moves and emissions over all labelled turns outside the held-out conversations.
 
-    Moves are counted between neighbouring turns of the same stretch of BLOCK_TURNS turn numbers, so
-    that a conversation of any length is counted in parts. Add-one smoothing throughout.
+    Every role that occurs is learned. Moves are counted between neighbouring turns of the same stretch
+    of BLOCK_TURNS turn numbers, so that a conversation of any length is counted in parts; turns without
+    a number, or of no known conversation, have no neighbours and count for their lines only. Counts by
+    role, by pair of roles and by role and code reach the driver. Add-one smoothing throughout.
     """
     learn = turns.filter((fold(F.col("conv_id"), FOLDS) != HELD_OUT) & F.col("role").isNotNull())
-    roles = sorted(r["role"] for r in learn.groupBy("role").count().orderBy(F.desc("count"), "role").limit(MOST_ROLES).collect())
+    roles = sorted(r["role"] for r in learn.select("role").distinct().collect())
     if not roles:
         return None
     number = {r: i for i, r in enumerate(roles)}
-    stretch = Window.partitionBy("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK_TURNS)).orderBy("turn", "role")
-    opens = F.when(F.coalesce("turn", F.lit(0)) >= BLOCK_TURNS, F.lit("\0"))  # no start in later stretches
-    before = learn.select("role", F.coalesce(F.lag("role").over(stretch), opens).alias("before")).groupBy("before", "role").count().collect()
+    stretch = Window.partitionBy("conv_id", F.floor(F.col("turn") / BLOCK_TURNS)).orderBy("turn", "role")
+    opens = F.when(F.col("turn") >= BLOCK_TURNS, F.lit("\0"))  # no start in later stretches
+    before = learn.filter("conv_id is not null and turn is not null").select("role", F.coalesce(F.lag("role").over(stretch), opens).alias("before")).groupBy("before", "role").count().collect()
     codes = learn.select("role", F.explode(turn_codes(F.col("text"))).alias("code")).groupBy("role", "code").count().collect()
     start, move, emit = np.ones(len(roles)), np.ones((len(roles), len(roles))), np.ones((len(roles), _CODES))
     for b, r, n in before:
-        if r in number and b is None:
+        if b is None:
             start[number[r]] += n
-        elif r in number and b in number:
+        elif b in number:
             move[number[b], number[r]] += n
     for r, c, n in codes:
-        if r in number:
-            emit[number[r], c] += n
+        emit[number[r], c] += n
     log = lambda x: np.log(x / x.sum(-1, keepdims=True))
     return Model(roles, log(start), log(move), log(emit))
 
@@ -154,7 +155,8 @@ def parse_turns(turns: DataFrame, model: Model | None) -> DataFrame:
                 score = each.max(0)
             leave = [int(score.argmax())]
             for b in reversed(back):
-                leave.insert(0, int(b[leave[0]]))
+                leave.append(int(b[leave[-1]]))
+            leave.reverse()
             return pd.DataFrame({"first": s["first"], "enter": [-1, *leave[:-1]], "leave": leave})
 
         ends = cut(coded.groupBy("block").applyInPandas(summarise, "conv_id long, first long, fresh array<double>, inner array<double>"))

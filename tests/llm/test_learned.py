@@ -284,3 +284,16 @@ def test_transcripts_take_awkward_rows(spark):
     assert {r.role for r in transcripts.parse_turns(turns, None).collect()} == {None}
     empty = turns.limit(0)
     assert transcripts.parse_turns(empty, transcripts.fit(empty)).count() == 0
+
+
+def test_every_role_is_learned_and_rows_without_order_are_not_gathered(spark):
+    said = lambda i: ("", "user: ", "assistant: ", "system: ")[i % 4] + "x" * 4 ** (1 + i // 4)
+    rows = [(c, t, f"role{(c + t) % 20:02d}", said((c + t) % 20)) for c in range(60) for t in range(30)]
+    rows += [(None, None, "role00", "x")] * 500
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = transcripts.fit(turns)
+    assert model.roles == [f"role{i:02d}" for i in range(20)]
+    got = transcripts.parse_turns(turns, model).filter("conv_id is not null and held_out").toPandas().merge(turns.select("conv_id", "turn", "role").toPandas(), on=["conv_id", "turn"])
+    assert set(got.role_x) == set(model.roles) and (got.role_x == got.role_y).mean() > 0.95
+    one = np.exp(model.move[model.roles.index("role00")])
+    assert one.argmax() == 1 and one[0] < 0.05  # rows of no conversation are no neighbours
