@@ -181,9 +181,11 @@ def train(pieces: np.ndarray, label: np.ndarray, languages: list[str], epochs: i
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model | None:
     """Train on at most ``rows`` rows with a language, outside the held-out fold.
 
-    Rows are taken by a hash of the id, the same number per language where there are enough, and one
-    of every language at least. Each gives one piece of PIECE bytes at an offset drawn from its id; a
-    shorter text is filled up with spaces. Only those pieces reach the driver. Without a labelled row there is no model.
+    Texts are taken by their hash, equal ones of a language once, the same number per language where
+    there are enough, and one of every language at least; ids play no part, so rows that share one, or
+    have none, are drawn each for itself. A text gives one piece of PIECE bytes at an offset drawn from
+    its hash; a shorter one is filled up with spaces. Only those pieces reach the driver. Without a
+    labelled row there is no model.
     """
     learn = docs.filter((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", "lang", "text")
     counts = learn.groupBy("lang").count().collect()  # one row a language
@@ -192,10 +194,11 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model
     languages = sorted(r["lang"] for r in counts)
     each = max(1, rows // len(languages))
     room = F.greatest(F.octet_length("text") - PIECE, F.lit(0)) + 1
-    piece = F.substring(F.col("text").cast("binary"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), room) + 1).cast("int"), F.lit(PIECE))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    piece = F.substring(F.col("text").cast("binary"), (F.pmod(F.xxhash64("text", F.lit(1)), room) + 1).cast("int"), F.lit(PIECE))
+    h = F.xxhash64("text")
+    unit = F.pmod(h, F.lit(1 << 20)) / float(1 << 20)
     shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4.0 * each / r["count"]))])
-    cut = learn.filter(unit < shares[F.col("lang")]).select("lang", F.xxhash64("doc_id").alias("h"), piece.alias("piece"))
+    cut = learn.filter(unit < shares[F.col("lang")]).select("lang", h.alias("h"), piece.alias("piece")).distinct()
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece")) <= each
     found = cut.withColumn("first", first).filter("first").select("lang", "piece", "h")
     sample = found.toPandas().sort_values(["lang", "h"], ignore_index=True)

@@ -297,3 +297,20 @@ def test_every_role_is_learned_and_rows_without_order_are_not_gathered(spark):
     assert set(got.role_x) == set(model.roles) and (got.role_x == got.role_y).mean() > 0.95
     one = np.exp(model.move[model.roles.index("role00")])
     assert one.argmax() == 1 and one[0] < 0.05  # rows of no conversation are no neighbours
+
+
+def test_rows_of_one_id_or_of_none_are_drawn_each_for_itself(spark, monkeypatch):
+    rows = [(None if i % 2 else 7, f"text {i} about {'abc'[i % 3] * 30} " + ("e" if i % 2 else "ä") * (i % 50), "en" if i % 2 else "de") for i in range(4_000)]
+    rows += [(None, "one and the same", "en")] * 3_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "train", lambda pieces, label, languages, epochs: seen.append((len(pieces), languages)))
+    monkeypatch.setattr(language, "fold", lambda doc_id, k: F.lit(0))
+    language.fit(docs, rows=100)
+    assert seen == [(100, ["de", "en"])]
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    collected = []
+    real = type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: collected.append(real(df)) or collected[-1])
+    quality.fit(docs, labels, trusted_rows=50, rejected_rows=10)
+    assert [len(c) for c in collected if "score" in c] == [50]
