@@ -48,10 +48,10 @@ def shown_direction(km, direction) -> Column:
 
 
 def log_label(is_hit, place, municipality, canton) -> Column:
-    """struct<label, canton>: place or municipality with the canton's name, or the miss text with a dash."""
+    """struct<label, canton>: place or municipality with the canton's name, or the code 'miss'; a dash where there is no canton."""
     return F.struct(
         F.when(_c(is_hit), F.coalesce(_c(place), _c(municipality))).otherwise("miss").alias("label"),
-        F.when(_c(is_hit), canton_name(canton)).otherwise("–").alias("canton"),
+        F.when(_c(is_hit) & (F.coalesce(_c(canton), F.lit("")) != ""), canton_name(canton)).otherwise("—").alias("canton"),
     )
 
 

@@ -61,10 +61,18 @@ def write_snapshot(verified: DataFrame, elevations: DataFrame, path: str, locale
         fresh, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
         elevations.select("name", "metres").orderBy(F.collate("name", locale)).write.parquet(fresh)
         fresh, old, now = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, old, path))
-        files = now.getFileSystem(spark._jsc.hadoopConfiguration())
-        had = files.exists(now)
-        if (had and not files.rename(now, old)) or not files.rename(fresh, now):
-            raise OSError(f"the snapshot at {path} cannot be replaced")
+        _swap(now.getFileSystem(spark._jsc.hadoopConfiguration()), fresh, now, old)
+    return hard
+
+
+def _swap(files, fresh, now, old) -> None:
+    """Put a complete folder in the place of another; if that fails the other stays, or is put back."""
+    had = files.exists(now)
+    moved = not had or files.rename(now, old)
+    if moved and files.rename(fresh, now):
         if had:
             files.delete(old, True)
-    return hard
+        return
+    back = not had or not moved or files.rename(old, now)
+    files.delete(fresh, True)
+    raise OSError(f"the snapshot at {now} cannot be replaced" + ("" if back else f"; what it held is in {old}"))

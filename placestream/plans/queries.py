@@ -130,6 +130,25 @@ def hit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""with {S.RESOLVED} select event_id, case when outcome = 'hit' then coalesce(case when event_id % 5 = 0 then 'Place ' || event_id end, municipality) else 'miss' end as label,
+ case when outcome <> 'hit' or canton = '' then '—' when canton = 'ZH' then 'Züri' when canton = 'BE' then 'Bärn' else canton end as canton from resolved""",
+    *_RESOLVE_IN,
+)
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a log, hits with their place or municipality, misses without."""
+    place = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("Place "), F.col("event_id").cast("string")))
+    return _resolved(spark, sf_dir).select("event_id", labels.log_label(F.col("outcome") == "hit", place, "municipality", "canton").alias("l")).select("event_id", "l.*")
+
+
+@query("select event_type as name, count(*) as n from f_hits where hit_id % 2 = 0 group by 1", "f_hits")
+def layer_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of two sites, one of which has the layer switched off."""
+    rows = adapter(spark, sf_dir, "f_hits")
+    sites = [H.enabled_only(rows.filter(F.col("hit_id") % 2 == k), on) for k, on in ((0, True), (1, False))]
+    return sites[0].unionByName(sites[1]).groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
+
+
 _ART = "case when outcome = 'hit' then 'preich' else 'dernaebe' end"
 _REASON = "case outcome when 'abroad' then 'usland' when 'border_water' then 'grenzwasser' end"
 

@@ -209,3 +209,30 @@ def test_events_of_throws_keep_their_contract(spark):
     assert client[3].params == '{"outcome":"dernaebe","throw_quality":"sufer","miss_reason":"grenzwasser"}'
     for events in (points.resolved_server_events(df), points.completed_events(df)):
         assert [r.p for r in events.select(hits.contract_problems(F.col("name"), F.col("params")).alias("p")).collect()] == [[]] * 4
+
+
+def test_a_snapshot_that_cannot_be_replaced_stays():
+    class Files:
+        def __init__(self, refuse):
+            self.have, self.refuse = {"now": "first", "fresh": "second"}, refuse
+
+        def exists(self, name):
+            return name in self.have
+
+        def rename(self, a, b):
+            if (a, b) in self.refuse:
+                return False
+            self.have[b] = self.have.pop(a)
+            return True
+
+        def delete(self, name, _):
+            self.have.pop(name, None)
+
+    good = Files([])
+    quality._swap(good, "fresh", "now", "old")
+    assert good.have == {"now": "second"}
+    for refuse in ([("fresh", "now")], [("now", "old")]):
+        files = Files(refuse)
+        with pytest.raises(OSError, match="cannot be replaced"):
+            quality._swap(files, "fresh", "now", "old")
+        assert files.have == {"now": "first"}
