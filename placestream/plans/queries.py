@@ -324,13 +324,19 @@ def internal_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.tag_internal(_flagged(spark, sf_dir)).select("hit_id", "internal", "traffic_type")
 
 
-_CLIENT = "case hit_id % 5 when 1 then cast(hit_id as varchar) || '.' || cast(user_id as varchar) when 3 then '3.4' else sha256(cast(hit_id as varchar)) end"
+def _cookie(name: str) -> str:
+    """SQL: the last value of a cookie of that name; parts end at semicolons and have an equals sign."""
+    return f"[trim(x[instr(x, '=') + 1:]) for x in string_split(coalesce(cookie, ''), ';') if instr(x, '=') > 0 and trim(x[:instr(x, '=') - 1]) = '{name}'][-1]"
 
 
-@query(
-    f"select hit_id, {_CLIENT} as client_id, case when hit_id % 5 in (1, 3) then 'cookie' else 'synthetic' end as client_source, case hit_id % 5 when 1 then cast(hit_id % 97 as varchar) when 3 then '77' end as session_id from f_hits",
-    "f_hits",
-)
+_FOUND = f"nullif(regexp_extract({_cookie('_ga')}, '^GA[0-9]+[.][0-9]+[.]([0-9]+[.][0-9]+)$', 1), '')"
+_SESSION = f"nullif(regexp_extract({_cookie('_ga_S')}, '^GS[0-9]+[.][0-9]+[.]s?([0-9]+)', 1), '')"
+_CLIENT = f"coalesce({_FOUND}, sha256(cast(hit_id as varchar)))"
+_SOURCE = f"case when {_FOUND} is null then 'synthetic' else 'cookie' end"
+_DROPPED = "length(event_type) > 40 or coalesce(len(json_keys(case when json_valid(props) then props end)), 0) > 25"
+
+
+@query(f"select hit_id, {_CLIENT} as client_id, {_SOURCE} as client_source, {_SESSION} as session_id from f_hits", "f_hits")
 def hit_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Client and session ids from cookies, synthetic where there is none."""
     return H.derive_client(adapter(spark, sf_dir, "f_hits"), deterministic=True).select("hit_id", "client_id", "client_source", "session_id")
@@ -338,7 +344,7 @@ def hit_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""select hit_id, '{{"client_id":"' || {_CLIENT} || '","events":[{{"name":"' || event_type || '","params":{{"value":' || cast(user_id as varchar) || ',"even":' || case when user_id % 2 = 0 then 'true' else 'false' end || ',"kind":"' || event_type || '","engagement_time_msec":1,"client_source":"' ||
- case when hit_id % 5 in (1, 3) then 'cookie' else 'synthetic' end || '"' || coalesce(',"session_id":"' || case hit_id % 5 when 1 then cast(hit_id % 97 as varchar) when 3 then '77' end || '"', '') || '}}}}]}}' as payload from f_hits""",
+ {_SOURCE} || '"' || coalesce(',"session_id":"' || {_SESSION} || '"', '') || '}}}}]}}' as payload from f_hits""",
     "f_hits",
 )
 def server_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -490,7 +496,7 @@ def miss_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.miss_report(rows).select("miss_reason", "n", r6("share", "share"))
 
 
-@query("select case when hit_id % 5 in (1, 3) then 'cookie' else 'synthetic' end as client_source, count(*) as n, count(*) filter (where hit_id % 4 = 0) as with_throw, count(*) filter (where hit_id % 8 = 0) as resolved from f_hits group by 1", "f_hits")
+@query(f"select {_SOURCE} as client_source, count(*) as n, count(*) filter (where hit_id % 4 = 0) as with_throw, count(*) filter (where hit_id % 8 = 0) as resolved from f_hits group by 1", "f_hits")
 def unfurls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link previews by client source."""
     rows = H.derive_client(adapter(spark, sf_dir, "f_hits"), deterministic=True).withColumns({"has_throw": F.col("hit_id") % 4 == 0, "resolved": F.col("hit_id") % 8 == 0})
@@ -787,7 +793,7 @@ def stream_exact_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("event_id", "n", r6("rate", "rate"))
 
 
-@query(f"with {_CONSENT} select hit_id, {_CLIENT} as client_id, false as will_be_dropped from consent where analytics_storage = 'granted'", "f_hits")
+@query(f"with {_CONSENT} select hit_id, {_CLIENT} as client_id, {_DROPPED} as will_be_dropped from consent where analytics_storage = 'granted'", "f_hits")
 def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateless hit path on a stream, each hit once."""
     rows = adapter(spark, sf_dir, "f_hits")
