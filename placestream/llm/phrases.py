@@ -1,7 +1,7 @@
 """Phrase collocations by relational mining: sorted occurrence relations, merge-joins, counts and semi-joins.
 
-The occurrences of all words are a relation sorted by text and position, kept as Parquet with a text's
-rows as arrays. The occurrences of phrases of k + 1 words are made by a merge-join of those of k words
+The occurrences of all words are a relation sorted by text and position, kept as Parquet with the
+occurrences of some pieces as arrays. The occurrences of phrases of k + 1 words are made by a merge-join of those of k words
 with themselves on text, piece and adjacent position; they are counted by phrase, and only occurrences
 of frequent phrases are kept for the next length. Words are told apart by 64-bit keys, which are held
 against the words themselves before they are relied on.
@@ -32,6 +32,8 @@ LEAST_BITS = 1 << 20
 _BUCKET = 1 << 15  # bits of a value of bitmap_construct_agg
 #: Occurrences that are joined and counted at a time.
 SLICE_ROWS = 1 << 18
+#: Words of a text whose pieces make a row of the relation.
+ROW_WORDS = 128
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -111,7 +113,7 @@ def _turned(k: Column, by: int) -> Column:
 
 
 def _relation(row: np.ndarray, rows: int, at: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    """Occurrences as arrays a text: positions, and as many keys an occurrence as its phrase has words."""
+    """Occurrences as arrays, one of each a row: positions, and as many keys an occurrence as its phrase has words."""
     offs = np.searchsorted(row, np.arange(rows + 1))
     width = keys.shape[1]
     lists = [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(at)), pa.ListArray.from_arrays(pa.array(offs * width, pa.int32()), pa.array(keys.reshape(-1)))]
@@ -191,10 +193,18 @@ def mine_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGE
 
 
 def _first_relation(keep: _Members, hashes: Callable):
+    """Occurrences of frequent words; a row has whole pieces that begin within so many words of a text, so rows stay small."""
+
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, w, keys, _, at in _keyed(batches, hashes):
             kept = np.flatnonzero(keep.has(keys.reshape(-1, 1)))
-            yield _relation(w.row[kept], len(w.count), at[kept], keys[kept].reshape(-1, 1))
+            place = np.arange(len(keys)) - w.first[w.row]
+            begins = (place == 0) | (np.diff(at, prepend=-1) != 1)
+            part = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), 0))  # the first word of each word's piece
+            part = place[part] // ROW_WORDS
+            new = (place == 0) | (np.diff(part, prepend=-1) != 0)
+            row = np.cumsum(new) - 1
+            yield _relation(row[kept], int(new.sum()), at[kept], keys[kept].reshape(-1, 1))
 
     return occurrences
 

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from placestream.llm import phrases
@@ -79,6 +80,7 @@ def test_a_full_table_of_bits_changes_nothing(spark, monkeypatch):
 
 def test_slices_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SLICE_ROWS", 50)
+    monkeypatch.setattr(phrases, "ROW_WORDS", 7)
     rows = [(1, "en", "ab cd " * 3_000), (2, "en", "x" * 50_000), (3, "en", "ab cd ef. " * 40), *corpus(3, 20)]
     assert fast(phrases.collocations(spark.createDataFrame(rows, SCHEMA).repartition(2))) == slow([r[1:] for r in rows], 10, 3)
 
@@ -114,3 +116,18 @@ def test_awkward_rows(spark):
     rows = [(r.lang, r.text) for r in awkward(spark).collect()]
     assert fast(phrases.collocations(awkward(spark))) == slow(rows, 10, 3)
     assert phrases.collocations(nothing(spark)).collect() == []
+
+
+def test_rows_hold_whole_pieces_and_stay_small(spark):
+    text = "a b c d. e f " * 400
+    source = pa.record_batch([pa.array(["en", "en"]), pa.array([1, 1]), pa.array([text, "x y"])], names=["lang", "seed", "text"])
+
+    class All:
+        def has(self, keys):
+            return np.ones(len(keys), bool)
+
+    (made,) = phrases._first_relation(All(), phrases.span_hashes)(iter([source]))
+    sizes = np.diff(made.column(0).offsets.to_numpy())
+    assert sizes.sum() == 2402 and sizes.max() < phrases.ROW_WORDS + 6 and len(sizes) == 20
+    joined = sum(len(keys) for _, _, _, keys in phrases._joined(iter([made]), 1))
+    assert joined == 3 + 399 * 5 + 1 + 1  # pieces of four, six and two words
