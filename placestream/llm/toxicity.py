@@ -18,7 +18,7 @@ POSITIVE_ROWS, UNLABELLED_ROWS = 6_000, 18_000
 #: Hash buckets of the features; bytes of the word prefixes that are features beside whole words.
 BUCKETS, PREFIXES = 1 << 18, (4, 5, 6)
 FOLDS, HELD_OUT = 5, 0
-EPOCHS, RATE, MOMENTUM, DECAY = 400, 20.0, 0.9, 2e-4
+EPOCHS, MOMENTUM, DECAY = 400, 0.9, 2e-4
 #: Features that the classifier may use: seen in so many positive rows, so far above the unlabelled share.
 LEAST_ROWS, LEAST_Z = 3, 5.0
 
@@ -65,10 +65,16 @@ def nnpu(row: np.ndarray, bucket: np.ndarray, positive: np.ndarray, prior: float
     part falls below zero its gradient is followed the other way, as the method prescribes. Full
     batches with momentum; the mean of the second half of the steps is kept, so that the turns of
     the correction even out and the result is the same on every run.
+
+    Each weight has a step of its own, from the rows: the inverse of a row sum that bounds the curvature
+    (l'' <= 1/4, and a row of k features adds k + 1 entries to each of its sums). The diagonal of these
+    sums is never below the curvature, so steps stay stable however many features occur together.
     """
     used = np.unique(bucket)
     at = np.searchsorted(used, bucket)
     n, n_p, n_u = len(positive), positive.sum(), (~positive).sum()
+    sums = np.where(positive, prior / n_p, 1 / n_u) * (np.bincount(row, minlength=n) + 1) / 4
+    step = 1 / (np.append(np.bincount(at, sums[row], minlength=len(used)), sums.sum()) + DECAY)
     w, v, mean = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = np.log(prior / (1 - prior))
     for epoch in range(epochs):
@@ -79,7 +85,7 @@ def nnpu(row: np.ndarray, bucket: np.ndarray, positive: np.ndarray, prior: float
         slope_n = np.where(positive, -prior / n_p, 1 / n_u) * s
         by_row = np.where(positive, prior / n_p * (s - 1), 0.0) + slope_n if part >= 0 else -slope_n
         grad = np.append(np.bincount(at, by_row[row], minlength=len(used)) + DECAY * w[:-1], by_row.sum())
-        v = MOMENTUM * v - RATE * grad
+        v = MOMENTUM * v - step * grad
         w = w + v
         if epoch >= epochs // 2:
             mean += w / (epochs - epochs // 2)

@@ -86,6 +86,26 @@ def test_nnpu_finds_the_telling_word():
     assert weight[1] + bias > 0 > bias
 
 
+@pytest.mark.parametrize("common", [0, 40, 200])
+def test_nnpu_is_stable_on_long_rows(common):
+    """Frequent features that stand in the same rows must not throw the steps off."""
+    rng = np.random.default_rng(5)
+    positive = np.array([True] * 600 + [False] * 1800)
+    toxic = positive | (np.arange(2400) % 10 == 0)
+    rows, buckets = [], []
+    for i in range(2400):
+        held = np.flatnonzero(rng.random(common) < (0.6 if i % 2 else 0.1)) + 100  # every other row is long
+        held = np.append(held, rng.integers(0, 10)) if toxic[i] else held  # one of ten telling words
+        rows += [i] * len(held)
+        buckets += held.tolist()
+    row, bucket = np.array(rows), np.array(buckets, np.int64)
+    weight, bias = toxicity.nnpu(row, bucket, positive, 0.1)
+    z = bias + np.bincount(row, weight[bucket], minlength=2400)
+    assert (z[toxic] >= 0).mean() > 0.95
+    assert (z[~toxic] >= 0).mean() < 0.01
+    assert np.abs(weight).max() < 20
+
+
 def test_toxicity_learns_from_the_later_positive_rows(spark):
     learn = spark.range(25_000).filter(fold(F.col("id"), toxicity.FOLDS) != toxicity.HELD_OUT)
     ids = [r.id for r in learn.orderBy(F.xxhash64("id"), "id").collect()]
