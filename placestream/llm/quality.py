@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import cut, table
 from .words import SPACED_NUL, buffers, mix, shingles, slices, span_hashes, words
 
 #: Hash buckets of the two multinomials, and bytes of an n-gram.
 BUCKETS, NGRAM = 1 << 15, 4
-#: Trusted rows (quality 1) and rejected rows (quality 0) that the threshold learns from.
-TRUSTED_ROWS, REJECTED_ROWS = 20_000, 4_000
 #: Base rules.
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 0.30
 #: A good document lost weighs as much as so many bad ones kept, when the threshold is set.
-KEEP_WEIGHT = 10.0
+KEEP_WEIGHT = 10
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 #: Bytes that begin a code point of a word.
@@ -53,11 +52,11 @@ class Model:
     threshold: float  # least mean ratio of a kept document
 
     def scores(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Mean log-likelihood ratio of the n-grams of each row; 0 where there is none."""
+        """Mean log-likelihood ratio of the n-grams of each row, to 9 places, so that neighbours in a batch do not show; 0 where there is none."""
         key, count = buckets(raw, offs)
         total = np.concatenate([[0.0], np.cumsum(self.ratio[key], dtype=np.float64)])
         last = np.cumsum(count)
-        return (total[last] - total[last - count]) / np.maximum(count, 1)
+        return np.round((total[last] - total[last - count]) / np.maximum(count, 1), 9) + 0.0
 
 
 def _trusted(labels: DataFrame, quality: int) -> DataFrame:
@@ -65,11 +64,6 @@ def _trusted(labels: DataFrame, quality: int) -> DataFrame:
     return labels.filter((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
-def _some(ids: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` ids, taken in the order of a hash of the id."""
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-
 def _counts(texts: DataFrame) -> np.ndarray:
     """How often each bucket occurs in all ``texts`` (text), counted by task before they are summed."""
 
@@ -87,40 +81,65 @@ def _counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, rejected_rows: int = REJECTED_ROWS) -> Model:
+def threshold(scored: DataFrame) -> float:
+    """The score that best separates all good rows from all bad ones of ``scored`` (score, kind).
+
+    The share of good rows at or above it, times ``KEEP_WEIGHT``, plus the share of bad rows below it is
+    the greatest of all scores (the smallest score on ties, in exact arithmetic). Rows are counted by
+    score and dealt by ranges of it; each range gives its counts and its best score, one row a range.
+    Without good or without bad rows it is minus infinity.
+    """
+    counts = scored.groupBy("score").agg(F.count_if(F.col("kind") == 1).alias("good"), F.count_if(F.col("kind") == 0).alias("bad"))
+    dealt = cut(counts.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    totals = dealt.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("part").collect()
+    good, bad = sum(r.good for r in totals), sum(r.bad for r in totals)
+    if not good or not bad:
+        return -np.inf
+    before = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    exact = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("decimal(18,0)")
+    gain = F.lit(good).cast("decimal(18,0)") * exact("bad") - F.lit(KEEP_WEIGHT * bad).cast("decimal(18,0)") * exact("good")
+    best = dealt.select("part", F.struct(gain.alias("gain"), (-F.col("score")).alias("minus")).alias("b")).groupBy("part").agg(F.max("b").alias("b"))
+    best = {r.part: r.b for r in best.collect()}
+    found, start = [], 0
+    for r in totals:
+        found.append((start + int(best[r.part].gain), best[r.part].minus))
+        start += good * r.bad - KEEP_WEIGHT * bad * r.good
+    return -max(found)[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int | None = None, rejected_rows: int | None = None) -> Model:
     """Count both multinomials over the corpus and set the threshold.
 
     The raw multinomial counts every n-gram of every document, the target those of every document
     labelled good; labels meet documents in a shuffle. The threshold is the score that best separates
-    at most ``trusted_rows`` rows labelled good from at most ``rejected_rows`` labelled bad, those with
-    the least hashes of their texts, good ones weighing more (smallest on ties); without bad rows
-    nothing is rejected by it. Labels need (doc_id, quality).
+    all rows labelled good from all labelled bad, good ones weighing more (smallest on ties); without
+    bad rows nothing is rejected by it. An id labelled both ways counts as good. Labels need (doc_id,
+    quality). Only a caller that gives ``trusted_rows`` or ``rejected_rows`` has the threshold learn from
+    at most so many rows of that kind, those with the least hashes of their texts.
     """
     good, bad = _trusted(labels, 1), _trusted(labels, 0)
     raw = _counts(docs.select("text"))
     target = _counts(docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id").select("text"))
-    sample = _some(good, trusted_rows).withColumn("_kind", F.lit(1)).union(_some(bad, rejected_rows).withColumn("_kind", F.lit(0)))
-    sample = sample.groupBy("doc_id").agg(F.max("_kind").alias("_kind"))  # bounded: at most the two limits
-    flagged = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("_kind").alias("kind"), F.xxhash64("text").alias("h"))
     smooth = lambda c: (c + 1.0) / (c.sum() + BUCKETS)
     ratio = np.log(smooth(target)) - np.log(smooth(raw)) if target.sum() else np.zeros(BUCKETS)
     model = Model(ratio.astype(np.float32), -np.inf)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.scores(raw, offs) for _, raw, offs in slices(*buffers(batch.column(0)))]
-            yield pa.record_batch([pa.array(np.concatenate(parts) if parts else np.zeros(0)), batch.column(1), batch.column(2)], names=["score", "kind", "h"])
-
-    # many rows may share an id of the sample, so the scores are bounded once more
-    every = flagged.mapInArrow(score, "score double, kind int, h long")
-    least = lambda kind, n: every.filter(F.col("kind") == kind).orderBy("h", "score").limit(n)
-    scored = least(1, trusted_rows).unionByName(least(0, rejected_rows)).toPandas()
-    good_s, bad_s = np.sort(scored.score[scored.kind == 1]), np.sort(scored.score[scored.kind == 0])
-    if len(good_s) and len(bad_s):
-        cuts = np.unique(np.concatenate([good_s, bad_s]))
-        kept_good = 1 - np.searchsorted(good_s, cuts) / len(good_s)
-        cut_bad = np.searchsorted(bad_s, cuts) / len(bad_s)
-        model.threshold = float(cuts[np.argmax(KEEP_WEIGHT * kept_good + cut_bad)])
+            parts = [shared.value.scores(raw, offs) for _, raw, offs in slices(*buffers(batch.column(0)))]
+            yield pa.record_batch([pa.array(np.concatenate(parts) if parts else np.zeros(0)), batch.column(1), batch.column(2)], names=["score", "doc_id", "h"])
+
+    # ids and scores are shuffled, no texts
+    kinds = good.withColumn("kind", F.lit(1)).union(bad.withColumn("kind", F.lit(0))).groupBy("doc_id").agg(F.max("kind").alias("kind"))
+    known = docs.filter("doc_id is not null").select("text", F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"))
+    every = known.mapInArrow(score, "score double, doc_id long, h long").join(kinds, "doc_id").select("score", "kind", "h")
+    limits = {kind: most for kind, most in ((1, trusted_rows), (0, rejected_rows)) if most is not None}
+    if limits:
+        every = cut(every)
+        drawn = reduce(DataFrame.unionByName, (every.filter(F.col("kind") == kind).orderBy("h", "score").limit(most) for kind, most in limits.items()))
+        every = every.filter(~F.col("kind").isin(list(limits))).unionByName(docs.sparkSession.createDataFrame(drawn.toPandas(), every.schema))
+    model.threshold = threshold(every)
     return model
 
 

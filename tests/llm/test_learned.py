@@ -250,6 +250,33 @@ def test_quality_target_counts_every_good_document(spark):
     assert np.allclose(got.ratio, want, atol=1e-6)
 
 
+def best_cut(good, bad):
+    """The threshold by trying every score."""
+    gain = lambda c: quality.KEEP_WEIGHT * len(bad) * sum(s >= c for s in good) + len(good) * sum(s < c for s in bad)
+    return max(sorted({*good, *bad}), key=gain)
+
+
+def test_quality_threshold_is_the_best_of_all_rows(spark):
+    rng = random.Random(8)
+    for many, bad_share in ((400, 0.3), (60, 0.9), (5, 0.5), (300, 0.02)):
+        rows = [(round(rng.gauss(0, 1), 1), 0) if rng.random() < bad_share else (round(rng.gauss(2, 1), 1), 1) for _ in range(many)] + [(0.1, 0), (1.9, 1)]
+        got = quality.threshold(spark.createDataFrame(rows, "score double, kind int").repartition(3))
+        assert got == best_cut([s for s, k in rows if k], [s for s, k in rows if not k])
+    assert quality.threshold(spark.createDataFrame([(1.0, 1)], "score double, kind int")) == -np.inf
+
+
+def test_quality_threshold_learns_from_every_label(spark):
+    """More bad rows than the 4,000 that once were drawn, which left most of the middle ones out."""
+    low, odd, middle, high = "xxxx jjjj kkkk vvvv", "xxxx jjjj kkkk vvvv f", "fair words of a good text z", "fair words of a good text"
+    ids = [r.id for r in spark.range(7_900).orderBy(F.xxhash64("id"), "id").collect()]  # of the first 4,000 bad ones 1,600 are middle ones
+    texts = dict(zip(ids, [low] * 2_400 + [middle] * 4_500 + [odd] * 50 + [high] * 950, strict=True))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = quality.fit(docs, labels_of(spark, [(i, int(t in (odd, high)), 0) for i, t in texts.items()]))
+    scores = model.scores(*buffers(pa.array([low, odd, middle, high]))).tolist()
+    assert scores == sorted(scores)
+    assert model.threshold == scores[3]  # 65 % of the bad outweigh ten times 5 % of the good
+
+
 def test_quality_takes_awkward_rows(spark):
     docs = awkward(spark)
     for labels in (labels_of(spark, []), labels_of(spark, [(4, 1, 0), (4, 0, 0), (None, 1, 1), (8, None, 0)])):
