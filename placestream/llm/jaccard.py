@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import SALTS, cut, join_hot, shared_dir, table
@@ -102,26 +102,34 @@ def star_edges(texts: DataFrame) -> DataFrame:
     return inner.union(outer).distinct()
 
 
+def least_of_node(edges: DataFrame) -> DataFrame:
+    """(a, bs, m) of every node ``a`` of ``edges`` (a, b): its distinct neighbours in at most SALTS lists, and the least of them all.
+
+    The lists of a hot node are made in as many tasks; only they meet in its window.
+    """
+    lists = edges.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")).agg(F.collect_set("b").alias("bs"))
+    return lists.select("a", "bs", F.min(F.array_min("bs")).over(Window.partitionBy("a")).alias("m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) of every node of ``edges`` (a, b): root is the least node it is connected with.
 
-    Large-star and small-star steps in turn, each cut off in the shared folder, until nothing
-    changes; the number of rounds grows with the logarithm of the longest chain.
+    Large-star and small-star steps in turn, each pair cut off in the shared folder, until every
+    component is a star around its least node; the number of rounds grows with the logarithm of the
+    longest chain. An edge may stand there more than once, as the lists of a node hold it once.
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
     edges = cut(edges.filter("a <> b").select(high.alias("a"), low.alias("b")).distinct())
-    before = None
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = join_hot(both, least, "a", ["b"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        head = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = join_hot(large, head, "a", ["b"])
-        edges = cut(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        # in a star a node with a lesser neighbour has no other one
+        of_node = both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"))
+        if not of_node.filter("m < a and m < most").agg(F.count("*")).first()[0]:
             break
-        before = now
+        large = least_of_node(both).select(F.explode(F.filter("bs", lambda b: b > F.col("a"))).alias("to"), F.least("a", "m").alias("b"))
+        small = least_of_node(large.select(F.col("to").alias("a"), "b"))
+        edges = cut(small.select(F.explode(F.concat(F.array_except("bs", F.array("m")), F.array("a"))).alias("to"), F.col("m").alias("b")).select(F.col("to").alias("a"), "b"))
+    edges = edges.distinct()
     return edges.select(F.col("a").alias("key"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
@@ -191,8 +199,12 @@ def links_of_block(block: pd.DataFrame) -> pd.DataFrame:
     return out[links > 0]
 
 
-def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """The rows as written to the shared folder (row, doc, key), and (key, root, class_id, n_links) of each text."""
+def linked_texts(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows as written to the shared folder (row, doc, key); each text (key, head, n_docs, n_grams); links; roots (key, root).
+
+    ``head`` (no_id, id, row) is the text's row with the least id, rows without an id last; of several, the first. Texts
+    without a link have no root.
+    """
     spark = docs.sparkSession
     bands, rows = choose_bands(THRESHOLD, recall)
     path = shared_dir(spark, "jaccard")
@@ -202,8 +214,10 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
     worded = written.filter("key is not null")
     signs = worded.groupBy("key").agg(F.first("bands").alias("bands"))
     clusters = cut(components(star_edges(signs)).withColumnRenamed("root", "cluster"))
-    info = worded.groupBy("key").agg(F.min(F.col("doc.doc_id").cast("long")).alias("rep"), F.min("row").alias("row"), F.count("*").alias("n_docs"), F.max("n_grams").alias("n_grams"))
-    known = clusters.join(info.select("key", "row", "n_docs", "n_grams"), "key")
+    id_ = F.col("doc.doc_id").cast("long")
+    head = F.min(F.struct(id_.isNull().alias("no_id"), id_.alias("id"), "row")).alias("head")
+    info = cut(worded.groupBy("key").agg(head, F.count("*").alias("n_docs"), F.max("n_grams").alias("n_grams")))
+    known = clusters.join(info.select("key", "head.row", "n_docs", "n_grams"), "key")
     n_blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_grams") / GRAMS_A_BLOCK)).cast("int")
     sizes = known.groupBy("cluster").agg(n_blocks.alias("n_blocks"))
     members = join_hot(known.select("cluster", "key", "row", "n_docs"), sizes, "cluster", ["key", "row", "n_docs"])
@@ -212,14 +226,19 @@ def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFra
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     blocks = sets.withColumn("b", b).withColumn("o", other).select("cluster", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "key", "n_docs", "grams")
     links = cut(blocks.groupBy("cluster", "bi", "bj").applyInPandas(links_of_block, "key long, root long, links long"))
-    roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    return written, info, links, components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
+
+
+def classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """The rows as written to the shared folder (row, doc, key), and (key, class_id, n_links) of each text."""
+    written, info, links, roots = linked_texts(docs, recall)
+    info = info.select("key", F.col("head.id").alias("rep"), "n_docs")
     degree = links.groupBy("key").agg(F.sum("links").alias("links"))
     linked = info.join(roots, "key").join(degree, "key")
     class_ids = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = join_hot(linked.select("root", "key", "links"), class_ids, "root", ["key", "links"])
     every = info.join(named, "key", "left").select(
         "key",
-        F.coalesce("root", "key").alias("root"),
         F.when(F.col("links").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"),
         (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
@@ -241,7 +260,7 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """
     written, every = classes(docs.select("doc_id", "text"), recall)
     ids = written.select("key", F.col("doc.doc_id").cast("long").alias("doc_id"))
-    worded = join_hot(ids.filter("key is not null"), every.drop("root"), "key", ["doc_id"]).select("doc_id", "class_id", "n_links")
+    worded = join_hot(ids.filter("key is not null"), every, "key", ["doc_id"]).select("doc_id", "class_id", "n_links")
     wordless = ids.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return worded.union(wordless)
 
@@ -251,11 +270,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     A class without any id keeps one row. Texts without words all stay.
     """
-    written, every = classes(docs)
-    ids = written.select("key", F.col("doc.doc_id").cast("long").alias("doc_id"), "row")
-    standing = join_hot(ids.filter("key is not null"), every, "key", ["doc_id", "row"]).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = standing.groupBy("root").agg(F.min("row").alias("row")).select("row")
-    kept = kept.union(ids.filter("key is null").select("row"))
+    written, info, _, roots = linked_texts(docs)
+    heads = info.select("key", "head").join(roots, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("head").alias("head"))
+    kept = heads.select("head.row").union(written.filter("key is null").select("row"))
     return written.join(kept, "row", "left_semi").select("doc.*")
 
 

@@ -119,6 +119,47 @@ def test_components_of_long_chains(spark):
     assert got[1004] == 1000
 
 
+def test_components_of_random_graphs_with_a_hot_node(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] * 2 + [(700, i) for i in range(1000, 4000)] + [(i, i) for i in (500, 501)]
+    root = {i: i for p in pairs for i in p if p[0] != p[1]}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = jaccard.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(i, find(i)) for i in sorted(root)]
+
+
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    cuts = []
+    cut = jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: (cuts.append(df), cut(df))[1])
+    edges = spark.range(1, 500).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).union(spark.range(1001, 1005).select("id", F.lit(1000).cast("long")))
+    got = {r.key: r.root for r in jaccard.components(edges).collect()}
+    assert got == dict.fromkeys(range(500), 0) | dict.fromkeys(range(1000, 1005), 1000)
+    assert len(cuts) == 1
+
+
+def test_jobs_that_the_driver_keeps_for_a_table_of_copies(spark):
+    """Each job and its tasks stay in the driver's memory for a while (89 jobs before stars took no round and rows of a class were not joined by document)."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame(list(enumerate(t for _ in range(10) for t in near(rng, 6))), "doc_id long, text string")
+    spark.sparkContext.setJobGroup("one_of_each", "")
+    try:
+        kept = jaccard.one_of_each(docs).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.doc_id for r in kept) == list(range(0, 60, 6))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one_of_each")) < 65
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.choose_bands(0.8, 0.999, 144)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
