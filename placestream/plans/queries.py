@@ -233,7 +233,8 @@ def skin_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S.LOG} select user_key, array_to_string(list_sort(list(distinct canton) filter (where is_hit and canton is not null)), ',') as cantons, count(distinct case when is_hit then canton end) as n_cantons from latest group by user_key", "f_log")
 def collected_cantons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct cantons in each user's present log."""
-    return L.collected_cantons(_log(spark, sf_dir)).select("user_key", F.array_join("cantons", ",").alias("cantons"), "n_cantons")
+    names = F.when(F.col("n_cantons") > 0, F.array_join("cantons", ","))  # as in SQL, none where a log has only misses
+    return L.collected_cantons(_log(spark, sf_dir)).select("user_key", names.alias("cantons"), "n_cantons")
 
 
 def _closed(rows: str, key: str, slot: int = 1_000) -> str:
