@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,9 +57,14 @@ def log_label(is_hit, place, municipality, canton) -> Column:
     )
 
 
+def drag_length(dx, dy) -> Column:
+    """Pixels of a drag as other engines compute them too; ``hypot`` is off by one place now and then, which tells at a limit."""
+    return F.sqrt(_c(dx) * _c(dx) + _c(dy) * _c(dy))
+
+
 def drag_features(x, y, dx, dy, style) -> Column:
     """struct<target_x, target_y, force, enough>: a drag pulled back aims the other way, a fling along it."""
-    length = F.hypot(_c(dx), _c(dy))
+    length = drag_length(dx, dy)
     way = F.when(_c(style).isin(*C.BACKWARD_STYLES), -C.DRAG_FACTOR).otherwise(C.DRAG_FACTOR)
     return F.struct(
         (_c(x) + _c(dx) * way).alias("target_x"), (_c(y) + _c(dy) * way).alias("target_y"),
@@ -71,13 +78,14 @@ def scatter_sigma(radius, force) -> Column:
 
 
 def throw_style(shank, deviation, sigma) -> Column:
-    """Style of a recorded throw; ``sigma`` already holds a shank's widening."""
-    return F.when(_c(shank), "shank").when(_c(deviation) > _c(sigma) * C.SLOPPY_FACTOR, "sloppy").otherwise("clean")
+    """Style of a recorded throw; ``sigma`` already holds a shank's widening. The limit of a whole or decimal ``sigma`` is exact."""
+    limit = _c(sigma) * F.lit(Decimal(str(C.SLOPPY_FACTOR)))
+    return F.when(_c(shank), "shank").when(_c(deviation) > limit, "sloppy").otherwise("clean")
 
 
 def drag_outcome(dx, dy) -> Column:
     """Event of a released drag; a press that never moved (null) gives none."""
-    return F.when(_c(dx).isNull() | _c(dy).isNull(), "no_move").when(F.hypot(_c(dx), _c(dy)) < C.MIN_DRAG_PX, "throw_abandoned").otherwise("throw_input_method")
+    return F.when(_c(dx).isNull() | _c(dy).isNull(), "no_move").when(drag_length(dx, dy) < C.MIN_DRAG_PX, "throw_abandoned").otherwise("throw_input_method")
 
 
 def scale_vital(name, value) -> Column:

@@ -427,7 +427,7 @@ def drags(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = labels.drag_features(F.lit(100.0), F.lit(100.0), "dx", "dy", F.when(F.col("event_id") % 2 == 0, "back").otherwise("along"))
     return t.select(
         "event_id", labels.drag_outcome(F.when(~still, F.col("dx")), "dy").alias("outcome"), r6(f["target_x"], "target_x"), r6(f["force"], "force"), r6(labels.scatter_sigma(F.lit(400.0), f["force"]), "sigma"),
-        labels.throw_style("shank", F.hypot("dx", "dy"), F.lit(106.0)).alias("style"),
+        labels.throw_style("shank", labels.drag_length("dx", "dy"), F.lit(106)).alias("style"),
     )
 
 

@@ -38,3 +38,9 @@ def some_events(spark, ids, **columns):
 def test_a_log_of_misses_has_no_cantons(spark, same_as_sql):
     ours = same_as_sql("collected_cantons", some_events(spark, [6, 12, 13, 18], user_id="case when event_id = 13 then 7 else 1 end"))
     assert sorted(ours["n_cantons"]) == [0, 1]
+
+
+def test_drags_at_the_limits(spark, same_as_sql):
+    ids = [60308, 175943, 460308, 324211, 326946, 26946, 626946, 4526946, 2226946, 1, 2, 3]
+    ours = same_as_sql("drags", some_events(spark, ids, value="case when event_id % 10000 = 6946 then 121.9 else 10 end"))
+    assert {"throw_abandoned", "throw_input_method"} <= set(ours["outcome"])
