@@ -1,15 +1,18 @@
 """Keyed streams in event-time order: a reorder buffer in state, and the processors of logs, flags and rates on it.
 
-Rows may arrive in any order within the watermark. Each waits in its key's state, in a slot of event time, until the
-watermark passes the slot's end; an event-time timer then releases the slot, whose rows are put in order and applied.
-State is read and written by entries: a micro-batch of any size is never gathered, and a log's oldest entry is
-replaced in place. It lives in RocksDB, whose timers come in order of time.
+Rows may arrive in any order within the watermark. Each waits in its key's state until the watermark has passed its
+slot of event time; a key's one timer stands at the end of its earliest slot, and when it fires all slots that the
+watermark has passed are put in order and applied. A key with few rows keeps them in one value, so that a micro-batch
+costs a key a few calls to the state and not some for each row; rows of a key with many go into pages by time, of which
+a batch touches those that its rows belong to, and a release those that are due, one after the other. It lives in RocksDB.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -22,6 +25,8 @@ from placestream import constants as C
 
 #: Milliseconds of event time whose rows wait together.
 SLOT_MS = 1_000
+#: Rows that wait in one entry of the state, and times in one of a rate's window; output rows that are given on together.
+PAGE = 1_000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -40,55 +45,122 @@ class Ordered(StatefulProcessor):
 
     columns: tuple[tuple[str, str], ...] = ()
     names: tuple[str, ...] = ()
+    #: Whether rows after a rest find another state than if nothing had been forgotten.
+    lapses = True
 
     def __init__(self, slot_ms: int = SLOT_MS, idle_ms: int | None = None):
         self.slot_ms, self.idle_ms = slot_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.fields = ("at", "tie", *[name for name, _ in self.columns])
         arrays = ", ".join(f"{name} array<{kind}>" for name, kind in (("at", "long"), ("tie", "long"), *self.columns))
-        self.waiting = handle.getMapState("waiting", "slot long", arrays)
-        self.until = handle.getValueState("until", "at long")
+        self.head = handle.getValueState("head", f"wake long, until long, pages array<long>, {arrays}")
+        self.page = handle.getMapState("page", "low long", arrays)
         self.open(handle)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        fields = ["at", "tie", *[name for name, _ in self.columns]]
+        wake, until, pages, waiting = self._read()
         for part in rows:
-            for slot, held in part.groupby(part["at"] // (1_000 * self.slot_ms)):
-                slot = int(slot)
-                new = tuple([_plain(x) for x in held[name].tolist()] for name in fields)
-                old = self.waiting.getValue((slot,))
-                if old is None:
-                    self.handle.registerTimer((slot + 1) * self.slot_ms)
-                else:
-                    new = tuple([*a, *b] for a, b in zip(old, new, strict=True))
-                self.waiting.updateValue((slot,), new)
+            waiting += zip(*[[_plain(x) for x in part[name].tolist()] for name in self.fields], strict=True)
+            if len(waiting) > PAGE:
+                waiting = self._file(pages, waiting)
+        self._keep(wake, until, pages, waiting)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        slot = (now // self.slot_ms - 1,)
-        held = self.waiting.getValue(slot) if now % self.slot_ms == 0 else None
-        if held is None:
-            if self.until.exists() and self.until.get()[0] == now:
-                self.until.clear()
-                self.forget()
+        wake, until, pages, waiting = self._read()
+        if wake != expiredTimerInfo.getExpiryTimeInMs():
             return
-        self.waiting.removeKey(slot)
-        out = list(self.apply(key[0], sorted(zip(*held, strict=True), key=lambda r: r[:2])))
-        if self.idle_ms is not None:
-            self._rest(now)
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        bound = now // self.slot_ms * self.slot_ms * 1_000
+        if waiting and pages and pages[0] < bound:
+            waiting = self._file(pages, waiting)
+        due = [r for r in waiting if r[0] < bound]
+        waiting = [r for r in waiting if r[0] >= bound] if due else waiting
+        for held in [sorted(due, key=_order)] if due else self._due(pages, bound):
+            for run, until in self._runs(held, until):
+                out += self.apply(key[0], run)
+            if len(out) >= PAGE:
+                yield pd.DataFrame(out, columns=list(self.names))
+                out = []
+        if until is not None and until <= now:
+            self.forget()
+            until = None
+        self._keep(None, until, pages, waiting)
         if out:
             yield pd.DataFrame(out, columns=list(self.names))
 
-    def _rest(self, now: int) -> None:
-        """Put off the time at which the key is forgotten; never a slot's end, so that timers stay apart."""
-        if self.until.exists():
-            self.handle.deleteTimer(self.until.get()[0])
-        until = now + int(self.idle_ms)
-        until += until % self.slot_ms == 0
-        self.until.update((until,))
-        self.handle.registerTimer(until)
+    def _read(self) -> tuple[int | None, int | None, list[int], list[tuple]]:
+        """The time of the key's timer, that at which it is forgotten, the least times of its pages, and the rows in no page."""
+        wake, until, pages, *columns = self.head.get() or (None, None, [], *[[] for _ in self.fields])
+        return wake, until, list(pages), list(zip(*columns, strict=True))
+
+    def _keep(self, wake: int | None, until: int | None, pages: list[int], waiting: list[tuple]) -> None:
+        """Write that back, with a timer (``wake`` is set already) at the first time at which there is something to do."""
+        times = [(at // (1_000 * self.slot_ms) + 1) * self.slot_ms for at in (*pages[:1], *[r[0] for r in waiting])]
+        first = min(times if until is None else [*times, until], default=None)
+        if first != wake:
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if first is None:
+            self.head.clear()
+        else:
+            self.head.update((first, until, pages, *self._columns(waiting)))
+
+    def _columns(self, rows: list[tuple]) -> tuple[list, ...]:
+        return tuple([r[i] for r in rows] for i in range(len(self.fields)))
+
+    def _file(self, pages: list[int], rows: list[tuple]) -> list[tuple]:
+        """Put rows into the pages of their times, which are cut if they grow too long; none is left.
+
+        A page goes by its least time, and rows of the same time are in one page.
+        """
+        rows = sorted(rows, key=_order)
+        if not pages or rows[0][0] < pages[0]:
+            pages.insert(0, rows[0][0])
+        for low, new in [(low, list(part)) for low, part in groupby(rows, key=lambda r: pages[bisect_right(pages, r[0]) - 1])]:
+            old = self.page.getValue((low,))
+            held = sorted([*zip(*old, strict=True), *new], key=_order) if old else new
+            while held:
+                end = PAGE // 2 if len(held) > PAGE else len(held)
+                end = bisect_right(held, held[end - 1][0], key=lambda r: r[0])
+                if held[0][0] != low:
+                    insort(pages, held[0][0])
+                self.page.updateValue((held[0][0],), self._columns(held[:end]))
+                held = held[end:]
+        return []
+
+    def _due(self, pages: list[int], bound: int) -> Iterator[list[tuple]]:
+        """The rows before ``bound`` in order, page by page, which are taken out."""
+        while pages and pages[0] < bound:
+            low = pages.pop(0)
+            held = sorted(zip(*self.page.getValue((low,)), strict=True), key=_order)
+            self.page.removeKey((low,))
+            end = bisect_left(held, bound, key=lambda r: r[0])
+            if end < len(held):
+                pages.insert(0, held[end][0])
+                self.page.updateValue((held[end][0],), self._columns(held[end:]))
+            yield held[:end]
+
+    def _runs(self, rows: list[tuple], until: int | None) -> Iterator[tuple[list[tuple], int | None]]:
+        """Rows between which the key does not rest, and when it is forgotten after them; it is forgotten before rows that come later."""
+        if self.idle_ms is None:
+            yield rows, None
+            return
+        begin = 0
+        for i, row in enumerate(rows):
+            end = (row[0] // (1_000 * self.slot_ms) + 1) * self.slot_ms
+            if until is not None and end > until and self.lapses:
+                if i > begin:
+                    yield rows[begin:i], until
+                self.forget()
+                begin = i
+            until = end + int(self.idle_ms)
+            until += until % self.slot_ms == 0  # never a slot's end, at which the key would have to be forgotten before or after it
+        yield rows[begin:], until
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         """Set up the state beside the buffer."""
@@ -104,6 +176,10 @@ class Ordered(StatefulProcessor):
         pass
 
 
+def _order(row: tuple) -> tuple:
+    return row[:2]
+
+
 def _plain(x: Any) -> Any:
     """A value of a column as state holds it: missing ones as none."""
     return None if x is None or x != x else x
@@ -221,42 +297,45 @@ class _Flag(Ordered):
 
 
 class _Rate(Ordered):
-    """A queue of event times by slots: the slots there are in order, how many times of the first have left, and how many are in."""
+    """A queue of event times: the newest in the value, older ones in chunks from ``first`` to before ``end``, and how many of the oldest have left."""
 
     names = ("key", "event_id", "n", "at", "first")
+    lapses = False
 
     def __init__(self, seconds: int, **more: Any):
         super().__init__(**more)
         self.span = seconds * 1_000_000
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getMapState("times", "slot long", "at array<long>")
-        self.queue = handle.getValueState("queue", "slots array<long>, gone int, n long")
+        self.times = handle.getMapState("times", "chunk long", "at array<long>")
+        self.queue = handle.getValueState("queue", "first long, end long, gone int, n long, newest array<long>")
 
     def forget(self) -> None:
         self.times.clear()
         self.queue.clear()
 
     def apply(self, key: Any, rows: list[tuple]) -> Iterator[tuple]:
-        slots, gone, n = self.queue.get() if self.queue.exists() else ([], 0, 0)
-        slots = list(slots)
-        first = list(self.times.getValue((slots[0],))[0]) if slots else []
-        new = [r[0] for r in rows]
-        same = Counter(new)
-        own = new[0] // (1_000 * self.slot_ms)
-        self.times.updateValue((own,), (new,))
-        slots.append(own)
-        first = first or new
-        for i, (at, tie) in enumerate(rows):
-            if not i or at != new[i - 1]:  # those of the same time come in together
-                n += same[at]
-            while first[gone] < at - self.span:
+        first, end, gone, n, newest = self.queue.get() or (0, 0, 0, 0, [])
+        newest = list(newest)
+        oldest = newest if first == end else self.times.getValue((first,))[0]
+        same, before = Counter(r[0] for r in rows), None
+        for at, tie in rows:
+            if at != before:  # those of the same time come in together
+                newest.extend([at] * same[at])
+                n, before = n + same[at], at
+            while oldest[gone] < at - self.span:
                 gone, n = gone + 1, n - 1
-                if gone == len(first):
-                    self.times.removeKey((slots.pop(0),))
-                    first, gone = list(self.times.getValue((slots[0],))[0]), 0
-            yield key, tie, n, at, first[gone]
-        self.queue.update((slots, gone, n))
+                if gone == len(oldest) and oldest is not newest:
+                    self.times.removeKey((first,))
+                    first, gone = first + 1, 0
+                    oldest = newest if first == end else self.times.getValue((first,))[0]
+            yield key, tie, n, at, oldest[gone]
+        if oldest is newest:
+            newest, gone = newest[gone:], 0
+        while len(newest) > PAGE:
+            self.times.updateValue((end,), (newest[:PAGE],))
+            end, newest = end + 1, newest[PAGE:]
+        self.queue.update((first, end, gone, n, newest))
 
 
 def _prepared(rows: DataFrame, key: str, tie: str, watermark: str, **columns: Column) -> DataFrame:
