@@ -288,7 +288,7 @@ class _Flag(Ordered):
         self.flag.clear()
 
     def apply(self, key: Any, rows: list[tuple]) -> Iterator[tuple]:
-        flag = first = self.flag.get()[0] if self.flag.exists() else "0"
+        flag = first = (self.flag.get() or ("0",))[0]
         for _, tie, value in rows:
             yield key, tie, flag == "1"
             flag = value if value in ("0", "1") else flag

@@ -138,3 +138,27 @@ def test_rates_take_few_calls(monkeypatch, page):
         got, handle = run(ordered._Rate(20, idle_ms=21_000), [*in_batches(rows, batches), [(9_000_000_000, n)], []], 60_000)
         assert len(got) == n and len(handle.timers) == 1
         assert not handle.states[-1].value and not handle.states[-2].values  # forgotten after a rest
+
+
+def slow_flags(rows, idle, until):
+    flag, last = "0", None
+    for at, tie, value in sorted(rows, key=lambda r: r[:2]):
+        end = (at // 1_000_000 + 1) * 1_000
+        if end > until:
+            return
+        if last is not None and idle and end > last + idle:
+            flag = "0"
+        last = end
+        yield 1, tie, flag == "1"
+        flag = value if value in ("0", "1") else flag
+
+
+@pytest.mark.parametrize("idle", [None, 5_000])
+def test_flags_take_few_calls(monkeypatch, idle):
+    rows = some_rows(900, 3_000, lambda rng: rng.choice(["0", "1", "1", "2", None]))
+    for page in (1_000, 16, 1):
+        monkeypatch.setattr(ordered, "PAGE", page, raising=False)
+        got, handle = run(ordered._Flag(idle_ms=idle), in_batches(rows, 5), 60_000)
+        assert got == list(slow_flags(rows, idle, handle.now)) and len(got) > 800
+        if page == 1_000 and not idle:
+            assert handle.calls < 75
