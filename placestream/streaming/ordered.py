@@ -10,7 +10,7 @@ a batch touches those that its rows belong to, and a release those that are due,
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import groupby
 from typing import Any
@@ -186,7 +186,7 @@ def _plain(x: Any) -> Any:
 
 
 class _Log(Ordered):
-    """The last ``n`` entries' cantons as a ring, how often each is in it, and how many entries came since the last clear."""
+    """The last ``n`` entries' cantons since the last clear, oldest first; empty ones have none."""
 
     columns = (("is_clear", "boolean"), ("canton", "string"))
 
@@ -195,50 +195,31 @@ class _Log(Ordered):
         self.n = n
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getMapState("ring", "place int", "canton string")
-        self.often = handle.getMapState("often", "canton string", "times int")
-        self.counts = handle.getValueState("counts", "entries long, cantons int")
+        self.log = handle.getValueState("log", "cantons array<string>")
 
     def forget(self) -> None:
-        for state in (self.ring, self.often, self.counts):
-            state.clear()
-
-    def push(self, entries: int, cantons: int, canton: str) -> int:
-        """Put an entry into the log, the oldest out of it if it is full; gives the number of different cantons."""
-        place = (entries % self.n,)
-        if entries >= self.n:
-            old = self.ring.getValue(place)[0]
-            if old:
-                left = self.often.getValue((old,))[0] - 1
-                if left:
-                    self.often.updateValue((old,), (left,))
-                else:
-                    self.often.removeKey((old,))
-                    cantons -= 1
-        self.ring.updateValue(place, (canton,))
-        if canton:
-            times = self.often.getValue((canton,))
-            cantons += times is None
-            self.often.updateValue((canton,), (1 + (times[0] if times else 0),))
-        return cantons
+        self.log.clear()
 
     def apply(self, key: Any, rows: list[tuple]) -> Iterator[tuple]:
-        entries, cantons = self.counts.get() if self.counts.exists() else (0, 0)
+        log = deque(*(self.log.get() or ([],)))
+        often = Counter(c for c in log if c)
         for at, tie, is_clear, canton in rows:
             if is_clear:
-                self.forget()
-                entries = cantons = 0
+                log.clear()
+                often.clear()
                 yield from self.cleared(key, at, tie)
-            else:
-                before = self.before(canton or "")
-                after = self.push(entries, cantons, canton or "")
-                yield from self.entered(key, at, tie, canton or "", before, min(entries, self.n), cantons, after)
-                entries, cantons = entries + 1, after
-        self.counts.update((entries, cantons))
-
-    def before(self, canton: str) -> bool:
-        """Whether the log had a canton already."""
-        return bool(canton) and self.often.containsKey((canton,))
+                continue
+            canton, size, cantons = canton or "", len(log), len(often)
+            had = canton in often
+            if size == self.n and (old := log.popleft()):
+                often[old] -= 1
+                if not often[old]:
+                    del often[old]
+            log.append(canton)
+            if canton:
+                often[canton] += 1
+            yield from self.entered(key, at, tie, canton, had, size, cantons, len(often))
+        self.log.update((list(log),))
 
     def cleared(self, key: Any, at: int, tie: int) -> Iterator[tuple]:
         return iter(())

@@ -162,3 +162,28 @@ def test_flags_take_few_calls(monkeypatch, idle):
         assert got == list(slow_flags(rows, idle, handle.now)) and len(got) > 800
         if page == 1_000 and not idle:
             assert handle.calls < 75
+
+
+def slow_log(rows, n, until):
+    """(size before, cantons before, whether new, size after, cantons after) of each row by its tie; zeros for a clear."""
+    log: list = []
+    for at, tie, clear, canton in sorted(rows, key=lambda r: r[:2]):
+        if (at // 1_000_000 + 1) * 1_000 > until:
+            return
+        before = {c for c in log if c}
+        log = [] if clear else [*log, canton][-n:]
+        yield tie, clear, canton, before, len(log), len({c for c in log if c})
+
+
+LOGS = (lambda rng: rng.random() < 0.01, lambda rng: rng.choice(["BE", "ZH", "VD", "", None, "TI", "GR"]))
+
+
+def test_milestones_take_few_calls(monkeypatch):
+    rows = some_rows(900, 3_000, *LOGS)
+    for page in (1_000, 16, 1):
+        monkeypatch.setattr(ordered, "PAGE", page, raising=False)
+        got, handle = run(ordered._Milestones(8, 5), in_batches(rows, 5), 60_000)
+        want = [(1, tie, "canton", c, len(b) + 1) for tie, clear, c, b, _, _ in slow_log(rows, 8, handle.now) if not clear and c and c not in b]
+        assert [r for r in got if r[2] == "canton"] == want and len(want) > 50
+        assert {r[2] for r in got} == {"canton", "skin", "complete"}
+        assert page < 1_000 or handle.calls < 75
