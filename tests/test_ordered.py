@@ -187,3 +187,13 @@ def test_milestones_take_few_calls(monkeypatch):
         assert [r for r in got if r[2] == "canton"] == want and len(want) > 50
         assert {r[2] for r in got} == {"canton", "skin", "complete"}
         assert page < 1_000 or handle.calls < 75
+
+
+def test_properties_take_few_calls(monkeypatch):
+    rows = some_rows(900, 3_000, *LOGS)
+    for page in (1_000, 16, 1):
+        monkeypatch.setattr(ordered, "PAGE", page, raising=False)
+        got, handle = run(ordered._Properties(8), in_batches(rows, 5), 60_000)
+        want = [(1, tie, size, cantons) for tie, _, _, _, size, cantons in slow_log(rows, 8, handle.now)]
+        assert [r[:4] for r in got] == want and len(want) > 800
+        assert page < 1_000 or handle.calls < 75
