@@ -1,10 +1,11 @@
 """Keyed streams in event-time order: a reorder buffer in state, and the processors of logs, flags and rates on it.
 
-Rows may arrive in any order within the watermark. Each waits in its key's state until the watermark has passed its
-slot of event time; a key's one timer stands at the end of its earliest slot, and when it fires all slots that the
-watermark has passed are put in order and applied. A key with few rows keeps them in one value, so that a micro-batch
-costs a key a few calls to the state and not some for each row; rows of a key with many go into pages by time, of which
-a batch touches those that its rows belong to, and a release those that are due, one after the other. It lives in RocksDB.
+Rows may arrive in any order within the watermark. Keys are dealt over buckets, and each row waits in its bucket's state
+until the watermark has passed its slot of event time; a bucket's one timer stands at the end of its earliest slot, and
+when it fires all slots that the watermark has passed are put in order and applied. A few rows are kept in one value, so that
+a micro-batch costs a bucket a few calls to the state and a key one or two, not some for each row; more go into pages by
+time, of which a batch touches those that its rows belong to, and a release those that are due, one after the other. What
+a key's processor keeps is an entry of its own. It all lives in RocksDB.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from placestream import constants as C
 SLOT_MS = 1_000
 #: Rows that wait in one entry of the state, and times in one of a rate's window; output rows that are given on together.
 PAGE = 1_000
+#: Groups of keys that share a buffer; fixed, as state is found by them.
+BUCKETS = 1_024
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -37,14 +40,16 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class Ordered(StatefulProcessor):
-    """Applies a key's rows in order of (at, tie); subclasses keep their own state and say what a row gives.
+    """Applies each key's rows in order of (at, tie); subclasses say what a key keeps and what its rows give.
 
-    ``columns`` are the rows' (name, type) beside ``at``, the time in microseconds, and ``tie``, a long.
-    With ``idle_ms`` a key without a row for so long forgets its state.
+    ``columns`` are the rows' (name, type) beside ``at``, the time in microseconds, ``tie``, a long, and ``key``, a
+    string. With ``idle_ms`` a key without a row for so long forgets what it keeps.
     """
 
     columns: tuple[tuple[str, str], ...] = ()
     names: tuple[str, ...] = ()
+    #: What a key keeps, as columns.
+    kept = ""
     #: Whether rows after a rest find another state than if nothing had been forgotten.
     lapses = True
 
@@ -53,53 +58,107 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fields = ("at", "tie", *[name for name, _ in self.columns])
-        arrays = ", ".join(f"{name} array<{kind}>" for name, kind in (("at", "long"), ("tie", "long"), *self.columns))
-        self.head = handle.getValueState("head", f"wake long, until long, pages array<long>, {arrays}")
+        fields = (("at", "long"), ("tie", "long"), ("key", "string"), *self.columns)
+        self.fields = [name for name, _ in fields]
+        arrays = ", ".join(f"{name} array<{kind}>" for name, kind in fields)
+        self.head = handle.getValueState("head", f"wake long, sweep long, pages array<long>, {arrays}")
         self.page = handle.getMapState("page", "low long", arrays)
+        self.keys = handle.getMapState("keys", "key string", f"until long, {self.kept}")
         self.open(handle)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        wake, until, pages, waiting = self._read()
+        wake, sweep, pages, waiting = self._read()
         for part in rows:
             waiting += zip(*[[_plain(x) for x in part[name].tolist()] for name in self.fields], strict=True)
             if len(waiting) > PAGE:
                 waiting = self._file(pages, waiting)
-        self._keep(wake, until, pages, waiting)
+        self._write(wake, sweep, pages, waiting)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        wake, until, pages, waiting = self._read()
+        wake, sweep, pages, waiting = self._read()
         if wake != expiredTimerInfo.getExpiryTimeInMs():
             return
-        now, out = timerValues.getCurrentWatermarkInMs(), []
+        now, out, found = timerValues.getCurrentWatermarkInMs(), [], {}
         bound = now // self.slot_ms * self.slot_ms * 1_000
         if waiting and pages and pages[0] < bound:
             waiting = self._file(pages, waiting)
         due = [r for r in waiting if r[0] < bound]
         waiting = [r for r in waiting if r[0] >= bound] if due else waiting
         for held in [sorted(due, key=_order)] if due else self._due(pages, bound):
-            for run, until in self._runs(held, until):
-                out += self.apply(key[0], run)
+            for one, own in self._by_key(held):
+                self._apply(one, own, found, out)
             if len(out) >= PAGE:
                 yield pd.DataFrame(out, columns=list(self.names))
                 out = []
-        if until is not None and until <= now:
-            self.forget()
-            until = None
-        self._keep(None, until, pages, waiting)
+            if len(found) > PAGE:
+                sweep, found = self._keep(found, None, sweep), {}
+        sweep = self._keep(found, now, sweep)
+        if sweep is not None and sweep <= now:
+            sweep = self._forget(now)
+        self._write(None, sweep, pages, waiting)
         if out:
             yield pd.DataFrame(out, columns=list(self.names))
 
+    @staticmethod
+    def _by_key(rows: list[tuple]) -> Iterator[tuple[Any, list[tuple]]]:
+        """Each key's rows, without the key, in the order they have."""
+        own: dict = {}
+        for at, tie, key, *more in rows:
+            own.setdefault(key, []).append((at, tie, *more))
+        yield from own.items()
+
+    def _apply(self, key: Any, rows: list[tuple], found: dict, out: list[tuple]) -> None:
+        """Apply a key's rows to what it keeps, which ``found`` holds during a release with what the state has and when it is forgotten."""
+        if key not in found:
+            stored = self.keys.getValue((key,))
+            stored = tuple(stored) if stored else None
+            found[key] = (stored, *((stored[0], stored[1:]) if stored else (None, None)))
+        stored, until, kept = found[key]
+        for run, rested, until in self._runs(rows, until):
+            if rested and kept is not None:
+                self.drop(key, kept)
+                kept = None
+            kept = self.apply(key, kept, run, out)
+        found[key] = (stored, until, kept)
+
+    def _keep(self, found: dict, now: int | None, sweep: int | None) -> int | None:
+        """Write what keys keep, and give the time at which to look for keys at rest; amid a release (no ``now``) more of their rows may come."""
+        for key, (stored, until, kept) in found.items():
+            if kept is not None and until is not None and now is not None and until <= now:
+                self.drop(key, kept)
+                kept = None
+            if kept is None:
+                if stored is not None:
+                    self.keys.removeKey((key,))
+            else:
+                if (until, *kept) != stored:
+                    self.keys.updateValue((key,), (until, *kept))
+                sweep = until if sweep is None else sweep
+        return sweep
+
+    def _forget(self, now: int) -> int | None:
+        """Forget the keys at rest; gives when to look again, no sooner than half the time of rest from now."""
+        rest, gone = None, []
+        for (key,), (until, *kept) in self.keys.iterator():
+            if until <= now:
+                gone.append((key, tuple(kept)))
+            else:
+                rest = until if rest is None else min(rest, until)
+        for key, kept in gone:
+            self.drop(key, kept)
+            self.keys.removeKey((key,))
+        return None if rest is None else max(rest, now + int(self.idle_ms) // 2)
+
     def _read(self) -> tuple[int | None, int | None, list[int], list[tuple]]:
-        """The time of the key's timer, that at which it is forgotten, the least times of its pages, and the rows in no page."""
-        wake, until, pages, *columns = self.head.get() or (None, None, [], *[[] for _ in self.fields])
-        return wake, until, list(pages), list(zip(*columns, strict=True))
+        """The time of the bucket's timer, that at which to look for keys at rest, the least times of its pages, and the rows in no page."""
+        wake, sweep, pages, *columns = self.head.get() or (None, None, [], *[[] for _ in self.fields])
+        return wake, sweep, list(pages), list(zip(*columns, strict=True))
 
-    def _keep(self, wake: int | None, until: int | None, pages: list[int], waiting: list[tuple]) -> None:
+    def _write(self, wake: int | None, sweep: int | None, pages: list[int], waiting: list[tuple]) -> None:
         """Write that back, with a timer (``wake`` is set already) at the first time at which there is something to do."""
-        times = [(at // (1_000 * self.slot_ms) + 1) * self.slot_ms for at in (*pages[:1], *[r[0] for r in waiting])]
-        first = min(times if until is None else [*times, until], default=None)
+        earliest = min([*pages[:1], *[r[0] for r in waiting]], default=None)
+        first = min([t for t in (sweep, None if earliest is None else self._end(earliest)) if t is not None], default=None)
         if first != wake:
             if wake is not None:
                 self.handle.deleteTimer(wake)
@@ -108,7 +167,11 @@ class Ordered(StatefulProcessor):
         if first is None:
             self.head.clear()
         else:
-            self.head.update((first, until, pages, *self._columns(waiting)))
+            self.head.update((first, sweep, pages, *self._columns(waiting)))
+
+    def _end(self, at: int) -> int:
+        """The end of a time's slot."""
+        return (at // (1_000 * self.slot_ms) + 1) * self.slot_ms
 
     def _columns(self, rows: list[tuple]) -> tuple[list, ...]:
         return tuple([r[i] for r in rows] for i in range(len(self.fields)))
@@ -145,31 +208,30 @@ class Ordered(StatefulProcessor):
                 self.page.updateValue((held[end][0],), self._columns(held[end:]))
             yield held[:end]
 
-    def _runs(self, rows: list[tuple], until: int | None) -> Iterator[tuple[list[tuple], int | None]]:
-        """Rows between which the key does not rest, and when it is forgotten after them; it is forgotten before rows that come later."""
+    def _runs(self, rows: list[tuple], until: int | None) -> Iterator[tuple[list[tuple], bool, int | None]]:
+        """Rows between which the key does not rest, whether it did before them, and when it is forgotten after them."""
         if self.idle_ms is None:
-            yield rows, None
+            yield rows, False, None
             return
-        begin = 0
+        begin, rested = 0, False
         for i, row in enumerate(rows):
-            end = (row[0] // (1_000 * self.slot_ms) + 1) * self.slot_ms
+            end = self._end(row[0])
             if until is not None and end > until and self.lapses:
                 if i > begin:
-                    yield rows[begin:i], until
-                self.forget()
-                begin = i
+                    yield rows[begin:i], rested, until
+                begin, rested = i, True
             until = end + int(self.idle_ms)
             until += until % self.slot_ms == 0  # never a slot's end, at which the key would have to be forgotten before or after it
-        yield rows[begin:], until
+        yield rows[begin:], rested, until
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        """Set up the state beside the buffer."""
+        """Set up state beside what keys keep."""
 
-    def forget(self) -> None:
-        """Clear it."""
+    def drop(self, key: Any, kept: tuple) -> None:
+        """Clear a key's part of it."""
 
-    def apply(self, key: Any, rows: list[tuple]) -> Iterator[tuple]:
-        """Output rows of (at, tie, *columns) in order."""
+    def apply(self, key: Any, kept: tuple | None, rows: list[tuple], out: list[tuple]) -> tuple | None:
+        """Put output rows of a key's (at, tie, *columns), which are in order, to ``out``; gives what the key keeps then."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -189,25 +251,20 @@ class _Log(Ordered):
     """The last ``n`` entries' cantons since the last clear, oldest first; empty ones have none."""
 
     columns = (("is_clear", "boolean"), ("canton", "string"))
+    kept = "cantons array<string>"
 
     def __init__(self, n: int, **more: Any):
         super().__init__(**more)
         self.n = n
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.log = handle.getValueState("log", "cantons array<string>")
-
-    def forget(self) -> None:
-        self.log.clear()
-
-    def apply(self, key: Any, rows: list[tuple]) -> Iterator[tuple]:
-        log = deque(*(self.log.get() or ([],)))
+    def apply(self, key: Any, kept: tuple | None, rows: list[tuple], out: list[tuple]) -> tuple | None:
+        log = deque(*(kept or ([],)))
         often = Counter(c for c in log if c)
         for at, tie, is_clear, canton in rows:
             if is_clear:
                 log.clear()
                 often.clear()
-                yield from self.cleared(key, at, tie)
+                out += self.cleared(key, at, tie)
                 continue
             canton, size, cantons = canton or "", len(log), len(often)
             had = canton in often
@@ -218,8 +275,8 @@ class _Log(Ordered):
             log.append(canton)
             if canton:
                 often[canton] += 1
-            yield from self.entered(key, at, tie, canton, had, size, cantons, len(often))
-        self.log.update((list(log),))
+            out += self.entered(key, at, tie, canton, had, size, cantons, len(often))
+        return (list(log),) if log else None
 
     def cleared(self, key: Any, at: int, tie: int) -> Iterator[tuple]:
         return iter(())
@@ -261,26 +318,21 @@ class _Properties(_Log):
 class _Flag(Ordered):
     columns = (("value", "string"),)
     names = ("user_id", "hit_id", "internal")
+    kept = "flag string"
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.flag = handle.getValueState("flag", "value string")
-
-    def forget(self) -> None:
-        self.flag.clear()
-
-    def apply(self, key: Any, rows: list[tuple]) -> Iterator[tuple]:
-        flag = first = (self.flag.get() or ("0",))[0]
+    def apply(self, key: Any, kept: tuple | None, rows: list[tuple], out: list[tuple]) -> tuple | None:
+        flag = kept[0] if kept else "0"
         for _, tie, value in rows:
-            yield key, tie, flag == "1"
+            out.append((key, tie, flag == "1"))
             flag = value if value in ("0", "1") else flag
-        if flag != first:
-            self.flag.update((flag,))
+        return (flag,) if flag == "1" else None
 
 
 class _Rate(Ordered):
     """A queue of event times: the newest in the value, older ones in chunks from ``first`` to before ``end``, and how many of the oldest have left."""
 
     names = ("key", "event_id", "n", "at", "first")
+    kept = "first long, end long, gone int, n long, newest array<long>"
     lapses = False
 
     def __init__(self, seconds: int, **more: Any):
@@ -288,17 +340,16 @@ class _Rate(Ordered):
         self.span = seconds * 1_000_000
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getMapState("times", "chunk long", "at array<long>")
-        self.queue = handle.getValueState("queue", "first long, end long, gone int, n long, newest array<long>")
+        self.times = handle.getMapState("times", "key string, chunk long", "at array<long>")
 
-    def forget(self) -> None:
-        self.times.clear()
-        self.queue.clear()
+    def drop(self, key: Any, kept: tuple) -> None:
+        for chunk in range(kept[0], kept[1]):
+            self.times.removeKey((key, chunk))
 
-    def apply(self, key: Any, rows: list[tuple]) -> Iterator[tuple]:
-        first, end, gone, n, newest = self.queue.get() or (0, 0, 0, 0, [])
+    def apply(self, key: Any, kept: tuple | None, rows: list[tuple], out: list[tuple]) -> tuple | None:
+        first, end, gone, n, newest = kept or (0, 0, 0, 0, [])
         newest = list(newest)
-        oldest = newest if first == end else self.times.getValue((first,))[0]
+        oldest = newest if first == end else self.times.getValue((key, first))[0]
         same, before = Counter(r[0] for r in rows), None
         for at, tie in rows:
             if at != before:  # those of the same time come in together
@@ -307,16 +358,16 @@ class _Rate(Ordered):
             while oldest[gone] < at - self.span:
                 gone, n = gone + 1, n - 1
                 if gone == len(oldest) and oldest is not newest:
-                    self.times.removeKey((first,))
+                    self.times.removeKey((key, first))
                     first, gone = first + 1, 0
-                    oldest = newest if first == end else self.times.getValue((first,))[0]
-            yield key, tie, n, at, oldest[gone]
+                    oldest = newest if first == end else self.times.getValue((key, first))[0]
+            out.append((key, tie, n, at, oldest[gone]))
         if oldest is newest:
             newest, gone = newest[gone:], 0
         while len(newest) > PAGE:
-            self.times.updateValue((end,), (newest[:PAGE],))
+            self.times.updateValue((key, end), (newest[:PAGE],))
             end, newest = end + 1, newest[PAGE:]
-        self.queue.update((first, end, gone, n, newest))
+        return first, end, gone, n, newest
 
 
 def _prepared(rows: DataFrame, key: str, tie: str, watermark: str, **columns: Column) -> DataFrame:
@@ -328,7 +379,13 @@ def _prepared(rows: DataFrame, key: str, tie: str, watermark: str, **columns: Co
 
 
 def _run(rows: DataFrame, key: str, processor: Ordered, schema: str) -> DataFrame:
-    return rows.groupBy(key).transformWithStateInPandas(processor, T.StructType.fromDDL(schema), "append", "eventTime")
+    """``processor`` on rows by buckets of their keys; a key goes as text and comes back as the type it has in ``schema``."""
+    fields = T.StructType.fromDDL(schema)
+    out = T.StructType([T.StructField(fields[0].name, T.StringType()), *fields.fields[1:]])
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    keyed = rows.select(bucket.alias("bucket"), "ts", "at", "tie", F.col(key).cast("string").alias("key"), *[name for name, _ in processor.columns])
+    done = keyed.groupBy("bucket").transformWithStateInPandas(processor, out, "append", "eventTime")
+    return done.withColumn(fields[0].name, F.col(fields[0].name).cast(fields[0].dataType))
 
 
 def _entries(log: DataFrame, watermark: str) -> DataFrame:

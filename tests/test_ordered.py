@@ -55,9 +55,13 @@ class Map:
         self.count()
         self.values.clear()
 
+    def iterator(self):
+        self.count()
+        return iter(self.values.items())
+
 
 class Handle:
-    """The state and timers of one key, and its own times of expiry and watermark."""
+    """The state and timers of one bucket, and its own times of expiry and watermark."""
 
     def __init__(self):
         self.calls, self.timers, self.states, self.now, self.fired = 0, set(), [], 0, 0
@@ -88,20 +92,20 @@ class Handle:
         return self.fired
 
 
-def run(processor, batches, late_ms):
-    """What a key gives for batches of rows (at, tie, ...), each followed by the timers of the watermark; and its handle."""
+def run(processor, batches, late_ms, key_of=lambda tie: "1"):
+    """What a bucket gives, of key 1 alone or of the keys of each tie, for batches of rows (at, tie, ...), each followed by the timers of the watermark; and its handle."""
     handle, out, newest = Handle(), [], 0
     processor.init(handle)
     columns = ["at", "tie", *[name for name, _ in processor.columns]]
     for batch in batches:
         if batch:
-            list(processor.handleInputRows((1,), iter([pd.DataFrame(batch, columns=columns)]), handle))
+            list(processor.handleInputRows((1,), iter([pd.DataFrame(batch, columns=columns).assign(key=[key_of(r[1]) for r in batch])]), handle))
             newest = max(newest, max(r[0] for r in batch) // 1_000)
         handle.now = max(handle.now, newest - late_ms)
         while due := sorted(t for t in handle.timers if t <= handle.now):
             handle.fired = due[0]
             for part in processor.handleExpiredTimer((1,), handle, handle):
-                out += [tuple(ordered._plain(x) for x in r) for r in part.astype(object).values.tolist()]
+                out += [(r[0] and int(r[0]), *[ordered._plain(x) for x in r[1:]]) for r in part.astype(object).values.tolist()]
             handle.timers.discard(due[0])
     return out, handle
 
@@ -137,7 +141,7 @@ def test_rates_take_few_calls(monkeypatch, page):
             assert handle.calls < 20 * batches
         got, handle = run(ordered._Rate(20, idle_ms=21_000), [*in_batches(rows, batches), [(9_000_000_000, n)], []], 60_000)
         assert len(got) == n and len(handle.timers) == 1
-        assert not handle.states[-1].value and not handle.states[-2].values  # forgotten after a rest
+        assert not any(getattr(s, "values", None) for s in handle.states[2:])  # forgotten after a rest
 
 
 def slow_flags(rows, idle, until):
@@ -197,3 +201,19 @@ def test_properties_take_few_calls(monkeypatch):
         want = [(1, tie, size, cantons) for tie, _, _, _, size, cantons in slow_log(rows, 8, handle.now)]
         assert [r[:4] for r in got] == want and len(want) > 800
         assert page < 1_000 or handle.calls < 75
+
+
+@pytest.mark.parametrize("make", [lambda: ordered._Rate(20, idle_ms=21_000), lambda: ordered._Flag(idle_ms=5_000), lambda: ordered._Flag(), lambda: ordered._Milestones(8, 5, idle_ms=90_000), lambda: ordered._Properties(8)])
+def test_keys_of_a_bucket_do_not_meet(monkeypatch, make):
+    choices = {"_Rate": (), "_Flag": (lambda rng: rng.choice(["0", "1", None]),)}.get(type(make()).__name__, LOGS)
+    rows, key_of = some_rows(900, 1_500, *choices), lambda tie: (None, "1", "2", "3")[tie * 7919 % 97 % 4]
+    for page in (1_000, 16, 2):
+        monkeypatch.setattr(ordered, "PAGE", page)
+        got, handle = run(make(), in_batches(rows, 7), 60_000, key_of)
+        want = []
+        for key in (None, "1", "2", "3"):
+            alone = [[r for r in batch if key_of(r[1]) == key] for batch in in_batches(rows, 7)]
+            part, own = run(make(), alone, 60_000, key_of)
+            assert own.now <= handle.now
+            want += part
+        assert set(want) <= set(got) and len(got) == len(set(got)) and len(got) >= len(want) > 200
